@@ -135,3 +135,25 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     cold = (df.join(hot, keys, "left_anti").groupBy(*keys).agg(exact.alias("__q"))
             .select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)]))
     return cold.unionByName(wide(df.join(hot, keys, "left_semi")))
+
+
+def running_totals(df: DataFrame, groups: Sequence[str], block: Column, order: Column,
+                   value: Column, out: str) -> DataFrame:
+    """Running sum of ``value`` inside ``groups``, block by block.
+
+    Adds ``out`` (sum up to and including the row) and ``<out>_total`` (sum of
+    the group). Blocks bound what one task sorts.
+    """
+    groups = list(groups)
+    df = df.withColumn("__block", block).withColumn("__val", value)
+    keys = [*groups, "__block"]
+    w = Window.partitionBy(*groups)
+    before = w.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(*keys).agg(F.sum("__val").alias("__s")).select(
+        *keys, F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__off"),
+        F.sum("__s").over(w).alias(f"{out}_total"))
+    inside = (Window.partitionBy(*keys).orderBy(order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (df.withColumn("__local", F.sum("__val").over(inside)).join(offsets, keys)
+            .withColumn(out, F.col("__off") + F.col("__local"))
+            .drop("__block", "__val", "__local", "__off"))

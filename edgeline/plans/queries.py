@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from edgeline.plans import edge_rates, inference, predicates, transects  # noqa: F401
+from edgeline.plans import borders, edge_rates, inference, predicates, transects  # noqa: F401
 from edgeline.plans.registry import ORACLES, QUERIES, runnable  # noqa: F401

@@ -22,9 +22,9 @@ IUCN = ["Ia", "Ib", "II", "III", "IV", "V", "VI"] + labels.UNCATEGORISED_IUCN
 DESIGNATIONS = ["National Park", "Nature Reserve", "Marine Protected Area",
                 "UNESCO-MAB Biosphere Reserve", "Forest Reserve", None]
 STATUSES = labels.KEPT_STATUS + ["Proposed", None]
-LATTICE = 16000
+LATTICE = 18000
 LATTICE_COLS = 32
-ZONE_STEP = 104000
+ZONE_STEP = 120000
 WATER_RES = 400.0
 
 
@@ -144,8 +144,8 @@ class Views:
             key.alias("fid"),
             ((key % LATTICE_COLS) * LATTICE + LATTICE / 2).alias("mx"),
             (F.floor(key / LATTICE_COLS) * LATTICE + LATTICE / 2).alias("my"),
-            (bal % 8950.0 + 1000.0).alias("hw"),
-            ((bal * 3.0) % 8950.0 + 1000.0).alias("hh"))
+            (bal % 7000.0 + 3500.0).alias("hw"),
+            ((bal * 3.0) % 7000.0 + 3500.0).alias("hh"))
         mx, my, hw, hh = (F.col(c) for c in ("mx", "my", "hw", "hh"))
         cut, jitter = hw * 0.3, (F.col("fid") % 3) * 0.00001
         corners = [

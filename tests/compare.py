@@ -25,6 +25,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TIMES: list[float] = []     # when Spark had finished, per compared query
+
+
 def _cell(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else f"{value + 0.0:.6f}"
@@ -41,6 +44,7 @@ def canonical(columns, rows):
 def differences(spark_df, con, sql) -> tuple[int, str]:
     """Row count of the Spark result and a description of the first difference."""
     got_cols, rows = spark_df.columns, [tuple(r) for r in spark_df.collect()]
+    TIMES.append(time.time())
     rel = con.execute(sql)
     want_cols = [d[0] for d in rel.description]
     want = rel.fetchall()
@@ -87,7 +91,9 @@ def main() -> int:
         except Exception as error:  # report and go on with the next query
             n, status = -1, f"ERROR {type(error).__name__} {str(error)[:1500]}"
         bad += status.startswith(("DIFF", "ERROR")) or n == 0
-        print(f"{name:40s} {n:8d} rows {time.time() - start:6.1f}s  {status}", flush=True)
+        print(f"{name:40s} {n:8d} rows {time.time() - start:6.1f}s "
+              f"(Spark {(TIMES[-1] if TIMES and TIMES[-1] > start else time.time()) - start:5.1f})"
+              f"  {status}", flush=True)
     print("problems:", bad)
     spark.stop()
     return 1 if bad else 0
