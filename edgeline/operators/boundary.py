@@ -86,10 +86,8 @@ def transects_by_length(points: DataFrame, lengths: Sequence[tuple[int, int, flo
 
 
 # ---- spatial joins ---------------------------------------------------------
-def border_pieces(vertices: DataFrame, grid: float, pad: float,
-                  carry: Sequence[str] = ()) -> DataFrame:
+def border_pieces(seg: DataFrame, grid: float, pad: float) -> DataFrame:
     """Border pieces no longer than a grid cell, one row per cell within ``pad``."""
-    seg = segments(vertices, "per_ring", carry)
     length = geo.planar_length(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
     m = F.greatest(F.lit(1), F.ceil(length / grid))
     cut = (seg.withColumn("m", m)
@@ -99,7 +97,7 @@ def border_pieces(vertices: DataFrame, grid: float, pad: float,
                F.least(F.col("m") - 1, F.col("ib") * POINT_BLOCK + POINT_BLOCK - 1)))))
     at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("m")
     pieces = cut.select(
-        "fid", *carry, at("x0", "x1", F.col("i")).alias("ax"), at("y0", "y1", F.col("i")).alias("ay"),
+        "fid", at("x0", "x1", F.col("i")).alias("ax"), at("y0", "y1", F.col("i")).alias("ay"),
         at("x0", "x1", F.col("i") + 1).alias("bx"), at("y0", "y1", F.col("i") + 1).alias("by"))
     reach = lambda a, b: F.explode(F.sequence(
         F.floor((F.least(a, b) - pad) / grid), F.floor((F.greatest(a, b) + pad) / grid)))
@@ -116,30 +114,27 @@ def near_or_inside(points: DataFrame, key: Sequence[str], vertices: DataFrame, d
     ``own`` a point meets only the polygon of its own ``fid``.
     """
     key = list(key)
-    verts = vertices.withColumnRenamed("fid", "pfid").withColumn("fid", F.col("pfid"))
-    pieces = border_pieces(verts.select("fid", "ring", "vtx", "x", "y"), grid, dist)
-    centres = cl.rasterise(verts.select("fid", "ring", "vtx", "x", "y"), grid)
+    seg = segments(vertices, "per_ring")
+    # What a cell knows of a polygon: its border pieces, and a row without
+    # coordinates when the cell's centre is inside.
+    content = border_pieces(seg, grid, dist).unionByName(
+        cl.fill(seg, grid), allowMissingColumns=True).withColumnRenamed("fid", pid)
     pts = points.select(*key, F.col("x").alias("px"), F.col("y").alias("py"),
                         geo.cell_of(F.col("x"), grid).alias("cx"),
                         geo.cell_of(F.col("y"), grid).alias("cy"),
                         *([F.col("fid").alias("own")] if own else []))
-
-    def meet(side: DataFrame) -> DataFrame:
-        side = side.withColumnRenamed("fid", pid)
-        if own:
-            return pts.join(side.withColumn("own", F.col(pid)), ["own", "cx", "cy"])
-        return pts.join(side, ["cx", "cy"])
-
+    if own:
+        met = pts.join(content.withColumn("own", F.col(pid)), ["own", "cx", "cy"])
+    else:
+        met = pts.join(content, ["cx", "cy"])
     px, py = F.col("px"), F.col("py")
     ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
     centre = [(F.col(c) + 0.5) * grid for c in ("cx", "cy")]
-    by_border = meet(pieces).select(
-        *key, pid, geo.crosses_to_centre(px, py, *centre, *ends).cast("int").alias("flip"),
-        geo.segment_distance(px, py, *ends).alias("dist"))
-    by_centre = meet(centres).select(*key, pid, F.lit(1).alias("flip"),
-                                     F.lit(None).cast("double").alias("dist"))
-    found = by_border.unionByName(by_centre).groupBy(*key, pid).agg(
-        (F.sum("flip") % 2).alias("odd"), F.min("dist").alias("dist"))
+    is_centre = F.col("ax").isNull()
+    flip = F.when(is_centre, 1).otherwise(
+        geo.crosses_to_centre(px, py, *centre, *ends).cast("int"))
+    gap = F.when(~is_centre, geo.segment_distance(px, py, *ends))
+    found = met.groupBy(*key, pid).agg((F.sum(flip) % 2).alias("odd"), F.min(gap).alias("dist"))
     on_border = F.coalesce(F.col("dist") <= TOUCH, F.lit(False))
     out = found.select(*key, pid, "dist", ((F.col("odd") == 1) | on_border).alias("inside"))
     return out.filter(F.col("inside") | (F.col("dist") <= dist))

@@ -7,7 +7,6 @@ groups by cell, so no step depends on a window over a whole mask.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -25,12 +24,13 @@ KEY_SHIFT = 1 << 32
 
 
 def rasterise(vertices: DataFrame, size: float = CELL, carry: Sequence[str] = ()) -> DataFrame:
-    """Cells of each feature whose centre lies inside it (even-odd rule).
+    """Cells of each feature whose centre lies inside it (even-odd rule)."""
+    return fill(segments(vertices, "per_ring", carry), size, carry)
 
-    Every segment finds its own crossings with the scan rows; crossings are
-    paired per (feature, row) and each pair fills a span of cells.
-    """
-    seg = segments(vertices, "per_ring", carry)
+
+def fill(seg: DataFrame, size: float = CELL, carry: Sequence[str] = ()) -> DataFrame:
+    """Scanline fill: every segment finds its own crossings with the rows of cell
+    centres, crossings are paired per (feature, row), and each pair fills a span."""
     lo, hi = F.least("y0", "y1"), F.greatest("y0", "y1")
     r0, r1 = first_centre(lo, size), first_centre(hi, size) - 1
     hits = (seg.filter(r0 <= r1)
@@ -58,11 +58,12 @@ def owners(cells: DataFrame, priority: Sequence[str | Column], owner: str) -> Da
     return cells.groupBy("cx", "cy").agg(F.min_by(owner, rank).alias(owner))
 
 
-def _shifted(cells: DataFrame, offsets: Sequence[tuple[int, int]],
-             carry: Sequence[str] = ()) -> DataFrame:
-    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                      for dx, dy in offsets])
-    return (cells.select(*carry, "cx", "cy", F.inline(moves))
+def _shifted(cells: DataFrame, reach: Sequence[int], carry: Sequence[str] = ()) -> DataFrame:
+    """Each cell at all offsets; ``reach[i]`` is the vertical reach of column i - n."""
+    n = len(reach) // 2
+    spread = cells.select(*carry, "cx", "cy", F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("dx"))
+    up = F.element_at(F.lit(list(reach)), F.col("dx") + n + 1)
+    return (spread.select("*", F.explode(F.sequence(-up, up)).alias("dy"))
             .select(*carry, (F.col("cx") + F.col("dx")).alias("cx"),
                     (F.col("cy") + F.col("dy")).alias("cy")))
 
@@ -73,11 +74,10 @@ def focal_sum(cells: DataFrame, value: str = "value", size: int = 3) -> DataFram
     The outermost rows and columns of the frame have no full window and drop
     out, as do windows that see only background.
     """
-    reach = range(-(size // 2), size // 2 + 1)
     frame = cells.agg(F.struct(F.min("cx").alias("x0"), F.max("cx").alias("x1"),
                                F.min("cy").alias("y0"), F.max("cy").alias("y1")).alias("f"))
     margin = size // 2
-    sums = (_shifted(cells, list(itertools.product(reach, reach)), [value])
+    sums = (_shifted(cells, [margin] * size, [value])
             .groupBy("cx", "cy").agg(F.sum(value).alias("value")).withColumn("f", frame.scalar()))
     inside = (F.col("cx").between(F.col("f.x0") + margin, F.col("f.x1") - margin)
               & F.col("cy").between(F.col("f.y0") + margin, F.col("f.y1") - margin))
@@ -89,12 +89,13 @@ def reclassify_mask(cells: DataFrame, value: str = "value") -> DataFrame:
     return cells.filter(F.col(value) > 0).select("cx", "cy", F.lit(1).alias("value"))
 
 
-def disc(radius_cells: float) -> list[tuple[int, int]]:
-    """Offsets of cells whose nearest edge is closer than the radius to a centre."""
-    n = math.ceil(radius_cells + 0.5)
+def disc(radius_cells: float) -> list[int]:
+    """Vertical reach per column offset of the cells whose nearest edge is closer
+    than the radius to a cell centre."""
+    n = math.ceil(radius_cells + 0.5) - 1
     gap = lambda d: max(abs(d) - 0.5, 0.0)
-    return [(dx, dy) for dx in range(-n, n + 1) for dy in range(-n, n + 1)
-            if (dx, dy) != (0, 0) and gap(dx) ** 2 + gap(dy) ** 2 < radius_cells ** 2]
+    near = lambda dx, dy: gap(dx) ** 2 + gap(dy) ** 2 < radius_cells ** 2
+    return [max(dy for dy in range(n + 1) if near(dx, dy)) for dx in range(-n, n + 1)]
 
 
 def shrink(cells: DataFrame, radius: float, size: float = CELL,
@@ -106,9 +107,8 @@ def shrink(cells: DataFrame, radius: float, size: float = CELL,
     """
     keys = list(keys)
     mask = cells.select(*keys, "cx", "cy")
-    around = [o for o in itertools.product((-1, 0, 1), repeat=2) if o != (0, 0)]
     on = [*keys, "cx", "cy"]
-    rim = _shifted(mask, around, keys).distinct().join(mask, on, "left_anti")
+    rim = _shifted(mask, [1, 1, 1], keys).distinct().join(mask, on, "left_anti")
     near = _shifted(rim, disc(radius / size), keys).distinct()
     return mask.join(near, on, "left_anti")
 

@@ -10,6 +10,7 @@ from edgeline.operators import cells as cl
 from edgeline.operators import vertices as vx
 from edgeline.plans.oracle import VIEWS
 from edgeline.plans.registry import query
+from edgeline.session import materialise
 from edgeline.sources import adapter
 
 SPACING, UNIT, N_SIDE, NEAR = 500.0, 2500.0, 2, 750.0
@@ -314,19 +315,23 @@ def border_only(points):
 
 
 def raw_matches(v):
-    return bd.within_distance(border_only(transect_points(v)), KEY, v.polygons(), NEAR)
+    points = materialise(border_only(transect_points(v)), "border_points")
+    return bd.within_distance(points, KEY, v.polygons(), NEAR)
 
 
-def validity(v):
-    return bd.inner_validity(transect_points(v), v.rings(), BUFFER)
+def stored_points(v):
+    """Transect points, written once for the several evaluation steps."""
+    return materialise(transect_points(v), "transect_points")
 
 
 def good_points(v):
-    return bd.drop_bad_transects(transect_points(v), validity(v))
+    points = stored_points(v)
+    return bd.drop_bad_transects(points, bd.inner_validity(points, v.rings(), BUFFER))
 
 
 def matches(v):
-    return bd.within_distance(border_only(good_points(v)), KEY, v.polygons(), NEAR)
+    points = materialise(border_only(good_points(v)), "good_border_points")
+    return bd.within_distance(points, KEY, v.polygons(), NEAR)
 
 
 def kept(v):
@@ -347,14 +352,14 @@ def _(v):
 
 @query("c17_inner_buffer", "SELECT fid, transect_id, pnt_pst, inner_valid FROM validity")
 def _(v):
-    return validity(v).drop("boundary_valid")
+    return bd.inner_validity(stored_points(v), v.rings(), BUFFER).drop("boundary_valid")
 
 
 @query("c18_inside_own", """
 SELECT fid, transect_id, pnt_pst, odd OR dist <= 1e-9 AS inside FROM inner_hits""")
 def _(v):
     key = [*KEY, "pnt_pst"]
-    inner = transect_points(v).filter(F.col("pnt_pst") < 0)
+    inner = stored_points(v).filter(F.col("pnt_pst") < 0)
     hits = bd.near_or_inside(inner, key, v.rings(), 0.0, 2000.0, own=True)
     return inner.select(*key).join(hits.select(*key, "inside"), key, "left").na.fill(False)
 
@@ -384,7 +389,7 @@ SELECT k.site_id, k.site_transect, g.pnt_pst, g.x, g.y, i.name, i.gis_area, i.st
 FROM good_points g JOIN kept k USING (fid, transect_id) JOIN polygon_info i USING (site_id)""",
        dbl="x y gis_area")
 def _(v):
-    points = good_points(v)
+    points = materialise(good_points(v), "good_points")
     border = bd.within_distance(border_only(points), KEY, v.polygons(), NEAR)
     numbered = bd.renumber(bd.unique_matches(border, KEY))
     return bd.annotate(points, numbered, v.polygon_info()).drop("fid", "transect_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE coalesces small shuffles and splits skewed join partitions at run time.
 DEFAULTS = {
@@ -45,3 +45,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for one written table."""
     return f"{checkpoint_dir(spark).rstrip('/')}/edgeline-{uuid.uuid4().hex}/{name}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate once and read it back.
+
+    For a stage that several later steps read: they share one computation, the
+    lineage is cut at a file that survives lost executors, and unlike a
+    checkpoint the reader still prunes columns and knows the table's size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
