@@ -73,21 +73,23 @@ def _tile_gradient(pdf: pd.DataFrame, radius: int, core: tuple[int, int, int]) -
     between the two. Ties go to the cell first in (cy, cx).
     """
     tx, ty, tile = core
-    x0, y0 = tx * tile - radius, ty * tile - radius
-    side = tile + 2 * radius
     spectra = np.stack(pdf["bands"].to_numpy()).astype(float)
-    known = np.isfinite(spectra).all(axis=1)
     norm = np.sqrt((spectra * spectra).sum(axis=1))
-    known &= norm > 0
-    at_x, at_y = pdf["cx"].to_numpy() - x0, pdf["cy"].to_numpy() - y0
-    unit = np.zeros((side, side, spectra.shape[1]))
-    there = np.zeros((side, side), dtype=bool)
-    unit[at_y[known], at_x[known]] = spectra[known] / norm[known, None]
-    there[at_y[known], at_x[known]] = True
-
-    offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-    views = [(slice(radius + dy, radius + dy + tile), slice(radius + dx, radius + dx + tile))
-             for dy, dx in offsets]
+    known = np.isfinite(norm) & (norm > 0)
+    cx, cy = pdf["cx"].to_numpy(), pdf["cy"].to_numpy()
+    own = known & (cx // tile == tx) & (cy // tile == ty)
+    if not own.any():
+        return pd.DataFrame({"cx": [], "cy": [], "gradient": []})
+    # Arrays cover the tile's occupied part and its halo.
+    left, bottom = cx[own].min(), cy[own].min()
+    w, h = int(cx[own].max() - left) + 1, int(cy[own].max() - bottom) + 1
+    col, row = cx - left + radius, cy - bottom + radius
+    height, width = h + 2 * radius, w + 2 * radius
+    known &= (col >= 0) & (col < width) & (row >= 0) & (row < height)
+    unit = np.zeros((height, width, spectra.shape[1]))
+    there = np.zeros((height, width), dtype=bool)
+    unit[row[known], col[known]] = spectra[known] / norm[known, None]
+    there[row[known], col[known]] = True
 
     def angle(a, b):
         dot = np.zeros(a.shape[:2])
@@ -95,24 +97,44 @@ def _tile_gradient(pdf: pd.DataFrame, radius: int, core: tuple[int, int, int]) -
             dot += a[..., k] * b[..., k]
         return np.arccos(np.clip(dot, -1, 1))
 
-    total = np.zeros((len(offsets), tile, tile))
-    for i, vi in enumerate(views):
-        for j in range(i + 1, len(views)):
-            vj = views[j]
-            both = there[vi] & there[vj]
-            d = np.where(both, angle(unit[vi], unit[vj]), 0.0)
-            total[i] += d
-            total[j] += d
-    member = np.stack([there[v] for v in views])
+    reach = range(-radius, radius + 1)
+    offsets = [(dy, dx) for dy in reach for dx in reach]
+    place = {o: i for i, o in enumerate(offsets)}
+
+    def window(grid, o):
+        return grid[radius + o[0]:radius + o[0] + h, radius + o[1]:radius + o[1] + w]
+
+    # The angle between two cells depends on the pair only, so one map per
+    # displacement serves all windows that contain such a pair.
+    total = np.zeros((len(offsets), h, w))
+    for dy in range(2 * radius + 1):
+        for dx in range(-2 * radius, 2 * radius + 1):
+            if dy == 0 and dx <= 0 or dy >= height or abs(dx) >= width:
+                continue
+            rows_a, rows_b = slice(0, height - dy), slice(dy, height)
+            cols_a = slice(max(0, -dx), width - max(0, dx))
+            cols_b = slice(max(0, dx), width + min(0, dx))
+            gap = np.zeros((height, width))
+            gap[rows_a, cols_a] = np.where(there[rows_a, cols_a] & there[rows_b, cols_b],
+                                           angle(unit[rows_a, cols_a], unit[rows_b, cols_b]), 0.0)
+            for o in offsets:
+                other = place.get((o[0] + dy, o[1] + dx))
+                if other is not None:
+                    part = window(gap, o)
+                    total[place[o]] += part
+                    total[other] += part
+    member = np.stack([window(there, o) for o in offsets])
     total = np.round(total, 9)
     top = np.argmax(np.where(member, total, -np.inf), axis=0)
     low = np.argmin(np.where(member, total, np.inf), axis=0)
     dys, dxs = np.array(offsets).T
-    gy, gx = np.mgrid[radius:radius + tile, radius:radius + tile]
+    gy, gx = np.mgrid[radius:radius + h, radius:radius + w]
     grad = 100 * angle(unit[gy + dys[top], gx + dxs[top]], unit[gy + dys[low], gx + dxs[low]])
-    here = there[radius:radius + tile, radius:radius + tile]
-    yy, xx = np.nonzero(here)
-    return pd.DataFrame({"cx": xx + tx * tile, "cy": yy + ty * tile, "gradient": grad[yy, xx]})
+    yy, xx = np.nonzero(window(there, (0, 0)))
+    inside = np.isin((yy + bottom) * (1 << 32) + xx + left,
+                     cy[own].astype(np.int64) * (1 << 32) + cx[own])
+    yy, xx = yy[inside], xx[inside]
+    return pd.DataFrame({"cx": xx + left, "cy": yy + bottom, "gradient": grad[yy, xx]})
 
 
 def spectral_gradient(composite: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:

@@ -66,10 +66,3 @@ def with_country(sites: DataFrame, country: DataFrame) -> DataFrame:
     """
     one = country.groupBy("iso3").agg(F.min("country").alias("country"))
     return sites.join(one, "iso3", "left")
-
-
-def audit(stage: str, df: DataFrame, key: str, total: str | None = None) -> DataFrame:
-    """Row count, distinct ids and an optional column sum of one stage."""
-    return df.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("n_rows"),
-                  F.count_distinct(key).alias("n_ids"),
-                  (F.sum(total) if total else F.lit(None).cast("double")).alias("total"))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from edgeline.plans import borders, edge_rates, images, inference, predicates, transects  # noqa: F401
-from edgeline.plans.registry import ORACLES, QUERIES, runnable  # noqa: F401
+from edgeline.plans import borders, edge_rates, files, images, inference, predicates, transects  # noqa: F401
+from edgeline.plans.registry import QUERIES, oracle_texts, runnable  # noqa: F401

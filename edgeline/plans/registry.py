@@ -11,7 +11,7 @@ from edgeline.plans.oracle import r6, with_views
 from edgeline.sources.adapter import Views
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, tuple[str, dict[str, str] | None]] = {}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, dbl: str = "", ints: str = "",
             fixes += [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
             text = (f"SELECT * REPLACE ({', '.join(fixes)}) FROM ({sql.strip()})"
                     if fixes else sql)
-            ORACLES[name] = with_views(text, views)
+            _ORACLES[name] = (text, views)
         return fn
     return add
 
@@ -41,3 +41,8 @@ def runnable(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(QUERIES[name](Views(spark, sf_dir)))
     return run
+
+
+def oracle_texts() -> dict[str, str]:
+    """Complete oracle SQL per query, with the views each one needs."""
+    return {name: with_views(text, views) for name, (text, views) in _ORACLES.items()}
