@@ -20,9 +20,9 @@ def number_rows(df: DataFrame, groups: Sequence[str], levels: Sequence[Sequence[
     """1-based row number inside ``groups`` by ``order``, computed block by block.
 
     ``levels`` are block keys from coarse to fine; their lexicographic order must
-    agree with ``order``. Block sizes are counted with map-side combine, running
-    totals of the counts give each block its offset, and rows are numbered inside
-    their block only.
+    agree with ``order``, and neither they nor the groups may be NULL. Block sizes
+    are counted with map-side combine, running totals of the counts give each block
+    its offset, and rows are numbered inside their block only.
     """
     groups = list(groups)
     names: list[list[str]] = []
@@ -43,14 +43,18 @@ def number_rows(df: DataFrame, groups: Sequence[str], levels: Sequence[Sequence[
                             F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(f"__off{i}"))
         offsets = step if offsets is None else offsets.join(step, prefix)
     total = sum((F.col(f"__off{i}") for i in range(len(names))), F.lit(0).cast("long"))
-    offsets = offsets.select(*[F.col(k).alias(f"{k}__r") for k in keys], total.alias("__off"))
+    offsets = offsets.select(*keys, total.alias("__off"))
 
+    # The window and the join hash on the same keys, so the rows move once.
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    match = [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys]
-    joined = df.withColumn("__rn", inside).join(offsets, match)
-    return (joined.withColumn(out, F.col("__off") + F.col("__rn"))
-            .drop("__rn", "__off", *[n for level in names for n in level],
-                  *[f"{k}__r" for k in keys]))
+    return (df.withColumn("__rn", inside).join(offsets, keys)
+            .withColumn(out, F.col("__off") + F.col("__rn"))
+            .drop("__rn", "__off", *[n for level in names for n in level]))
+
+
+def id_levels(column: Column) -> list[list[Column]]:
+    """Two block levels for a whole-number id, for numbering a whole table."""
+    return [[F.floor(column / (1 << 32))], [F.floor(column / (1 << 16))]]
 
 
 def _interpolate(prob: float, n: Column) -> tuple[Column, Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeline.functions import labels
-from edgeline.operators.ranking import exact_quantiles, number_rows
+from edgeline.operators.ranking import exact_quantiles, id_levels, number_rows
 
 
 def terrestrial_sites(registry: DataFrame) -> DataFrame:
@@ -53,9 +53,9 @@ def split_key(key: str | Column, names: Sequence[str], types: Sequence[str]) ->
     return [pieces[i].cast(t).alias(n) for i, (n, t) in enumerate(zip(names, types))]
 
 
-def row_ids(df: DataFrame, block: Column, order: Sequence[Column], name: str = "lineid") -> DataFrame:
-    """Consecutive ids over a declared order, numbered block by block."""
-    return number_rows(df, [], [[block]], order, name)
+def row_ids(df: DataFrame, order: str, name: str = "lineid") -> DataFrame:
+    """Consecutive ids in the order of a whole-number column, block by block."""
+    return number_rows(df, [], id_levels(F.col(order)), [F.col(order)], name)
 
 
 def with_country(sites: DataFrame, country: DataFrame) -> DataFrame:

@@ -179,8 +179,9 @@ def residual_quantiles(df: DataFrame, group: str, y: str, key: str,
     ends = rows.agg(F.struct(F.min("std_resid").alias("lo"), F.max("std_resid").alias("hi"))
                     .alias("b"))
     rows = rows.withColumn("b", ends.scalar())
-    slot = F.floor(F.try_divide(F.col("std_resid") - F.col("b.lo"),
-                                F.col("b.hi") - F.col("b.lo")) * blocks)
+    # All residuals equal: one block, which the hash below still splits.
+    slot = F.coalesce(F.floor(F.try_divide(F.col("std_resid") - F.col("b.lo"),
+                                           F.col("b.hi") - F.col("b.lo")) * blocks), F.lit(0))
     tie = F.substring(F.md5(F.col(key).cast("binary")), 1, 4)
     ranked = number_rows(rows.withColumn("slot", slot).withColumn("tie", tie), [],
                          [[F.col("slot")], [F.col("std_resid"), F.col("tie")]],

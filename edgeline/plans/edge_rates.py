@@ -10,6 +10,7 @@ from edgeline.operators import samples as sm
 from edgeline.plans import results as rs
 from edgeline.plans.oracle import VIEWS
 from edgeline.plans.registry import query
+from edgeline.session import materialise
 from edgeline.sources import adapter
 
 LEVEL_NAMES = ["edge_level_2001", "edge_level_2020"]
@@ -95,8 +96,9 @@ _NULL_DBL = ("perc_evaluated_2020 perc_evaluated_2001 edge_level_2020 edge_level
 
 
 def complete_two_years(v):
+    """Complete samples of both years, written once: numbering reads them four times."""
     rows = v.samples().filter(F.col("year").isin(2001, 2020))
-    return sm.complete_transects(rows).drop("n")
+    return materialise(sm.complete_transects(rows).drop("n"), "complete_two_years")
 
 
 def null_levels(v, mode: str = "dense"):

@@ -26,32 +26,43 @@ def _(v):
     return _round_trip(v, v.registry(), "registry", "csv", schemas.REGISTRY)
 
 
-@query("a02_stack_folder", """
-SELECT site_id, transect_id, pnt_pst, year, grad FROM gs WHERE year = 2020""", dbl="grad")
+_DIGEST = """SELECT {keys}, count(*) AS n_rows, count(grad) AS n_values, sum(grad) AS total,
+       min(pnt_pst) AS first_point, max(transect_id) AS last_transect FROM {source} GROUP BY ALL"""
+
+
+def _digest(df, *keys: str):
+    """What was read back, folded per site and year over the whole table."""
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("grad").alias("n_values"),
+        F.sum("grad").alias("total"), F.min("pnt_pst").alias("first_point"),
+        F.max("transect_id").alias("last_transect"))
+
+
+@query("a02_stack_folder", _DIGEST.format(keys="site_id, year", source="gs"), dbl="total")
 def _(v):
-    rows = v.samples().filter(F.col("year") == 2020)
+    # Two folders of files, read as one table.
     root = scratch_path(v.spark, "stacked")
-    for part in ("inner", "outer"):
-        side = F.col("pnt_pst") < 0 if part == "inner" else F.col("pnt_pst") >= 0
-        tb.write_table(rows.filter(side), f"{root}/{part}", "csv")
-    return tb.read_table(v.spark, root, schemas.SAMPLES, "csv", glob="*.csv", recursive=True)
+    for part, side in (("inner", F.col("pnt_pst") < 0), ("outer", F.col("pnt_pst") >= 0)):
+        tb.write_table(v.samples().filter(side), f"{root}/{part}", "csv")
+    table = tb.read_table(v.spark, root, schemas.SAMPLES, "csv", glob="*.csv", recursive=True)
+    return _digest(table, "site_id", "year")
 
 
-@query("a03_files_by_length", """
-SELECT length_km, site_id, transect_id, pnt_pst, year, grad FROM gs_all
-WHERE length_km = 15 AND year = 2020""", dbl="grad")
+@query("a03_files_by_length", _DIGEST.format(
+    keys="length_km, site_id, year", source="gs_all WHERE length_km = 15"), dbl="total")
 def _(v):
-    rows = v.samples_all().filter(F.col("year") == 2020)
+    rows = v.samples_all()
     path = tb.write_table(rows, scratch_path(v.spark, "by_length"), "parquet", ["length_km"])
     table = tb.read_table(v.spark, path, rows.schema, "parquet")
-    return table.filter(F.col("length_km") == 15)
+    return _digest(table.filter(F.col("length_km") == 15), "length_km", "site_id", "year")
 
 
-@query("a04_slim_rewrite", "SELECT * FROM gs WHERE year >= 2019", dbl="grad")
+@query("a04_slim_rewrite", _DIGEST.format(keys="site_id, year", source="gs"), dbl="total")
 def _(v):
-    raw = v.samples().filter(F.col("year") >= 2019).withColumn(
+    raw = v.samples().withColumn(
         "geom", F.concat_ws(" ", F.lit("POINT"), "transect_id", "pnt_pst"))
-    return _round_trip(v, tb.slim_samples(raw), "slim", "parquet", schemas.SAMPLES)
+    slim = _round_trip(v, tb.slim_samples(raw), "slim", "parquet", schemas.SAMPLES)
+    return _digest(slim, "site_id", "year")
 
 
 @query("a05_write_table", "SELECT * FROM ori_counts")
@@ -83,10 +94,10 @@ def _(v):
     return _round_trip(v, v.country(), "country", "csv", schemas.COUNTRY).select("iso3")
 
 
-@query("a09_imagery_export", "SELECT * FROM sampled WHERE year = 2020", dbl="grad",
+@query("a09_imagery_export", "SELECT * FROM sampled", dbl="grad",
        views={"sampled": images._SAMPLED["sampled"].format(points="land")})
 def _(v):
-    stack = materialise(images.gradient(v, "MODIS").filter(F.col("year") == 2020), "gradient")
+    stack = materialise(images.gradient(v, "MODIS"), "gradient")
     rows = im.sample_years(images.land(v), stack, images.POINT)
     return _round_trip(v, rows.select("site_id", "transect_id", "pnt_pst", "year", "grad"),
                        "imagery", "csv", schemas.SAMPLES)

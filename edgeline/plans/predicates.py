@@ -52,11 +52,14 @@ def _(v):
 
 
 @query("b04_semi_join", """
-SELECT site_id, transect_id, pnt_pst, grad FROM gs WHERE year = 2020 AND site_id IN (
-  SELECT site_id FROM levels WHERE perc_evaluated_2020 >= 0.3)""", dbl="grad")
+SELECT site_id, year, count(*) AS n_rows, sum(grad) AS total FROM gs WHERE site_id IN (
+  SELECT site_id FROM levels WHERE perc_evaluated_2020 >= 0.3) GROUP BY ALL""", dbl="total")
 def _(v):
-    rows = v.samples().filter(F.col("year") == 2020).drop("year")
-    return sites.semi_filter(rows, rates.reported_sites(rs.levels(v)).select("site_id"), "site_id")
+    # Folding the samples first leaves one row per site and year to join.
+    folded = v.samples().groupBy("site_id", "year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("grad").alias("total"))
+    return sites.semi_filter(folded, rates.reported_sites(rs.levels(v)).select("site_id"),
+                             "site_id")
 
 
 @query("b05_anti_join", """
@@ -212,5 +215,4 @@ def _(v):
 SELECT row_number() OVER (ORDER BY o_orderkey) AS lineid, 'S' || o_custkey AS site_id,
        o_orderkey AS transect_id FROM orders""")
 def _(v):
-    block = F.floor(F.col("transect_id") / 65536)
-    return sites.row_ids(v.placed(), block, [F.col("transect_id")])
+    return sites.row_ids(v.placed(), "transect_id")
