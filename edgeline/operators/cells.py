@@ -38,8 +38,11 @@ def fill(seg: DataFrame, size: float = CELL, carry: Sequence[str] = ()) -> DataF
     yc = (F.col("cy") + 0.5) * size
     x = (F.col("x0") + (yc - F.col("y0")) * (F.col("x1") - F.col("x0"))
          / (F.col("y1") - F.col("y0")))
+    # Spans are few bytes but unfold into many cells: a fixed partition count
+    # keeps the runtime from merging them into a few large tasks.
+    parts = int(seg.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("fid", "cy").orderBy("x")
-    spans = (hits.select("fid", *carry, "cy", x.alias("x"))
+    spans = (hits.select("fid", *carry, "cy", x.alias("x")).repartition(parts, "fid", "cy")
              .withColumn("i", F.row_number().over(w)).withColumn("xe", F.lead("x").over(w))
              .filter(F.col("i") % 2 == 1))
     c0, c1 = first_centre(F.col("x"), size), first_centre(F.col("xe"), size) - 1
@@ -90,7 +93,7 @@ def reclassify_mask(cells: DataFrame, value: str = "value") -> DataFrame:
 
 
 def disc(radius_cells: float) -> list[int]:
-    """Vertical reach per column offset of the cells whose nearest edge is closer
+    """Reach along a row, per row offset, of the cells whose nearest edge is closer
     than the radius to a cell centre."""
     n = math.ceil(radius_cells + 0.5) - 1
     gap = lambda d: max(abs(d) - 0.5, 0.0)
@@ -102,15 +105,36 @@ def shrink(cells: DataFrame, radius: float, size: float = CELL,
            keys: Sequence[str] = ()) -> DataFrame:
     """Remove the cells that lie within ``radius`` of background.
 
-    The background cell nearest to a mask cell always touches the mask, so only
-    the rim of background cells is spread over the disc, not the whole mask.
+    The background cell nearest to a mask cell always shares a side with the
+    mask, so only that rim of background cells matters. Each rim cell covers one
+    interval per row of its disc; interval ends are counted up and down along the
+    row, and a mask cell survives where no interval is open.
     """
     keys = list(keys)
-    mask = cells.select(*keys, "cx", "cy")
-    on = [*keys, "cx", "cy"]
-    rim = _shifted(mask, [1, 1, 1], keys).distinct().join(mask, on, "left_anti")
-    near = _shifted(rim, disc(radius / size), keys).distinct()
-    return mask.join(near, on, "left_anti")
+    cross = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"),
+                               F.lit(dx == 0 and dy == 0).alias("own"))
+                      for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+    grid = (cells.select(*keys, "cx", "cy", F.inline(cross))
+            .groupBy(*keys, (F.col("cx") + F.col("dx")).alias("cx"),
+                     (F.col("cy") + F.col("dy")).alias("cy"))
+            .agg(F.max("own").alias("is_mask")))
+    mask = grid.filter("is_mask").drop("is_mask")
+    rim = grid.filter("NOT is_mask")
+    reach = disc(radius / size)
+    n = len(reach) // 2
+    rows = rim.select(*keys, "cx", "cy", F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("dy"))
+    out = F.element_at(F.lit(reach), F.col("dy") + n + 1)
+    ends = F.array(F.struct((F.col("cx") - out).alias("at"), F.lit(1).alias("step")),
+                   F.struct((F.col("cx") + out + 1).alias("at"), F.lit(-1).alias("step")))
+    events = (rows.select(*keys, (F.col("cy") + F.col("dy")).alias("cy"), F.inline(ends))
+              .groupBy(*keys, "cy", F.col("at").alias("cx")).agg(F.sum("step").alias("step"))
+              .filter("step <> 0").withColumn("is_cell", F.lit(False)))
+    both = events.unionByName(mask.withColumns({"step": F.lit(0).cast("long"),
+                                                "is_cell": F.lit(True)}))
+    w = (Window.partitionBy(*keys, "cy").orderBy("cx")
+         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return (both.withColumn("open", F.sum("step").over(w)).filter("is_cell AND open = 0")
+            .select(*keys, "cx", "cy"))
 
 
 def dissolve(cells: DataFrame, label: str) -> DataFrame:
