@@ -97,6 +97,10 @@ def crosses_to_centre(px: Column, py: Column, cx: Column, cy: Column, ax: Column
     at_p = dx * (py - ay) - dy * (px - ax)
     at_c = dx * (cy - ay) - dy * (cx - ax)
     c_left = F.when(at_c != 0, at_c > 0).when(dy != 0, dy < 0).otherwise(dx > 0)
-    at_a = (cx - px) * (ay - py) - (cy - py) * (ax - px)
-    at_b = (cx - px) * (by - py) - (cy - py) * (bx - px)
-    return ((at_p > 0) != c_left) & ((at_a >= 0) != (at_b >= 0))
+
+    def on_left(vx: Column, vy: Column) -> Column:
+        # The moved centre turns the way a little; a vertex on it takes that side.
+        at = (cx - px) * (vy - py) - (cy - py) * (vx - px)
+        return F.when(at != 0, at > 0).when(vy != py, vy > py).otherwise(vx < px)
+
+    return ((at_p > 0) != c_left) & (on_left(ax, ay) != on_left(bx, by))
