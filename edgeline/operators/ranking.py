@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_GROUP_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
+# At most four in this many rows stay in the bracket that one task ranks.
+SKETCH_ACCURACY = 100_000
 
 
 def number_rows(df: DataFrame, groups: Sequence[str], levels: Sequence[Sequence[Column]],

@@ -58,6 +58,25 @@ def group_year_share(counts: DataFrame, group: Sequence[str], denominator: str =
                     F.try_divide(F.col("n_edge"), F.col("n")).alias("perc_edge")))
 
 
+def year_shares_with_total(counts: DataFrame, group: str, total: str = "Global",
+                           n_years: int = 20, ref_year: int = REF_YEAR) -> DataFrame:
+    """Yearly edge share of every group and of the whole, from one aggregation.
+
+    The whole uses its rows over all years divided by ``n_years`` as denominator,
+    a group its count in the reference year.
+    """
+    labelled = counts.select("year", "n", "n_edge",
+                             F.explode(F.array(F.lit(total), F.col(group))).alias(group))
+    yearly = labelled.groupBy(group, "year").agg(F.sum("n").alias("n"),
+                                                 F.sum("n_edge").alias("n_edge"))
+    w = Window.partitionBy(group)      # one row per calendar year
+    over_years = F.sum("n").over(w) / n_years
+    reference = F.max(F.when(F.col("year") == ref_year, F.col("n"))).over(w)
+    below = F.when(F.col(group) == total, over_years).otherwise(reference.cast("double"))
+    return (yearly.withColumn("d", below).filter(F.col("n_edge") > 0)
+            .select(group, "year", F.try_divide(F.col("n_edge"), F.col("d")).alias("perc_edge")))
+
+
 def class_counts(classed: DataFrame, group: str = "biome", cls: str = "edge_change") -> DataFrame:
     """Sites per group in each trend class, wide; the total leaves out the
     stable and unknown classes."""

@@ -81,7 +81,9 @@ def _(v):
     return stats.welch_t(kept, "edge_level_2020", "edge_level_2020_null2")
 
 
-@query("f04_welch_null_test_p")
+@query("f04_welch_null_test_p", f"""
+SELECT *, {rs.f_p_sql('(t_value * t_value)', '1', 'df')} AS p_value FROM ({_WELCH})""",
+       dbl="mean_a mean_b t_value df p_value", views=_PAIRS)
 def _(v):
     kept = null_levels(v).filter(F.col("perc_evaluated_2020") >= 0.3)
     return stats.with_t_test(stats.welch_t(kept, "edge_level_2020", "edge_level_2020_null2"))
@@ -93,11 +95,7 @@ UNION ALL SELECT biome, year, perc_edge FROM biome_rate"""
 
 
 def rate_rows(v):
-    counts = rs.reported_year_counts(v)
-    overall = rates.global_year_share(counts).select(F.lit("Global").alias("biome"), "year",
-                                                     "perc_edge")
-    return overall.unionByName(
-        rates.group_year_share(counts, ["biome"]).select("biome", "year", "perc_edge"))
+    return rates.year_shares_with_total(rs.reported_year_counts(v), "biome")
 
 
 _TABLE = "n_obs slope std_err t_value r2 adj_r2 f_value p_value"
@@ -209,6 +207,21 @@ def _(v):
                                     "site_id")
 
 
+@query("f09_standardised_residuals", """
+SELECT site_id, biome AS grp, y - m AS resid, (y - m) / sqrt(ms * (1 - 1.0 / n)) AS std_resid
+FROM (SELECT site_id, biome, edge_level_2020 AS y, avg(edge_level_2020) OVER w AS m,
+        count(edge_level_2020) OVER w AS n FROM reported_site
+      WHERE biome IS NOT NULL AND edge_level_2020 IS NOT NULL
+      WINDOW w AS (PARTITION BY biome)),
+     (SELECT sum(v) / (sum(n) - count(*)) AS ms FROM (
+        SELECT var_pop(edge_level_2020) * count(edge_level_2020) AS v, count(edge_level_2020) AS n
+        FROM reported_site WHERE biome IS NOT NULL AND edge_level_2020 IS NOT NULL GROUP BY biome))
+WHERE n > 1""", dbl="resid std_resid")
+def _(v):
+    return stats.residual_quantiles(rs.reported_levels(v, "site"), "biome", "edge_level_2020",
+                                    "site_id").drop("theoretical")
+
+
 @query("f10_area_summary", """
 SELECT min(gis_area) AS min, quantile_cont(gis_area, 0.25) AS q1, median(gis_area) AS median,
        avg(gis_area) AS mean, quantile_cont(gis_area, 0.75) AS q3, max(gis_area) AS max
