@@ -43,7 +43,7 @@ CLASS_ORDER = [
 ]
 # End of fixed values.
 
-_GROUPED = [(DESERT, "Desert"), (TROPICAL, "Tropical-Forests"),
+_GROUPED = [(TROPICAL, "Tropical-Forests"),
             (TEMPERATE, "Temperate-Forests"), (BOREAL, "Boreal-Forests")]
 
 
@@ -53,7 +53,7 @@ def regroup_biome(raw: Column, variant: str = "global") -> Column:
     ``global`` folds a missing label into rock and ice and keeps "Mangroves";
     ``site`` keeps a missing label missing and shortens two names.
     """
-    out = F
+    out = F.when(raw.isin(DESERT), "Desert")
     for members, group in _GROUPED:
         out = out.when(raw.isin(members), group)
     if variant == "global":

@@ -82,19 +82,20 @@ def _quantiles_by_rank(values: DataFrame, keys: list[str], probs: dict[str, floa
     return out.select(*keys, *[value(n).alias(n) for n in probs])
 
 
-def _bracketed(df: DataFrame, keys: list[str], value: str, name: str, prob: float,
+def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                accuracy: int) -> DataFrame:
-    """One exact quantile from a bounded sketch and one recount near it.
+    """Exact quantiles from one bounded sketch and one recount near its answers.
 
-    ``percentile_approx`` guarantees a rank error below n/accuracy, so the exact
-    value lies between the sketch values two such steps below and above, or next to
-    them. All rows outside the bracket collapse to one counted row per side that
-    keeps the value nearest the bracket; rows inside are counted by distinct value.
+    ``percentile_approx`` guarantees a rank error below n/accuracy, so an exact
+    value lies between the sketch values two such steps below and above, or next
+    to them. Rows inside a bracket are counted by distinct value. Rows between
+    brackets collapse to one counted row per gap that keeps its smallest and
+    largest value; no other rank of a gap can be asked for.
     """
     slack = 2.0 / accuracy
-    ends = F.percentile_approx(value, F.array(F.lit(max(0.0, prob - slack)),
-                                              F.lit(min(1.0, prob + slack))),
-                               F.lit(accuracy))
+    asked = [p for prob in probs.values()
+             for p in (max(0.0, prob - slack), min(1.0, prob + slack))]
+    ends = F.percentile_approx(value, F.array(*[F.lit(p) for p in asked]), F.lit(accuracy))
     df = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__x"))
     bounds = df.withColumnRenamed("__x", value).groupBy(*keys).agg(
         F.struct(ends.alias("e"), F.count(F.lit(1)).alias("n")).alias("__b"))
@@ -102,16 +103,23 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, name: str, prob: floa
         marked = df.join(bounds, keys)
     else:
         marked = df.withColumn("__b", bounds.scalar())
-    lo, hi = F.col("__b.e")[0], F.col("__b.e")[1]
-    side = F.when(F.col("__x") < lo, -1).when(F.col("__x") > hi, 1).otherwise(0)
-    inside = F.when(F.col("__side") == 0, F.col("__x"))
-    counted = (marked.withColumn("__side", side).withColumn("__k", inside)
-               .groupBy(*keys, "__side", "__k")
-               .agg(F.count(F.lit(1)).alias("__c"), F.max("__b.n").alias("__n"),
-                    F.min("__x").alias("__min"), F.max("__x").alias("__max"))
-               .withColumn("__v", F.when(F.col("__side") < 0, F.col("__max"))
-                           .otherwise(F.col("__min"))))
-    return _quantiles_by_rank(counted, keys, {name: prob})
+    x, inside, gap = F.col("__x"), F.lit(False), F.lit(0)
+    for i in range(0, len(asked), 2):
+        lo, hi = F.col("__b.e")[i], F.col("__b.e")[i + 1]
+        inside = inside | ((x >= lo) & (x <= hi))
+        gap = gap + (x > lo).cast("int") + (x > hi).cast("int")
+    counted = (marked.withColumn("__gap", F.when(~inside, gap))
+               .withColumn("__k", F.when(F.col("__gap").isNull(), x))
+               .groupBy(*keys, "__gap", "__k")
+               .agg(F.count(F.lit(1)).alias("__m"), F.max("__b.n").alias("__n"),
+                    F.min("__x").alias("__min"), F.max("__x").alias("__max")))
+    entry = lambda v, c: F.struct(v.alias("__v"), c.alias("__c"))
+    one = F.array(entry(F.col("__min"), F.col("__m")))
+    two = F.array(entry(F.col("__min"), F.lit(1).cast("long")),
+                  entry(F.col("__max"), F.col("__m") - 1))
+    split = F.col("__gap").isNotNull() & (F.col("__m") > 1)
+    entries = counted.select(*keys, "__n", F.inline(F.when(split, two).otherwise(one)))
+    return _quantiles_by_rank(entries, keys, probs)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -124,22 +132,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
 
-    def wide(part: DataFrame) -> DataFrame:
-        out = None
-        for name, prob in probs.items():
-            one = _bracketed(part, keys, value, name, prob, accuracy)
-            out = one if out is None else (out.join(one, keys) if keys else
-                                           out.withColumn(name, one.scalar()))
-        return out
-
     if not keys:
-        return wide(df)
+        return _bracketed(df, keys, value, probs, accuracy)
     sizes = df.groupBy(*keys).agg(F.count(value).alias("__n"))
     hot = sizes.filter(F.col("__n") > hot_rows).select(*keys)
     exact = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
     cold = (df.join(hot, keys, "left_anti").groupBy(*keys).agg(exact.alias("__q"))
             .select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)]))
-    return cold.unionByName(wide(df.join(hot, keys, "left_semi")))
+    warm = _bracketed(df.join(hot, keys, "left_semi"), keys, value, probs, accuracy)
+    return cold.unionByName(warm)
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], block: Column, order: Column,

@@ -130,16 +130,18 @@ def tukey(df: DataFrame, group: str, y: str, alpha: float = 0.05,
           p_values: bool = True) -> DataFrame:
     """Honest significant differences for unequal group sizes.
 
-    The result has one row per pair of factor levels by definition. Pairs are
-    built from the table of group means, one row per level.
+    The result has one row per pair of factor levels by definition. Pairs come
+    from the table of group means: each level meets the list of larger levels.
     """
-    moments = _group_moments(df, group, y).withColumn("err", F.lit(1))
-    a = moments.select("err", F.col("grp").alias("grp_a"), F.col("mean").alias("mean_a"),
-                       F.col("n").alias("n_a"))
-    b = moments.select("err", F.col("grp").alias("grp_b"), F.col("mean").alias("mean_b"),
-                       F.col("n").alias("n_b"))
+    moments = _group_moments(df, group, y)
+    levels = moments.agg(F.collect_list(F.struct("grp", "mean", "n")).alias("levels"))
     terms = _error_terms(moments)
-    pairs = a.join(b, "err").filter(F.col("grp_a") < F.col("grp_b")).drop("err")
+    pairs = (moments.withColumn("levels", levels.scalar())
+             .select(F.col("grp").alias("grp_a"), F.col("mean").alias("mean_a"),
+                     F.col("n").alias("n_a"),
+                     F.explode(F.filter("levels", lambda b: b["grp"] > F.col("grp"))).alias("b"))
+             .select("grp_a", "mean_a", "n_a", F.col("b.grp").alias("grp_b"),
+                     F.col("b.mean").alias("mean_b"), F.col("b.n").alias("n_b")))
     fields = F.struct("k", "df_within", "ms_within").alias("e")
     pairs = pairs.withColumn("e", terms.select(fields).scalar())
     se = F.sqrt(F.col("e.ms_within") / 2 * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
@@ -196,10 +198,8 @@ def six_numbers(df: DataFrame, value: str) -> DataFrame:
     ends = df.agg(F.min(value).alias("min"), F.avg(value).alias("mean"),
                   F.max(value).alias("max"))
     mid = exact_quantiles(df, [], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    out = ends
-    for name in ("q1", "median", "q3"):
-        out = out.withColumn(name, mid.select(name).scalar())
-    return out.select("min", "q1", "median", "mean", "q3", "max")
+    out = ends.withColumn("q", mid.select(F.struct("q1", "median", "q3")).scalar())
+    return out.select("min", "q.q1", "q.median", "mean", "q.q3", "max")
 
 
 def confidence_band(points: DataFrame, keys: Sequence[str], y: str, x: str,

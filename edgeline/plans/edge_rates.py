@@ -18,10 +18,8 @@ LEVEL_NAMES = ["edge_level_2001", "edge_level_2020"]
 
 def n_side_column():
     """Points per side of each transect length, as a column over ``length_km``."""
-    out = F
-    for km, n_side, _ in adapter.LENGTHS:
-        out = out.when(F.col("length_km") == km, n_side)
-    return out
+    pairs = [F.lit(value) for km, n_side, _ in adapter.LENGTHS for value in (km, n_side)]
+    return F.create_map(*pairs)[F.col("length_km")]
 
 
 VIEWS["levels_long"] = """

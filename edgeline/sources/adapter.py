@@ -173,7 +173,8 @@ class Views:
                 .filter((F.col("ring") == 0) | (F.col("fid") % 4 == 0)))
 
     def polygons(self) -> DataFrame:
-        """Site polygons as vertices: the rings, less every thirteenth."""
+        """Site polygons as vertices. Every thirteenth ring belongs to no site, so that
+        some border points match nothing."""
         return (self.rings().filter(F.col("fid") % 13 != 0)
                 .withColumn("site_id", F.concat(F.lit("P"), F.col("fid"))))
 
