@@ -100,7 +100,10 @@ def complete_two_years(v):
 
 
 def null_levels(v, mode: str = "dense"):
-    return nullmodel.null_edge_levels(complete_two_years(v), rs.levels(v), mode=mode)
+    # The measured levels need the same two years, so they read the written samples.
+    complete = complete_two_years(v)
+    levels = sm.edge_levels(v.placed(), v.original_counts(), complete)
+    return nullmodel.null_edge_levels(complete, levels, mode=mode)
 
 
 @query("e10_shuffled_borders", "SELECT * FROM shuffled", dbl="grad", views=NULL_DENSE)
