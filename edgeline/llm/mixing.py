@@ -29,8 +29,7 @@ from edgeline.operators.ranking import number_rows
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 20
-#: Sums that the dynamic programming covers: enough for the largest open budget is
-#: not needed, since larger lengths are taken before it starts.
+#: Sums that the dynamic programming covers; larger lengths are taken before it starts.
 REACH = 1 << 15
 
 
@@ -75,7 +74,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     if budget >= total:
         return counts.astype(np.int64)
     # A proportional part of every length leaves less than one document of each.
-    taken = count * budget // total
+    taken = np.array([int(c) * budget // total for c in count], dtype=np.int64)
     left = budget - int((size * taken).sum())
     # The largest lengths that fit, as long as the rest is beyond the table below.
     for i in range(len(size)):
