@@ -229,7 +229,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
     adaptive execution splits.
     """
     found = templates(pages, min_pages, share).withColumnRenamed("host", "__host")
-    joined = pages.withColumn("__host", host(F.col("url"))).join(found, "__host", "left")
+    # Sorted sides keep the join one whose hot hosts can be split at run time.
+    joined = pages.withColumn("__host", host(F.col("url"))).join(
+        found.hint("merge"), "__host", "left")
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known: dict[bytes, frozenset[int]] = {}

@@ -9,7 +9,12 @@ exclusive-or and bit counts over whole tiles. There are at most 17^4 count class
 whatever the input, so their sizes are a small table.
 
 The work is exact and grows with the square of the number of distinct
-fingerprints; the quarters leave about one pair in eighty to compare.
+fingerprints; for radius 2 the quarters leave about one pair in eighty to compare.
+
+Word shingles at a similarity of 0.8 need more than 64 bits: there two lanes (128
+bits, independent seeds) and a radius of 22 link nearly all texts from 0.85 on, half
+or more at 0.8, and no unrelated ones. Such a radius skips few tiles, so one coarse
+class of the total count takes the place of the quarters.
 """
 
 from __future__ import annotations
@@ -28,62 +33,75 @@ from edgeline.operators.cells import star_contract
 SHINGLE = 3
 RADIUS = 2
 #: Fingerprints in a tile, on average at most.
-TILE = 4096
+TILE = 8192
+#: Shingle, lanes and radius for a word-shingle similarity of 0.8.
+SIMILAR = {"shingle": 5, "lanes": 2, "radius": 22}
 _QUARTERS = 4
-_BASE = 17                              # a quarter has 0 to 16 bits set
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of a whole text; 0 if it has no word.
+def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> bytes:
+    """64-bit fingerprints, little-endian, one per lane; 0 for a text without a word.
 
     bytes.lower and bytes.split know A to Z and the six ASCII white spaces only,
     which is the definition of case and words here.
     """
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
-        return 0
+        return bytes(8 * lanes)
     if len(words) < shingle:
         pieces = [b" ".join(words)]
     else:
-        pieces = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashed = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in pieces), dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for start in range(0, len(hashed), 1 << 16):
-        part = hashed[start:start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(hashed), bitorder="little")
-    return int(bits.view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Adds ``fp`` (signed 64-bit) to every row; map-only."""
-    udf = F.pandas_udf(lambda s: pd.Series([fingerprint(t, shingle) for t in s], dtype="int64"),
-                       "long")
+        pieces = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    out = []
+    for lane in range(lanes):
+        hashed = np.fromiter((xxhash.xxh64_intdigest(p, 42 + lane) for p in pieces),
+                             dtype=np.uint64, count=len(pieces))
+        ones = np.zeros(64, dtype=np.int64)
+        for start in range(0, len(hashed), 1 << 16):
+            part = hashed[start:start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(hashed), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
+                 lanes: int = 1) -> DataFrame:
+    """Adds ``fp`` (binary, 8 bytes a lane) to every row; map-only."""
+    udf = F.pandas_udf(lambda s: pd.Series([fingerprint(t, shingle, lanes) for t in s],
+                                           dtype=object), "binary")
     return docs.withColumn("fp", udf(F.col(text)))
 
 
-def _near_classes(radius: int) -> list[list[int]]:
-    """Steps between count classes within the radius, each pair of classes once."""
+def _near_steps(radius: int, quarters: bool) -> list[list[int]]:
+    """Steps between count classes within reach, each pair of classes once."""
+    if not quarters:
+        return [[0], [1]]
     grid = np.stack(np.meshgrid(*[np.arange(-radius, radius + 1)] * _QUARTERS), -1)
     steps = grid.reshape(-1, _QUARTERS)
     steps = steps[np.abs(steps).sum(axis=1) <= radius]
     return [s.tolist() for s in steps if s.tolist() >= [0] * _QUARTERS]
 
 
+def _codes(tile: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(tile), dtype="<u8").reshape(len(tile), -1)
+
+
 def _links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two tiles within the radius."""
     rows, cols = [], []
-    step = max(1, (1 << 22) // max(len(right), 1))
+    step = max(1, (1 << 21) // max(len(right), 1))
     for start in range(0, len(left), step):
-        near = np.bitwise_count(left[start:start + step, None] ^ right[None, :]) <= radius
-        i, j = np.nonzero(near)
+        apart = np.zeros((min(step, len(left) - start), len(right)), dtype=np.uint8)
+        for lane in range(left.shape[1]):
+            apart += np.bitwise_count(left[start:start + step, None, lane] ^ right[None, :, lane])
+        i, j = np.nonzero(apart <= radius)
         rows.append(i + start)
         cols.append(j)
     return np.concatenate(rows), np.concatenate(cols)
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Links that connect the same fingerprints as the pairs (a, b), one per node at most."""
+    """Links that connect the same nodes as the pairs (a, b), one per node at most."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     i, j = flat[:len(a)], flat[len(a):]
     label = np.arange(len(nodes))
@@ -100,28 +118,42 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([nodes[label[keep]], nodes[keep]])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b) links that connect every two fingerprints within the radius.
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b) links that connect every two nodes whose fingerprints are within the radius.
 
-    ``fps`` has one row per distinct ``fp``. A tile pair returns links that span
-    its matches, so a dense group does not give all its pairs.
+    ``nodes`` has one row per distinct fingerprint: ``node`` (long) and ``fp``. A tile
+    pair returns links that span its matches, so a dense group does not give all its
+    pairs.
     """
-    quarter = lambda q: F.bit_count(F.col("fp").bitwiseAND(F.lit((0xFFFF << 16 * q) if q < 3 else -(1 << 48)))
-                                    ).cast("int")
-    keys = [f"q{q}" for q in range(_QUARTERS)]
-    tagged = fps.select("fp", *[quarter(q).alias(keys[q]) for q in range(_QUARTERS)])
+    quarters = radius < 4
+    keys = [f"q{q}" for q in range(_QUARTERS if quarters else 1)]
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = np.bitwise_count(np.frombuffer(b"".join(batch.fp), dtype="<u2"))
+            bits = bits.reshape(len(batch), -1).astype(np.int32)
+            if quarters:
+                bits = bits.reshape(len(batch), -1, _QUARTERS).sum(axis=1)
+            else:
+                bits = bits.sum(axis=1, keepdims=True) // (radius + 1)
+            yield pd.concat([batch, pd.DataFrame(bits, columns=keys, index=batch.index)], axis=1)
+
+    tagged = nodes.select("node", "fp").mapInPandas(
+        counts, "node long, fp binary, " + ", ".join(f"{k} int" for k in keys))
+    tagged = materialise(tagged, "simhash-nodes")
     sizes = (tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
              .withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).drop("n"))
-    # At most 17^4 classes: a proven bound for the two broadcasts.
+    # At most 17^4 classes for one lane, fewer otherwise: a proven bound for the broadcasts.
     placed = tagged.join(F.broadcast(sizes), keys).withColumn(
-        "block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    tiles = placed.groupBy(*keys, "block").agg(F.collect_list("fp").alias("fps"))
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiles = placed.groupBy(*keys, "block").agg(F.collect_list("node").alias("ns"),
+                                               F.collect_list("fp").alias("fps"))
     tiles = materialise(tiles, "simhash-tiles")
 
-    steps = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _near_classes(radius)])
+    steps = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _near_steps(radius, quarters)])
     left = tiles.withColumn("s", F.explode(steps)).select(
-        *keys, "block", "fps", *[(F.col(k) + F.col("s")[i]).alias(f"o{k}")
-                                 for i, k in enumerate(keys)])
+        *keys, "block", "ns", "fps", *[(F.col(k) + F.col("s")[i]).alias(f"o{k}")
+                                       for i, k in enumerate(keys)])
     other = sizes.select(*[F.col(k).alias(f"o{k}") for k in keys], F.col("blocks").alias("oblocks"))
     left = (left.join(F.broadcast(other), [f"o{k}" for k in keys])
             .withColumn("oblock", F.explode(F.sequence(F.lit(0), F.col("oblocks") - 1))))
@@ -130,61 +162,69 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         same = same & (F.col(k) == F.col(f"o{k}"))
     left = left.filter(~same | (F.col("block") <= F.col("oblock")))
     right = tiles.select(*[F.col(k).alias(f"o{k}") for k in keys], F.col("block").alias("oblock"),
-                         F.col("fps").alias("ofps"))
-    pairs = left.join(right, [*[f"o{k}" for k in keys], "oblock"]).select("fps", "ofps")
+                         F.col("ns").alias("ons"), F.col("fps").alias("ofps"))
+    pairs = left.join(right, [*[f"o{k}" for k in keys], "oblock"]).select(
+        "ns", "fps", "ons", "ofps")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [np.zeros((0, 2), dtype=np.int64)]
-            for a, b in zip(batch.fps, batch.ofps):
-                a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
-                i, j = _links(a, b, radius)
-                found.append(_spanning(a[i], b[j]))
+            for ns, fps, ons, ofps in zip(batch.ns, batch.fps, batch.ons, batch.ofps):
+                i, j = _links(_codes(fps), _codes(ofps), radius)
+                found.append(_spanning(np.asarray(ns, dtype=np.int64)[i],
+                                       np.asarray(ons, dtype=np.int64)[j]))
             yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
     return pairs.mapInPandas(compare, "a long, b long").filter("a <> b")
 
 
 def classes(marked: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Adds ``component_id``, the smallest key reachable over near fingerprints.
+    """(node, low, component_id) per distinct fingerprint of ``marked``.
 
-    ``marked`` has ``fp``. Equal fingerprints are folded to one node first; nodes are
-    linked, connected and joined back by ``fp``, so no text and no group of copies
-    moves as a whole. A NULL key counts as larger than all others; where no key of a
-    class is known the id is NULL. Repeated rows get the same id.
+    ``marked`` has ``fp`` and its 64-bit name ``node``. ``low`` is the smallest key
+    with the fingerprint and ``component_id`` the smallest reachable over near
+    fingerprints. A NULL key counts as larger than all others; where no key of a
+    class is known the id is NULL.
     """
-    nodes = materialise(marked.groupBy("fp").agg(F.min(key).alias("low")), "simhash-nodes")
-    roots = star_contract(links(nodes.select("fp"), radius))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        nodes["fp"], "low", F.coalesce("root", nodes["fp"]).alias("root"))
+    nodes = materialise(marked.groupBy("node").agg(F.min(key).alias("low"), F.first("fp").alias("fp")),
+                        "simhash-distinct")
+    roots = materialise(star_contract(links(nodes, radius)), "simhash-roots")
+    named = nodes.join(roots, "node", "left").select(
+        "node", "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes_ = named.join(lowest, "root").select("fp", "component_id")
-    return marked.join(classes_, "fp")
+    return named.join(lowest, "root").select("node", "low", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(key, fingerprint, component_id) of every row of ``docs``."""
-    marked = materialise(fingerprints(docs.select(key, text), text, shingle).drop(text),
-                         "simhash-fingerprints")
-    out = classes(marked, key, radius)
-    return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                      "component_id")
-
+    """(key, fingerprint, component_id) of every row of ``docs``.
 
-def keep_one(docs: DataFrame, shingle: int, radius: int = RADIUS) -> DataFrame:
+    Equal fingerprints are folded to one node first; nodes are linked, connected and
+    joined back, so no text and no group of copies moves as a whole. Texts without a
+    word share the fingerprint 0. Repeated rows get the same id.
+    """
+    marked = fingerprints(docs.select(key, text), text, shingle).drop(text)
+    marked = materialise(marked.withColumn("node", F.xxhash64("fp")), "simhash-fingerprints")
+    ids = classes(marked, key, radius).select("node", "component_id")
+    # The bytes are little-endian: reversed pairs of digits give the number.
+    digits = F.lower(F.hex("fp"))
+    number = F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)])
+    return (marked.join(ids.hint("merge"), "node")
+            .select(key, number.alias("fingerprint"), "component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SIMILAR["shingle"], lanes: int = SIMILAR["lanes"],
+             radius: int = SIMILAR["radius"]) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one stays of every class.
 
-    It is the row with the smallest id, then the smallest text; rows of one id that
-    also repeat the text leave one.
+    It is the row with the smallest id of its class. Rows that repeat one id leave
+    one; of rows without an id one stays where the class has no other.
     """
     columns = docs.columns
-    marked = materialise(fingerprints(docs, shingle=shingle), "simhash-documents")
-    ids = classes(marked.select("doc_id", "fp"), radius=radius)
-    lone = ids.groupBy("fp").agg(F.max("component_id").alias("component_id"))
-    firsts = (marked.groupBy("fp").agg(F.min("doc_id").alias("low")).join(lone, "fp")
-              .filter(F.col("low").eqNullSafe(F.col("component_id"))).select("fp", "low"))
-    kept = marked.join(firsts, "fp", "left_semi")
-    kept = kept.join(firsts.select(F.col("fp").alias("__fp"), "low"),
-                     (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("low")))
-    return kept.select(*columns).dropDuplicates(["doc_id"])
+    own = docs.select("doc_id", "text")
+    marked = fingerprints(own, shingle=shingle, lanes=lanes).drop("text")
+    marked = materialise(marked.withColumn("node", F.xxhash64("fp")), "simhash-fingerprints")
+    firsts = classes(marked, radius=radius).filter(F.col("low").eqNullSafe(F.col("component_id")))
+    ids = firsts.select(F.col("low").alias("__low")).distinct()
+    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*columns)
