@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from edgeline.llm.tables import fold, materialise
 
 #: Neighbouring ids in a chunk, and keys that one counting task adds up at most.
-CHUNK_IDS = 6000
-KEYS_PER_TASK = 4_000_000
+CHUNK_IDS = 4000
+KEYS_PER_TASK = 3_000_000
 BUCKETS = 32
 #: Estimates are binned by this part of a factor of ten while weights are learned.
 BIN = 0.05
@@ -62,6 +62,35 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (keys >> np.uint64(40)) % np.uint64(parts)
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Non-negative numbers by byte planes, without the planes that are empty."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = next((k for k in range(8, 0, -1) if planes[k - 1].any()), 0)
+    return zlib.compress(np.ascontiguousarray(planes[:used]).tobytes(), 1)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as steps of seven bytes where all steps fit."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    wide = 8 if (steps >> np.uint64(56)).any() else 7
+    return bytes([wide]) + steps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    wide = data[0]
+    steps = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, wide)
+    out = np.zeros((len(steps), 8), dtype=np.uint8)
+    out[:, :wide] = steps
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _asks(parts: int):
     """One row per chunk and counting task: sorted keys and their training counts.
 
@@ -84,8 +113,7 @@ def _asks(parts: int):
                 order = np.argsort(part, kind="stable")
                 unique, counts, part = unique[order], counts[order], part[order]
                 ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                yield pd.DataFrame([(p, chunk, unique[a:b].astype("<u8").tobytes(),
-                                     counts[a:b].tobytes())
+                yield pd.DataFrame([(p, chunk, _pack_sorted(unique[a:b]), _pack(counts[a:b]))
                                     for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a],
                                    columns=["part", "chunk", "keys", "counts"])
             held.clear()
@@ -104,27 +132,20 @@ def _asks(parts: int):
 
 def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
     """Totals of one counting task: per chunk, in the order of its sorted distinct keys."""
-    keys = np.concatenate([np.frombuffer(k, dtype="<u8") for k in rows["keys"]])
-    counts = np.concatenate([np.frombuffer(c, dtype="<i8") for c in rows["counts"]])
-    unique, at = np.unique(keys, return_inverse=True)
+    keys = [_unpack_sorted(k) for k in rows["keys"]]
+    counts = np.concatenate([_unpack(c, len(k)) for c, k in zip(rows["counts"], keys)])
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(at, weights=counts, minlength=len(unique)).astype("<i8")
     asked: dict[int, list[np.ndarray]] = {}
-    ends = np.cumsum([len(k) // 8 for k in rows["keys"]])[:-1]
     for chunk, own in zip(rows.chunk, np.split(at, ends)):
         asked.setdefault(chunk, []).append(own)
     # A chunk that asked in several rows gets one answer.
-    return pd.DataFrame([(chunk, rows.part.iloc[0], totals[np.unique(np.concatenate(own))].tobytes())
-                         for chunk, own in asked.items()], columns=["chunk", "part", "totals"])
-
-
-def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype("<i4" if values.max(initial=0) < 1 << 31 else "<i8")
-                         .tobytes(), 1)
-
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(data)
-    return np.frombuffer(raw, dtype="<i4" if len(raw) == 4 * n else "<i8").astype(np.int64)
+    out = []
+    for chunk, own in asked.items():
+        own = np.unique(np.concatenate(own)) if len(own) > 1 else own[0]
+        out.append((chunk, rows.part.iloc[0], len(own), _pack(totals[own])))
+    return pd.DataFrame(out, columns=["chunk", "part", "n", "totals"])
 
 
 _COUNTED = "doc_id long, train boolean, n long, start long, c2 binary, c12 binary, held binary"
@@ -144,7 +165,7 @@ def _counted(parts: int):
         # Answers come by counting task, in the order of their keys.
         totals = np.empty(len(keys), dtype=np.int64)
         totals[np.argsort(part_of(keys, parts), kind="stable")] = np.concatenate(
-            [np.frombuffer(t, dtype="<i8") for t in answers.sort_values("part").totals])
+            [_unpack(t, n) for _, n, t in sorted(zip(answers.part, answers["n"], answers.totals))])
         find = lambda k: totals[np.searchsorted(keys, k)]
         start = int(find(np.array([_START]))[0])
         rows, held = [], [np.zeros(0, dtype=np.int64)]
@@ -229,7 +250,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     parts = max(8, math.ceil(size / 4 / KEYS_PER_TASK))
     asks = rows.mapInPandas(_asks(parts), "part long, chunk long, keys binary, counts binary")
     answers = asks.groupBy("part").applyInPandas(
-        _add_up, "chunk long, part long, totals binary")
+        _add_up, "chunk long, part long, n long, totals binary")
     counted = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         _counted(parts), _COUNTED)
     counted = materialise(counted, "lm-counts")
