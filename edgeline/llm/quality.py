@@ -137,7 +137,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     measured = let(word_list(F.col("text")), lambda ws: F.struct(*[
         c.alias(n) for n, c in {**base_measures(F.col("text"), ws),
                                 "log_ratio": log_ratio(ws, F.col("__weights"))}.items()]))
-    out = out.withColumn("__m", measured)
+    # Generated, so that a later filter cannot repeat the measures once per use.
+    out = out.withColumn("__m", F.explode(F.array(measured)))
     out = out.withColumns({n: F.col("__m")[n] for n in MEASURES}).drop("__weights", "__m")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (out.withColumn("base_failed", failed)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeline.llm import bpe, html_text, language, lm, mixing, quality, simhash, spots, toxicity
+from edgeline.llm import bpe, html_text, language, lm, mixing, quality, separators, simhash, spots, toxicity
 from edgeline.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,13 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op7_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.count_tokens(table(spark, sf_dir, "documents"),
+                                   public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.PATTERN)
+
+
 @query("op8_source_mixing")
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
