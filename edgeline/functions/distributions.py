@@ -81,8 +81,14 @@ def _bisect(fn, lo, hi, rounds: int = 100):
 def t_quantile_two_sided(alpha, df) -> np.ndarray:
     """Positive t with two-sided tail mass alpha."""
     alpha, df = np.broadcast_arrays(np.asarray(alpha, float), np.asarray(df, float))
-    root = _bisect(lambda t: alpha - t_two_sided(t, df),
-                   np.zeros(df.shape), np.full(df.shape, 1e6))
+    # Widen until the tail is small enough; an invalid df or alpha stops at once.
+    high = np.full(df.shape, 16.0)
+    while True:
+        short = (df > 0) & (alpha > 0) & (t_two_sided(high, df) > alpha) & (high < 1e300)
+        if not short.any():
+            break
+        high = np.where(short, high * 16, high)
+    root = _bisect(lambda t: alpha - t_two_sided(t, df), np.zeros(df.shape), high, rounds=200)
     return np.where(df > 0, root, np.nan)
 
 
@@ -92,8 +98,8 @@ def normal_cdf(z) -> np.ndarray:
 
 def normal_quantile(p) -> np.ndarray:
     p = np.asarray(p, dtype=float)
-    root = _bisect(lambda z: normal_cdf(z) - p, np.full(p.shape, -9.0),
-                   np.full(p.shape, 9.0), rounds=60)
+    root = _bisect(lambda z: normal_cdf(z) - p, np.full(p.shape, -40.0),
+                   np.full(p.shape, 40.0), rounds=64)
     return np.where((p > 0) & (p < 1), root, np.nan)
 
 
@@ -121,8 +127,10 @@ def studentized_range_upper(q: float, k: int, df: float) -> float:
 @functools.lru_cache(maxsize=256)
 def studentized_range_quantile(alpha: float, k: int, df: float) -> float:
     """q with P(Q > q) = alpha."""
-    lo, hi = 0.0, 200.0
-    for _ in range(60):
+    lo, hi = 0.0, 16.0
+    while studentized_range_upper(hi, k, df) > alpha and hi < 1e12:
+        hi *= 2
+    for _ in range(80):
         mid = (lo + hi) / 2
         if studentized_range_upper(mid, k, df) > alpha:
             lo = mid

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeline.functions.geometry import cell_of
-from edgeline.operators.ranking import HOT_GROUP_ROWS, exact_quantiles
 
 N_BANDS = 7
 TILE = 128
@@ -44,25 +43,14 @@ def select_scenes(scenes: DataFrame, first_year: int, last_year: int,
             .withColumn("bands", F.slice("bands", 1, n_bands)))
 
 
-def yearly_median(scenes: DataFrame, n_bands: int = N_BANDS,
-                  hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def yearly_median(scenes: DataFrame, n_bands: int = N_BANDS) -> DataFrame:
     """Per-band median of each cell's scenes in a year: (sensor, year, cx, cy, bands).
 
-    A cell-year above ``hot_rows`` scenes takes the sketch-and-recount route of
-    ``exact_quantiles``; all others use the built-in exact median.
+    A cell has at most a few hundred scenes a year, so one grouped median serves every
+    cell-year. One whose bands are all NULL keeps a row of NULL bands.
     """
-    keys = ["sensor", "year", "cx", "cy"]
-    sizes = scenes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > hot_rows).select(*keys)
-    cold = scenes.join(hot, keys, "left_anti").groupBy(*keys).agg(
+    return scenes.groupBy("sensor", "year", "cx", "cy").agg(
         F.array(*[F.median(F.col("bands")[i]) for i in range(n_bands)]).alias("bands"))
-    long = (scenes.join(hot, keys, "left_semi")
-            .select(*keys, F.posexplode("bands").alias("band", "value")))
-    medians = exact_quantiles(long, [*keys, "band"], "value", {"m": 0.5}, hot_rows=0)
-    warm = medians.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda s: s["m"])
-        .alias("bands"))
-    return cold.unionByName(warm)
 
 
 def _tile_gradient(pdf: pd.DataFrame, radius: int, core: tuple[int, int, int]) -> pd.DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_GROUP_ROWS = 1_000_000
 # At most four in this many rows stay in the bracket that one task ranks.
 SKETCH_ACCURACY = 100_000
 
@@ -123,24 +122,12 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, floa
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float], hot_rows: int = HOT_GROUP_ROWS,
-                    accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                    probs: dict[str, float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Exact linear-interpolation quantiles per group (R type 7).
 
-    Small groups use the built-in aggregate. Groups above ``hot_rows`` rows, and
-    the ungrouped case, go through a sketch bracket and a recount.
+    Every group, whatever its size, goes through a sketch bracket and a recount.
     """
-    keys = list(keys)
-
-    if not keys:
-        return _bracketed(df, keys, value, probs, accuracy)
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("__n"))
-    hot = sizes.filter(F.col("__n") > hot_rows).select(*keys)
-    exact = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
-    cold = (df.join(hot, keys, "left_anti").groupBy(*keys).agg(exact.alias("__q"))
-            .select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)]))
-    warm = _bracketed(df.join(hot, keys, "left_semi"), keys, value, probs, accuracy)
-    return cold.unionByName(warm)
+    return _bracketed(df, list(keys), value, probs, accuracy)
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], block: Column, order: Column,

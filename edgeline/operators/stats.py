@@ -108,13 +108,13 @@ def _error_terms(moments: DataFrame) -> DataFrame:
 def anova(df: DataFrame, group: str, y: str, p_values: bool = True) -> DataFrame:
     """One-way analysis of variance from group moments."""
     moments = _group_moments(df, group, y)
-    row = moments.agg(
+    # Around the grand mean, so that a large mean does not cancel the spread.
+    grand = moments.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n")).scalar()
+    apart = F.col("mean") - F.col("grand")
+    row = moments.withColumn("grand", grand).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"),
         F.sum("ssw").alias("ss_within"),
-        # Between-group sum of squares as the weighted spread of the group means.
-        (F.sum(F.col("n") * F.col("mean") * F.col("mean"))
-         - F.sum(F.col("n") * F.col("mean")) * F.sum(F.col("n") * F.col("mean"))
-         / F.sum("n")).alias("ss_between"))
+        F.sum(F.col("n") * apart * apart).alias("ss_between"))
     df_b = (F.col("k") - 1).cast("double")
     df_w = (F.col("total") - F.col("k")).cast("double")
     msb, msw = F.try_divide(F.col("ss_between"), df_b), F.try_divide(F.col("ss_within"), df_w)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +29,14 @@ def build_session(app: str = "edgeline", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``. A local temporary folder
-    is made only where nothing is set, which is the case in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where nothing is set, which is
+    the case in tests, it is a folder below the warehouse, which executors share.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
-        current = named or tempfile.mkdtemp(prefix="edgeline-")
+        current = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
         context.setCheckpointDir(current)
     return named or current
 

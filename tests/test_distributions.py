@@ -42,3 +42,20 @@ def test_inverses_and_missing_values():
     assert d.normal_cdf(d.normal_quantile(p)) == pytest.approx(p, abs=1e-12)
     assert np.isnan(d.t_two_sided(np.array([np.nan, 1.0]), np.array([5.0, np.nan]))).all()
     assert d.beta_inc(0.0, 2, 3) == 0 and d.beta_inc(1.0, 2, 3) == 1
+
+
+def test_quantiles_beyond_the_first_bracket():
+    far = float(d.t_quantile_two_sided(1e-7, 1.0))
+    assert abs(far * 1e-7 * np.pi / 2 - 1) < 1e-6
+    q = d.studentized_range_quantile(0.01, 20, 1.0)
+    assert q > 200 and abs(d.studentized_range_upper(q, 20, 1.0) - 0.01) < 1e-6
+
+
+def test_anova_does_not_cancel_under_a_shift(spark):
+    from edgeline.operators.stats import anova
+    rows = [(f"g{i % 3}", float((i * 37) % 11 + (i % 3) * 2)) for i in range(300)]
+    values = []
+    for shift in (0.0, 1e9):
+        df = spark.createDataFrame([(g, y + shift) for g, y in rows], "g string, y double")
+        values.append(anova(df, "g", "y", p_values=False).first().f_value)
+    assert values[1] == pytest.approx(values[0], rel=1e-6)

@@ -45,7 +45,7 @@ def test_median_routes_agree(spark):
             for c in rng.integers(0, 4, 200)]
     df = spark.createDataFrame(rows, "sensor string, year int, cx long, cy long, bands array<double>")
     take = lambda d: {r.cx: list(r.bands) for r in d.collect()}
-    cold, hot = take(im.yearly_median(df)), take(im.yearly_median(df, hot_rows=40))
+    cold, hot = take(im.yearly_median(df)), take(im.yearly_median(df.repartition(5)))
     for c in cold:
         assert cold[c] == pytest.approx(hot[c])
         assert cold[c] == pytest.approx(np.median([r[4] for r in rows if r[2] == c], axis=0))
@@ -62,3 +62,10 @@ def test_water_and_sampling(spark):
     got = {(r.id, r.year): r.grad for r in im.sample_years(pts, grad, ["id"]).collect()}
     assert got == {(1, 2019): 1.5, (1, 2020): 2.5, (2, 2019): 1.5, (2, 2020): 2.5,
                    (3, 2019): None, (3, 2020): None}
+
+
+def test_median_keeps_a_cell_year_of_null_bands(spark):
+    rows = [("s", 2020, 1, 1, [None] * 7), ("s", 2020, 1, 1, [None] * 7), ("s", 2020, 2, 1, [1.0] * 7)]
+    df = spark.createDataFrame(rows, "sensor string, year int, cx int, cy int, bands array<double>")
+    got = {r.cx: r.bands for r in im.yearly_median(df).collect()}
+    assert got == {1: [None] * 7, 2: [1.0] * 7}
