@@ -7,17 +7,19 @@ u-arcs enter: where s has a v-arc, u-arcs are led to a copy of s without that
 arc, and every state with a u-arc gets a uv-arc into the state that v-arcs
 entered. All arcs of a label enter one state, so one gadget adds one state.
 
-States are stored as (copied from, born at merge, label left out) and labels as
-(left part, born at merge), which is the whole transition table: an arc is looked
-up by walking back to the older of state and label. A piece is encoded from left
-to right; every byte position is entered by exactly one canonical path. Decoding
-emits the bytes of the arc labels.
+The states that arcs of one label have entered form a chain of copies, each without
+one arc more. A chain is stored as {label left out: merge that copied} and labels as
+(left part, right part, born at merge), which is the whole transition table: an arc
+is looked up by walking back to the older of chain and label. A piece is encoded from left
+to right along arcs, longest first; every byte position is entered by exactly one
+canonical path. Decoding emits the bytes of the arc labels.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,22 @@ def byte_symbols() -> dict[str, int]:
     return ({chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)})
 
 
+class _Pieces(dict):
+    """Ids of the pieces seen last, by piece; what is missing is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= 32:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Automaton:
     """Compiled merges; ``encode`` and ``decode`` are exact inverses on bytes."""
 
@@ -54,20 +72,15 @@ class Automaton:
 
     def _compile(self, merges: list[tuple[int, int, int]]) -> None:
         size = max([*self.label, *self.special.values()]) + 1
-        self.left = [-1] * size
+        self.left, self.right = [-1] * size, [-1] * size
         self.age = [0] * size                  # merge that made the label, 0 for a byte
-        self.enters = [0] * size               # state that arcs of the label enter
-        self.copied, self.born, self.without = [0], [0], [-1]
+        self.without: list[dict[int, int]] = [{} for _ in range(size)]
         for step, (u, v, made) in enumerate(merges, 1):
-            s = self.enters[u]
-            if not self.arc(s, v):
-                continue                       # u is never followed by v
-            self.left[made], self.age[made] = u, step
-            self.enters[made] = self.enters[v]
-            self.copied.append(s)
-            self.born.append(step)
-            self.without.append(v)
-            self.enters[u] = len(self.born) - 1
+            if self.arc(u, v, step - 1):       # else u is never followed by v
+                self.left[made], self.right[made], self.age[made] = u, v, step
+                self.without[u][v] = step
+        self.latest = len(merges)
+        self.size = {token: len(name) for token, name in self.label.items()}
         # Walk over label bytes, as one table (node, byte) -> node.
         self.step, self.ends = {}, [-1]
         for token, name in self.label.items():
@@ -83,19 +96,19 @@ class Automaton:
                 node = nxt
             self.ends[node] = token
 
-    def arc(self, state: int, label: int) -> bool:
-        """Whether ``state`` has an arc ``label``."""
-        copied, born, without, left, age = (self.copied, self.born, self.without,
-                                            self.left, self.age)
+    def arc(self, entered: int, label: int, merge: int) -> bool:
+        """Whether the state that ``entered`` arcs enter after ``merge`` has an arc ``label``."""
+        left, right, age, without = self.left, self.right, self.age, self.without
         while True:
-            if born[state] > age[label]:
-                if without[state] == label:
-                    return False
-                state = copied[state]
-            elif age[label] == 0:
+            if without[entered].get(label, merge + 1) <= merge:
+                return False
+            born = age[label]
+            if age[entered] > born:            # to the chain that this one was copied from
+                merge, entered = age[entered] - 1, right[entered]
+            elif born == 0:
                 return True
             else:
-                label = left[label]
+                merge, label = min(merge, born), left[label]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "arcs", "find")}
@@ -103,42 +116,56 @@ class Automaton:
     def ready(self) -> Automaton:
         """Adds the per-task memory of looked-up arcs and encoded pieces."""
         self.arcs: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self.piece)
         self.find = regex.compile(self.pattern).findall
         return self
 
     def piece(self, text: str) -> bytes:
-        """Ids of one pre-split piece as little-endian 32-bit integers."""
+        """Ids of one pre-split piece as little-endian 32-bit integers.
+
+        Follows the longest arc first. A byte position is entered by one canonical
+        path only, so a position without a way to the end is left out from then on
+        and the search stays linear.
+        """
         data = text.encode("utf-8")
         n = len(data)
-        last = [-1] * (n + 1)
-        step, ends, arcs, enters = self.step, self.ends, self.arcs, self.enters
-        for i in range(n):
-            state, node = (enters[last[i]] if i else 0), 0
-            for j in range(i, n):
+        step, ends, arcs, size, latest = self.step, self.ends, self.arcs, self.size, self.latest
+        path, waiting, closed = [], [], set()
+        at, last = 0, -1
+        while at < n:
+            found, node = [], 0                # tokens that begin here, shortest first
+            for j in range(at, n):
                 node = step.get(node << 8 | data[j])
                 if node is None:
                     break
-                token = ends[node]
-                if token >= 0 and last[j + 1] < 0:
-                    key = state << 20 | token
+                if ends[node] >= 0:
+                    found.append(ends[node])
+            waiting.append(found)
+            while True:
+                if not found:                  # no way on: back by one token
+                    closed.add(at)
+                    waiting.pop()
+                    at -= size[path.pop()]
+                    last = path[-1] if path else -1
+                    found = waiting[-1]
+                    continue
+                token = found.pop()
+                if at + size[token] in closed:
+                    continue
+                if last >= 0:                  # the first state has every arc
+                    key = last << 20 | token
                     open_ = arcs.get(key)
                     if open_ is None:
-                        open_ = arcs[key] = self.arc(state, token)
-                    if open_:
-                        last[j + 1] = token
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= len(self.label[last[j]])
-        ids = np.array(out[::-1], dtype="<u4").tobytes()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        if len(self.arcs) >= 4 * REMEMBERED:
-            self.arcs.clear()
-        if n <= 64:
-            self.known[text] = ids
-        return ids
+                        open_ = arcs[key] = self.arc(last, token, latest)
+                    if not open_:
+                        continue
+                path.append(token)
+                at += size[token]
+                last = token
+                break
+        if len(arcs) >= 4 * REMEMBERED:
+            arcs.clear()
+        return struct.pack(f"<{len(path)}I", *path)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, packed; NULL counts as empty."""
@@ -150,9 +177,9 @@ class Automaton:
                 pieces = part.split(name)
                 cut += [(p, token) for p in pieces[:-1]] + [(pieces[-1], after)]
             rest = cut
-        known, piece = self.known, self.piece
+        known = self.known.__getitem__
         for part, after in rest:
-            out += [known.get(p) or piece(p) for p in self.find(part)]
+            out += map(known, self.find(part))
             if after >= 0:
                 out.append(np.array([after], dtype="<u4").tobytes())
         return b"".join(out)
