@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,8 +83,9 @@ def _near_steps(radius: int, quarters: bool) -> list[list[int]]:
     return [s.tolist() for s in steps if s.tolist() >= [0] * _QUARTERS]
 
 
-def _codes(tile: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(tile), dtype="<u8").reshape(len(tile), -1)
+def _array(cell: pa.Scalar, dtype: str) -> np.ndarray:
+    """The numbers packed in a binary cell, not copied."""
+    return np.frombuffer(cell.as_buffer(), dtype=dtype)
 
 
 def _links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,22 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiles = placed.groupBy(*keys, "block").agg(F.collect_list("node").alias("ns"),
                                                F.collect_list("fp").alias("fps"))
-    tiles = materialise(tiles, "simhash-tiles")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ns, fps = batch.column("ns"), batch.column("fps")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*[row.column(k) for k in (*keys, "block")],
+                     pa.array([ns[i].values.to_numpy(zero_copy_only=False).astype("<i8").tobytes()],
+                              pa.binary()),
+                     pa.array([b"".join(fps[i].values.to_pylist())], pa.binary())],
+                    names=[*keys, "block", "ns", "fps"])
+
+    tiles = materialise(tiles.mapInArrow(
+        pack, ", ".join(f"{k} int" for k in keys) + ", block int, ns binary, fps binary"),
+        "simhash-tiles")
 
     steps = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _near_steps(radius, quarters)])
     left = tiles.withColumn("s", F.explode(steps)).select(
@@ -166,16 +183,19 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     pairs = left.join(right, [*[f"o{k}" for k in keys], "oblock"]).select(
         "ns", "fps", "ons", "ofps")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lanes_of = lambda ns, fps: _array(fps, "<u8").reshape(len(_array(ns, "<i8")), -1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((0, 2), dtype=np.int64)]
-            for ns, fps, ons, ofps in zip(batch.ns, batch.fps, batch.ons, batch.ofps):
-                i, j = _links(_codes(fps), _codes(ofps), radius)
-                found.append(_spanning(np.asarray(ns, dtype=np.int64)[i],
-                                       np.asarray(ons, dtype=np.int64)[j]))
-            yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
-
-    return pairs.mapInPandas(compare, "a long, b long").filter("a <> b")
+            for ns, fps, ons, ofps in zip(*batch.columns):
+                i, j = _links(lanes_of(ns, fps), lanes_of(ons, ofps), radius)
+                found.append(_spanning(_array(ns, "<i8")[i], _array(ons, "<i8")[j]))
+            out = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])],
+                                             names=["a", "b"])
+
+    return pairs.mapInArrow(compare, "a long, b long").filter("a <> b")
 
 
 def classes(marked: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
