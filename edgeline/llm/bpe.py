@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ class _Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.encode()(piece)
         if len(piece) <= 32:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -116,7 +117,7 @@ class Automaton:
     def ready(self) -> Automaton:
         """Adds the per-task memory of looked-up arcs and encoded pieces."""
         self.arcs: dict[int, bool] = {}
-        self.known = _Pieces(self.piece)
+        self.known = _Pieces(weakref.WeakMethod(self.piece))
         self.find = regex.compile(self.pattern).findall
         return self
 
