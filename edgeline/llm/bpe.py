@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that are remembered with their ids, per task. Only speed depends on it.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def byte_symbols() -> dict[str, int]:
