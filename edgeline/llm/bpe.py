@@ -25,12 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces that are remembered with their ids, per task. Only speed depends on it.
 REMEMBERED = 100_000
+#: Rows that ``encode`` returns at a time.
+ROWS_OUT = 256
 
 
 def byte_symbols() -> dict[str, int]:
@@ -196,29 +200,37 @@ class Automaton:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
-           ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
+           ids: str = "ids", decoded: str | None = "decoded",
+           keep: list[str] | None = None) -> DataFrame:
     """Adds ``ids`` (binary, little-endian 32-bit) and the decoded text to every row.
 
     Map-only. NULL and empty texts give empty ids and an empty decoded text; the
     vocabulary, whose size is fixed, travels with the task. ``decoded=None`` leaves
-    the decoded text out.
+    the decoded text out. ``keep`` names the columns to carry, all by default; one
+    named like a new column gives way to it. A task holds one Arrow batch and the
+    results of ``ROWS_OUT`` rows.
     """
     auto = Automaton(path, pattern)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in (ids, decoded)]
+    fields = [T.StructField(c, df.schema[c].dataType) for c in kept]
+    fields.append(T.StructField(ids, T.BinaryType()))
+    if decoded:
+        fields.append(T.StructField(decoded, T.StringType()))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto.ready()
         names = auto.label | {i: s.encode("utf-8") for s, i in auto.special.items()}
-        for texts in batches:
-            packed = [auto.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": packed, "decoded": [
-                auto._text(p, names) if decoded else None for p in packed]})
-
-    both = F.pandas_udf(run, "ids binary, decoded string")(F.col(text))
-    out = df.withColumn("__bpe", both)
-    out = out.withColumn(ids, F.col("__bpe.ids"))
-    if decoded:
-        out = out.withColumn(decoded, F.col("__bpe.decoded"))
-    return out.drop("__bpe")
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(start, ROWS_OUT)
+                packed = [auto.encode(t.as_py()) for t in part.column(part.num_columns - 1)]
+                columns = [*part.columns[:-1], pa.array(packed, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([auto._text(p, names) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    rows = df.select(*kept, F.col(text).alias("__text"))
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def digest(df: DataFrame, path: str, pattern: str) -> DataFrame:
