@@ -150,27 +150,35 @@ def spectral_gradient(composite: DataFrame, radius: int = 3, tile: int = TILE) -
 
 
 def sample_years(points: DataFrame, gradient: DataFrame, key: Sequence[str],
-                 res: float = 500.0) -> DataFrame:
-    """Yearly gradient at every point, long; a point without a pixel gets NULL.
+                 years: Sequence[int], res: dict[str, float]) -> DataFrame:
+    """Gradient at every point per sensor of ``res`` and year, long: (key, sensor, year, grad).
 
-    The years of a pixel travel together as one row, so a point meets its pixel
-    once, and the year axis is unfolded after the join.
+    A point without a pixel gets NULL, also where the gradient table is empty. The
+    years of a pixel travel together as one row, so a point meets its pixel once a
+    sensor, and the year axis is unfolded after the join.
     """
-    years = gradient.agg(F.array_sort(F.collect_set("year")).alias("y"))
-    stacks = gradient.groupBy("cx", "cy").agg(
-        F.map_from_entries(F.collect_list(F.struct("year", "gradient"))).alias("by_year"))
-    at = points.withColumns({"cx": cell_of(F.col("x"), res), "cy": cell_of(F.col("y"), res)})
-    met = at.join(stacks, ["cx", "cy"], "left").withColumn("y", years.scalar())
-    return (met.select(*key, "by_year", F.explode("y").alias("year"))
-            .select(*key, "year", F.try_element_at("by_year", F.col("year")).alias("grad")))
+    stacks = (gradient.filter(F.col("year").isin(list(years))).groupBy("sensor", "cx", "cy")
+              .agg(F.map_from_entries(F.collect_list(F.struct("year", "gradient"))).alias("by_year")))
+    pixels = F.array(*[F.struct(F.lit(sensor).alias("sensor"), cell_of(F.col("x"), size).alias("cx"),
+                                cell_of(F.col("y"), size).alias("cy"))
+                       for sensor, size in res.items()])
+    met = (points.select(*key, F.inline(pixels)).join(stacks, ["sensor", "cx", "cy"], "left")
+           .select(*key, "sensor", "by_year",
+                   F.explode(F.array(*[F.lit(y) for y in years])).alias("year")))
+    return met.select(*key, "sensor", "year",
+                      F.try_element_at("by_year", F.col("year")).alias("grad"))
 
 
 def clip_to_box(cells: DataFrame, box: tuple[float, float, float, float],
-                res: dict[str, float]) -> DataFrame:
-    """Cells of each sensor whose centre lies in a box given in metres."""
+                res: dict[str, float], margin: int = 0) -> DataFrame:
+    """Cells of each sensor whose centre lies in a box given in metres.
+
+    ``margin`` grows the box by so many cells, for the neighbours of cells in it.
+    """
     x0, y0, x1, y1 = box
     keep = F.lit(False)
     for sensor, size in res.items():
-        x, y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-        keep = keep | ((F.col("sensor") == sensor) & x.between(x0, x1) & y.between(y0, y1))
+        x, y, more = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, margin * size
+        keep = keep | ((F.col("sensor") == sensor) & x.between(x0 - more, x1 + more)
+                       & y.between(y0 - more, y1 + more))
     return cells.filter(keep)

@@ -34,7 +34,7 @@ def _(v):
     return rates.levels_long(rates.reported_sites(rs.levels(v)), LEVEL_NAMES)
 
 
-@query("e09_level_histogram", """
+_HISTOGRAM = """
 SELECT "group", bin, count(*) AS n, lo + (hi - lo) / 50 * bin AS bin_lo,
        lo + (hi - lo) / 50 * (bin + 1) AS bin_hi
 FROM (SELECT l."group", b.lo, b.hi,
@@ -42,7 +42,10 @@ FROM (SELECT l."group", b.lo, b.hi,
       FROM levels_long l JOIN (SELECT "group", min(value) AS lo, max(value) AS hi
                                FROM levels_long GROUP BY 1) b ON l."group" = b."group"
       WHERE value IS NOT NULL)
-GROUP BY "group", bin, lo, hi""", dbl="bin_lo bin_hi")
+GROUP BY "group", bin, lo, hi"""
+
+
+@query("e09_level_histogram", _HISTOGRAM, dbl="bin_lo bin_hi")
 def _(v):
     return rates.histograms(rates.reported_sites(rs.levels(v)), LEVEL_NAMES)
 
@@ -127,6 +130,41 @@ def _(v):
     return null_levels(v, "literal")
 
 
+def _null_long(year: int) -> dict[str, str]:
+    pair = (f"edge_level_{year}", f"edge_level_{year}_null2")
+    return {**NULL_DENSE, "levels_long": " UNION ALL ".join(
+        f"""SELECT site_id, '{name}' AS "group", {name} AS value FROM null_levels
+        WHERE perc_evaluated_{year} >= 0.3""" for name in pair)}
+
+
+def _null_reported(v, year: int):
+    """Reported sites of a year with their measured and null level, and the level names."""
+    kept = null_levels(v).filter(F.col(f"perc_evaluated_{year}") >= 0.3)
+    return kept, [f"edge_level_{year}", f"edge_level_{year}_null2"]
+
+
+@query("e08_levels_long_null_2020", "SELECT * FROM levels_long", dbl="value",
+       views=_null_long(2020))
+def _(v):
+    return rates.levels_long(*_null_reported(v, 2020))
+
+
+@query("e08_levels_long_null_2001", "SELECT * FROM levels_long", dbl="value",
+       views=_null_long(2001))
+def _(v):
+    return rates.levels_long(*_null_reported(v, 2001))
+
+
+@query("e09_null_histogram_2020", _HISTOGRAM, dbl="bin_lo bin_hi", views=_null_long(2020))
+def _(v):
+    return rates.histograms(*_null_reported(v, 2020))
+
+
+@query("e09_null_histogram_2001", _HISTOGRAM, dbl="bin_lo bin_hi", views=_null_long(2001))
+def _(v):
+    return rates.histograms(*_null_reported(v, 2001))
+
+
 @query("e14_transect_totals", """
 SELECT count(DISTINCT (site_id, transect_id)) AS n_transects, count(*) / 20 AS n_by_years,
        count(DISTINCT site_id) AS n_sites FROM flagged""", dbl="n_by_years")

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from edgeline import schemas
-from edgeline.operators import imagery as im
 from edgeline.operators import samples as sm
 from edgeline.operators import sites as st
 from edgeline.operators import stats
 from edgeline.plans import images
 from edgeline.plans import results as rs
 from edgeline.plans.registry import query
-from edgeline.session import materialise, scratch_path
+from edgeline.session import scratch_path
 from edgeline.sources import tables as tb
 
 
@@ -97,8 +96,7 @@ def _(v):
 @query("a09_imagery_export", "SELECT * FROM sampled", dbl="grad",
        views={"sampled": images._SAMPLED["sampled"].format(points="land")})
 def _(v):
-    stack = materialise(images.gradient(v, "MODIS"), "gradient")
-    rows = im.sample_years(images.land(v), stack, images.POINT)
+    rows = images.sampled(v, images.land(v))
     return _round_trip(v, rows.select("site_id", "transect_id", "pnt_pst", "year", "grad"),
                        "imagery", "csv", schemas.SAMPLES)
 
@@ -107,8 +105,7 @@ def _(v):
 SELECT cx, cy, gradient AS value FROM gradient
 WHERE year = 2020 AND sensor = 'MODIS' AND ({images._IN_BOX})""", dbl="value")
 def _(v):
-    cells = im.clip_to_box(images.gradient(v, "MODIS").filter(F.col("year") == 2020), images.BOX,
-                           images.RES)
+    cells = images.gradient(v, images.MODIS, 2020, images.BOX)
     return _round_trip(v, cells.select("cx", "cy", F.col("gradient").alias("value")), "raster",
                        "parquet", schemas.CELLS)
 

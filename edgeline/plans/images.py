@@ -13,6 +13,9 @@ from edgeline.sources import adapter
 POINT = ["site_id", "transect_id", "pnt_pst"]
 RES = {"MODIS": 500.0, "LANDSAT": 30.0}
 BOX = (0.0, 0.0, 4000.0, 3000.0)
+YEARS = (2018, 2019, 2020)
+MODIS = {"MODIS": RES["MODIS"]}
+RADIUS = 3
 
 
 def _bands(offset: int) -> str:
@@ -37,8 +40,7 @@ SELECT * FROM points WHERE (CAST(floor(x / {adapter.WATER_RES}) AS BIGINT),
   SELECT (px, py) FROM (SELECT px, py, max(max_extent) AS e FROM water GROUP BY ALL) WHERE e = 0)"""
 _MED = ", ".join(f"median(bands[{i}]) AS m{i}" for i in range(1, 8))
 VIEWS["composite"] = f"""
-SELECT sensor, CAST(year(date) AS INTEGER) AS year, cx, cy, {_MED} FROM scenes
-WHERE year(date) IN (2019, 2020) GROUP BY ALL"""
+SELECT sensor, CAST(year(date) AS INTEGER) AS year, cx, cy, {_MED} FROM scenes GROUP BY ALL"""
 _UNIT = ", ".join(f"m{i} / sqrt({' + '.join(f'm{k} * m{k}' for k in range(1, 8))}) AS u{i}"
                   for i in range(1, 8))
 _DOT = " + ".join(f"a.u{i} * b.u{i}" for i in range(1, 8))
@@ -66,13 +68,29 @@ JOIN units a ON a.sensor = t.sensor AND a.year = t.year AND (a.cx, a.cy) = t.dil
 JOIN units b ON b.sensor = t.sensor AND b.year = t.year AND (b.cx, b.cy) = t.ero"""
 
 
-def composite(v):
-    return im.yearly_median(im.select_scenes(v.scenes(), 2019, 2020))
+def composite(v, first: int = YEARS[0], last: int = YEARS[-1]):
+    return im.yearly_median(im.select_scenes(v.scenes(), first, last))
 
 
-def gradient(v, sensor: str | None = None):
-    rows = composite(v)
-    return im.spectral_gradient(rows if sensor is None else rows.filter(F.col("sensor") == sensor))
+def gradient(v, res: dict[str, float] = RES, year: int | None = None, box=None):
+    """Gradient of the sensors in ``res``, of one year and inside a box where named.
+
+    Scenes outside are left out before the median: the years exactly, the box with the
+    neighbours its cells need (and one cell for rounding) and exactly afterwards.
+    """
+    rows = composite(v) if year is None else composite(v, year, year)
+    rows = rows.filter(F.col("sensor").isin(list(res)))
+    if box is None:
+        return im.spectral_gradient(rows, RADIUS)
+    near = im.clip_to_box(rows, box, res, margin=RADIUS + 1)
+    return im.clip_to_box(im.spectral_gradient(near, RADIUS), box, res)
+
+
+def sampled(v, points, years=YEARS):
+    """Yearly gradient at the points; the stack is written once."""
+    year = years[0] if len(years) == 1 else None
+    stack = materialise(gradient(v, MODIS, year), "gradient")
+    return im.sample_years(points, stack, POINT, years, MODIS).drop("sensor")
 
 
 def land(v):
@@ -102,12 +120,19 @@ def _(v):
 
 @query("d04_spectral_gradient", "SELECT * FROM gradient WHERE sensor = 'MODIS'", dbl="gradient")
 def _(v):
-    return gradient(v, "MODIS")
+    return gradient(v, MODIS)
+
+
+# Tiles of 4 cells, so that the neighbourhoods of the data's 16 columns cross tiles.
+@query("d04_gradient_across_tiles", "SELECT * FROM gradient WHERE sensor = 'MODIS'", dbl="gradient")
+def _(v):
+    rows = composite(v).filter(F.col("sensor") == "MODIS")
+    return im.spectral_gradient(rows, RADIUS, tile=4)
 
 
 _SAMPLED = {"sampled": """
 SELECT p.site_id, p.transect_id, p.pnt_pst, CAST(y.y AS INTEGER) AS year, g.gradient AS grad
-FROM {points} p CROSS JOIN (SELECT unnest([2019, 2020]) AS y) y
+FROM {points} p CROSS JOIN (SELECT unnest([2018, 2019, 2020]) AS y) y
 LEFT JOIN gradient g ON g.sensor = 'MODIS' AND g.year = y.y
   AND g.cx = CAST(floor(p.x / 500) AS BIGINT) AND g.cy = CAST(floor(p.y / 500) AS BIGINT)"""}
 
@@ -115,15 +140,13 @@ LEFT JOIN gradient g ON g.sensor = 'MODIS' AND g.year = y.y
 @query("d05_sample_points", "SELECT * FROM sampled WHERE year = 2020", dbl="grad",
        views={"sampled": _SAMPLED["sampled"].format(points="points")})
 def _(v):
-    stack = materialise(gradient(v, "MODIS").filter(F.col("year") == 2020), "gradient")
-    return im.sample_years(v.points(), stack, POINT)
+    return sampled(v, v.points(), (2020,))
 
 
 @query("d06_stacked_years", "SELECT * FROM sampled", dbl="grad",
        views={"sampled": _SAMPLED["sampled"].format(points="land")})
 def _(v):
-    stack = materialise(gradient(v, "MODIS"), "gradient")
-    return im.sample_years(land(v), stack, POINT)
+    return sampled(v, land(v))
 
 
 _IN_BOX = " OR ".join(
@@ -133,4 +156,4 @@ _IN_BOX = " OR ".join(
 
 @query("d07_two_sensors", f"SELECT * FROM gradient WHERE year = 2020 AND ({_IN_BOX})", dbl="gradient")
 def _(v):
-    return im.clip_to_box(gradient(v).filter(F.col("year") == 2020), BOX, RES)
+    return gradient(v, RES, 2020, BOX)

@@ -55,9 +55,25 @@ def _(v):
         stats.site_trends(v.samples(), p_values=False), "slope"))
 
 
-_PAIRS = {**NULL_DENSE, "pairs": """
-SELECT edge_level_2020 AS a, edge_level_2020_null2 AS b FROM null_levels
-WHERE perc_evaluated_2020 >= 0.3"""}
+def _pairs(year: int) -> dict[str, str]:
+    return {**NULL_DENSE, "pairs": f"""
+SELECT edge_level_{year} AS a, edge_level_{year}_null2 AS b FROM null_levels
+WHERE perc_evaluated_{year} >= 0.3"""}
+
+
+_PAIRS = _pairs(2020)
+
+
+def null_pairs(v, year: int):
+    return null_levels(v).filter(F.col(f"perc_evaluated_{year}") >= 0.3)
+
+
+@query("f04_paired_null_test_2001", _ONE_T.format(x="a - b", source="pairs",
+                                                  p=rs.t_p_sql("t_value", "df")),
+       dbl="mean sd t_value p_value", views=_pairs(2001))
+def _(v):
+    return stats.with_t_test(stats.paired_t(
+        null_pairs(v, 2001), "edge_level_2001", "edge_level_2001_null2"))
 
 
 @query("f04_paired_null_test", _ONE_T.format(x="a - b", source="pairs",
@@ -178,19 +194,44 @@ def _(v):
     return stats.anova(reported_iucn(v, False), "iucn_cat", "edge_level_2020")
 
 
-@query("f08_tukey_differences", """
+_DIFFERENCES = """
 SELECT b.g || '-' || a.g AS pair, b.m - a.m AS diff, sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS se,
        abs(b.m - a.m) / sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS q_value, k, df_within
 FROM cells a JOIN cells b ON a.g < b.g,
      (SELECT count(*) AS k, CAST(sum(n) - count(*) AS DOUBLE) AS df_within,
-             sum(v) / (sum(n) - count(*)) AS ms FROM cells)""", dbl="diff se q_value",
-       views={"cells": """
-SELECT biome AS g, count(slope) AS n, avg(slope) AS m, var_pop(slope) * count(slope) AS v
-FROM reported_site WHERE biome IS NOT NULL GROUP BY 1"""})
+             sum(v) / (sum(n) - count(*)) AS ms FROM cells)"""
+
+
+def _levels_view(group: str, y: str, where: str = "true") -> dict[str, str]:
+    return {"cells": f"""
+SELECT {group} AS g, count({y}) AS n, avg({y}) AS m, var_pop({y}) * count({y}) AS v
+FROM reported_site WHERE {group} IS NOT NULL AND {y} IS NOT NULL AND {where} GROUP BY 1"""}
+
+
+@query("f08_tukey_differences", _DIFFERENCES, dbl="diff se q_value",
+       views=_levels_view("biome", "slope"))
 def _(v):
     return stats.tukey(rs.reported(v, "site"), "biome", "slope", p_values=False)
 
 
+@query("f08_tukey_differences_trend_iucn", _DIFFERENCES, dbl="diff se q_value",
+       views=_levels_view("iucn_cat", "slope", _WITH_IUCN))
+def _(v):
+    return stats.tukey(reported_iucn(v, True), "iucn_cat", "slope", p_values=False)
+
+
+@query("f08_tukey_differences_level_biome", _DIFFERENCES, dbl="diff se q_value",
+       views=_levels_view("biome", "edge_level_2020"))
+def _(v):
+    return stats.tukey(rs.reported_levels(v, "site"), "biome", "edge_level_2020", p_values=False)
+
+
+@query("f08_tukey_differences_level_iucn", _DIFFERENCES, dbl="diff se q_value",
+       views=_levels_view("iucn_cat", "edge_level_2020", _WITH_IUCN))
+def _(v):
+    return stats.tukey(reported_iucn(v, False), "iucn_cat", "edge_level_2020", p_values=False)
+
+
 @query("f08_tukey_hsd_biome")
 def _(v):
     return stats.tukey(rs.reported(v, "site"), "biome", "slope")
@@ -207,16 +248,33 @@ def _(v):
                                     "site_id")
 
 
-@query("f09_standardised_residuals", """
-SELECT site_id, biome AS grp, y - m AS resid, (y - m) / sqrt(ms * (1 - 1.0 / n)) AS std_resid
-FROM (SELECT site_id, biome, edge_level_2020 AS y, avg(edge_level_2020) OVER w AS m,
-        count(edge_level_2020) OVER w AS n FROM reported_site
-      WHERE biome IS NOT NULL AND edge_level_2020 IS NOT NULL
-      WINDOW w AS (PARTITION BY biome)),
+def _residuals_sql(group: str, y: str, where: str = "true") -> str:
+    known = f"{group} IS NOT NULL AND {y} IS NOT NULL AND {where}"
+    return f"""
+SELECT site_id, grp, y - m AS resid, (y - m) / sqrt(ms * (1 - 1.0 / n)) AS std_resid
+FROM (SELECT site_id, {group} AS grp, {y} AS y, avg({y}) OVER w AS m, count({y}) OVER w AS n
+      FROM reported_site WHERE {known} WINDOW w AS (PARTITION BY {group})),
      (SELECT sum(v) / (sum(n) - count(*)) AS ms FROM (
-        SELECT var_pop(edge_level_2020) * count(edge_level_2020) AS v, count(edge_level_2020) AS n
-        FROM reported_site WHERE biome IS NOT NULL AND edge_level_2020 IS NOT NULL GROUP BY biome))
-WHERE n > 1""", dbl="resid std_resid")
+        SELECT var_pop({y}) * count({y}) AS v, count({y}) AS n
+        FROM reported_site WHERE {known} GROUP BY {group}))
+WHERE n > 1"""
+
+
+@query("f09_residuals_trend_biome", _residuals_sql("biome", "slope"), dbl="resid std_resid")
+def _(v):
+    return stats.residual_quantiles(rs.reported(v, "site"), "biome", "slope",
+                                    "site_id").drop("theoretical")
+
+
+@query("f09_residuals_trend_iucn", _residuals_sql("iucn_cat", "slope", _WITH_IUCN),
+       dbl="resid std_resid")
+def _(v):
+    return stats.residual_quantiles(reported_iucn(v, True), "iucn_cat", "slope",
+                                    "site_id").drop("theoretical")
+
+
+@query("f09_standardised_residuals", _residuals_sql("biome", "edge_level_2020"),
+       dbl="resid std_resid")
 def _(v):
     return stats.residual_quantiles(rs.reported_levels(v, "site"), "biome", "edge_level_2020",
                                     "site_id").drop("theoretical")

@@ -57,9 +57,10 @@ def test_water_and_sampling(spark):
     water = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (1, 0, 1)],
                                   "px long, py long, max_extent int")
     assert [r.id for r in im.land_points(pts, water, ["id"]).collect()] == [1]
-    grad = spark.createDataFrame([(2019, 0, 0, 1.5), (2020, 0, 0, 2.5)],
-                                 "year int, cx long, cy long, gradient double")
-    got = {(r.id, r.year): r.grad for r in im.sample_years(pts, grad, ["id"]).collect()}
+    grad = spark.createDataFrame([("M", 2019, 0, 0, 1.5), ("M", 2020, 0, 0, 2.5)],
+                                 "sensor string, year int, cx long, cy long, gradient double")
+    rows = im.sample_years(pts, grad, ["id"], [2019, 2020], {"M": 500.0}).collect()
+    got = {(r.id, r.year): r.grad for r in rows}
     assert got == {(1, 2019): 1.5, (1, 2020): 2.5, (2, 2019): 1.5, (2, 2020): 2.5,
                    (3, 2019): None, (3, 2020): None}
 
@@ -69,3 +70,24 @@ def test_median_keeps_a_cell_year_of_null_bands(spark):
     df = spark.createDataFrame(rows, "sensor string, year int, cx int, cy int, bands array<double>")
     got = {r.cx: r.bands for r in im.yearly_median(df).collect()}
     assert got == {1: [None] * 7, 2: [1.0] * 7}
+
+
+def test_sampling_two_sensors_and_an_empty_gradient(spark):
+    pts = spark.createDataFrame([(1, 40.0, 10.0)], "id long, x double, y double")
+    schema = "sensor string, year int, cx long, cy long, gradient double"
+    grad = spark.createDataFrame([("M", 2020, 0, 0, 1.5), ("L", 2020, 1, 0, 2.5)], schema)
+    res = {"M": 500.0, "L": 30.0}
+    take = lambda g: {(r.sensor, r.year): r.grad
+                      for r in im.sample_years(pts, g, ["id"], [2019, 2020], res).collect()}
+    assert take(grad) == {("M", 2019): None, ("M", 2020): 1.5, ("L", 2019): None, ("L", 2020): 2.5}
+    assert take(grad.limit(0)) == {(s, y): None for s in "ML" for y in (2019, 2020)}
+
+
+def test_box_before_the_gradient(composite):
+    _, df = composite
+    box, res = (-1000.0, -500.0, 2200.0, 1800.0), {"MODIS": 500.0}
+    take = lambda d: {(r.cx, r.cy): r.gradient for r in d.collect()}
+    near = im.clip_to_box(df, box, res, margin=4)
+    assert near.count() < df.count()
+    assert take(im.clip_to_box(im.spectral_gradient(near), box, res)) == take(
+        im.clip_to_box(im.spectral_gradient(df), box, res))
