@@ -85,7 +85,7 @@ def test_sampling_two_sensors_and_an_empty_gradient(spark):
 
 def test_box_before_the_gradient(composite):
     _, df = composite
-    box, res = (-1000.0, -500.0, 2200.0, 1800.0), {"MODIS": 500.0}
+    box, res = (1000.0, 0.0, 2200.0, 1800.0), {"MODIS": 500.0}
     take = lambda d: {(r.cx, r.cy): r.gradient for r in d.collect()}
     near = im.clip_to_box(df, box, res, margin=4)
     assert near.count() < df.count()
