@@ -1,14 +1,16 @@
 """Main text of web pages by site template removal.
 
-Every element subtree of a page is hashed. The subtrees outside the article are
-counted per host, each once a page, and a subtree that recurs on many pages of its
-host is template and is deleted. What a page shares with no other page of its host
-is told apart by its element, class, id or role (menus, adverts, comments and so
-on). Subtrees inside the article that carry no such mark are never counted, so an
-article copied to several pages of a host stays.
-
-A page yields at most 1/``share`` template hashes per average subtree, so the
-template table holds a bounded row per host.
+Every element subtree of a page is hashed, inside the article too, and counted per
+host. A subtree that recurs in ``MIN_PAGES`` different contexts of its host is template
+and is deleted, whatever the size of the host. Its context is what surrounds it: inside
+an article a sketch of the rest of the article, elsewhere the text of the page. Copies
+of one article or page are one context, so an article copied to several pages of a host
+stays. Not counted inside an article are inline elements, subtrees below ``LEAST_WORDS``
+words, which recur by chance, and those that are the body of the article.
+
+What a page shares with no other page of its host is told apart by its element, class,
+id or role (menus, adverts, comments and so on). Where a page has an article, what lies
+outside of it is left out by that alone.
 """
 
 from __future__ import annotations
@@ -19,12 +21,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is template on a host if at least MIN_PAGES pages and SHARE of them hold it.
+#: A subtree is template on a host if it recurs in at least MIN_PAGES contexts.
 MIN_PAGES = 4
-SHARE = 0.05
+#: Words of the smallest subtree that is counted inside an article.
+LEAST_WORDS = 3
+#: A subtree with this many words and more than half of its article is the body.
+BODY_WORDS = 50
+_FAR = (1 << 32) - 1
 
 # Element and attribute names of the markup language.
 RAW = "script style noscript template iframe svg textarea select title".split()
@@ -59,10 +66,11 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "dropped", "main")
+    __slots__ = ("tag", "parts", "dropped", "main", "span")
 
     def __init__(self, tag: str, dropped: bool = False, main: bool = False):
         self.tag, self.parts, self.dropped, self.main = tag, [], dropped, main
+        self.span = None
 
 
 def _marked(tag: str, attrs: str) -> bool:
@@ -117,18 +125,16 @@ def parse(page: str) -> Node:
     return root
 
 
-def _digest(node: Node, inside: bool, out: list[tuple[Node, int]], depth: int = 0) -> str:
-    """Canonical text of a subtree; adds every subtree that may be template to ``out``."""
-    free = inside or node.main
-    parts = [p if isinstance(p, str) else _digest(p, free, out, depth + 1) for p in node.parts]
+def _digest(node: Node, out: list[tuple[Node, int]]) -> str:
+    """Canonical text of a subtree; adds it and all subtrees in it to ``out``."""
+    parts = [p if isinstance(p, str) else _digest(p, out) for p in node.parts]
     text = f"<{node.tag}>" + " ".join(" ".join(parts).split()) + "</>"
     if len(text) > 64:
         code = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         short = f"<{node.tag}#{code.hex()}>"
     else:
         code, short = text.encode("utf-8", "surrogatepass"), text
-    if node.tag not in ("#root", "html", "body", "br") and not node.main and (
-            node.dropped or not inside) and not _holds_main(node):
+    if not node.dropped and node.tag not in ("#root", "html", "body", "br"):
         value = int.from_bytes(hashlib.blake2b(code, digest_size=8).digest(), "little", signed=True)
         out.append((node, value))
     return short
@@ -138,23 +144,103 @@ def _holds_main(node: Node) -> bool:
     return any(not isinstance(p, str) and (p.main or _holds_main(p)) for p in node.parts)
 
 
+def _spread(node: Node, pieces: list[list[str]]) -> None:
+    """Lays out the words of a subtree in order; every element knows its pieces."""
+    start = len(pieces)
+    for p in node.parts:
+        if isinstance(p, str):
+            if words := p.split():
+                pieces.append(words)
+        elif not p.dropped:
+            _spread(p, pieces)
+    node.span = (start, len(pieces))
+
+
+def _sketch(words: list[str]) -> tuple[int, int]:
+    """Two minimum hashes of the three-word shingles of a piece of text."""
+    codes = [xxhash.xxh64_intdigest(" ".join(words[i:i + 3]).encode("utf-8", "surrogatepass"))
+             for i in range(max(len(words) - 2, 1))]
+    return min(c & _FAR for c in codes), min(c >> 32 for c in codes)
+
+
+class _Around:
+    """Contexts of the subtrees of one article, or of a page outside its articles."""
+
+    def __init__(self, node: Node, article: bool):
+        self.article = article
+        pieces: list[list[str]] = []
+        _spread(node, pieces)
+        self.words = [0]
+        for p in pieces:
+            self.words.append(self.words[-1] + len(p))
+        if not article:
+            text = " ".join(w for p in pieces for w in p)
+            self.page = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+            return
+        each = [_sketch(p) for p in pieces]
+        low = lambda a, b: (min(a[0], b[0]), min(a[1], b[1]))
+        self.before, self.after = [(_FAR, _FAR)], [(_FAR, _FAR)]
+        for e in each:
+            self.before.append(low(self.before[-1], e))
+        for e in reversed(each):
+            self.after.append(low(self.after[-1], e))
+        self.after.reverse()
+
+    def of(self, node: Node) -> int | None:
+        """Context of a subtree; None for one that is not counted."""
+        if not self.article:
+            return self.page
+        a, b = node.span
+        n = self.words[b] - self.words[a]
+        if node.tag in INLINE or n < LEAST_WORDS or (n >= BODY_WORDS and 2 * n > self.words[-1]):
+            return None
+        (p, q), (r, s) = self.before[a], self.after[b]
+        return (min(p, r) << 32 | min(q, s)) - (1 << 63)
+
+
+def _candidates(root: Node) -> tuple[list[tuple[Node, int, int]], list[Node]]:
+    """(element, hash, context) of the subtrees that may be template, and the articles."""
+    found: list[tuple[Node, int]] = []
+    _digest(root, found)
+    mains: list[Node] = []
+    _find_main(root, mains)
+    code = {id(n): h for n, h in found}
+    out: list[tuple[Node, int, int]] = []
+    tops = {id(m) for m in mains}
+
+    def walk(node: Node, around: _Around) -> None:
+        for p in node.parts:
+            if isinstance(p, str) or p.dropped:
+                continue
+            if id(p) in tops:
+                walk(p, _Around(p, True))
+                continue
+            if id(p) in code and not p.main and (around.article or not _holds_main(p)):
+                context = around.of(p)
+                if context is not None:
+                    out.append((p, code[id(p)], context))
+            walk(p, around)
+    walk(root, _Around(root, False))
+    return out, mains
+
+
 def subtrees(page: str | None) -> list[int]:
-    """Distinct hashes of the subtrees of one page that may be template."""
-    out: list[tuple[Node, int]] = []
-    _digest(parse(page or ""), False, out)
-    return sorted({h for _, h in out})
+    """Hash and context, in turn, of the subtrees of one page that may be template."""
+    out, _ = _candidates(parse(page or ""))
+    return [x for pair in sorted({(h, c) for _, h, c in out}) for x in pair]
 
 
 def main_text(page: str | None, template: frozenset[int]) -> str:
     """Main text of one page without its host's template subtrees."""
     root = parse(page or "")
-    found: list[tuple[Node, int]] = []
-    _digest(root, False, found)
-    for node, code in found:
-        if code in template:
-            node.dropped = True
     mains: list[Node] = []
-    _find_main(root, mains)
+    if template:
+        found, mains = _candidates(root)
+        for node, code, _ in found:
+            if code in template:
+                node.dropped = True
+    else:
+        _find_main(root, mains)
     blocks: list[str] = []
     for part in mains or [root]:
         _blocks(part, blocks)
@@ -205,30 +291,31 @@ def host(url: Column) -> Column:
                               F.lit("")))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, template) with the sorted hashes of the subtrees that recur on a host.
 
-    Counts are combined before the shuffle, so a host with a third of all pages
-    sends one row per task and subtree.
+    Contexts are made distinct and counted with map-side combine, so a host with a
+    third of all pages is not gathered.
     """
     hashes = F.pandas_udf(lambda s: s.map(subtrees), "array<long>")
-    each = pages.select(host(F.col("url")).alias("host"), hashes("html").alias("hs"))
-    counts = (each.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hs"))
-                          .alias("h")).groupBy("host", "h").count())
-    sizes = counts.filter("h is null").select("host", F.col("count").alias("pages"))
-    often = counts.filter(f"h is not null and count >= {min_pages}").join(sizes, "host")
-    return (often.filter(F.col("count") >= F.lit(share) * F.col("pages"))
+    each = (pages.select(host(F.col("url")).alias("host"), hashes("html").alias("hs"))
+            .filter(F.size("hs") > 0))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("hs") - 2, F.lit(2)), lambda i: F.struct(
+        F.get("hs", i).alias("h"), F.get("hs", i + 1).alias("c")))
+    counts = (each.select("host", F.inline(pairs)).distinct()
+              .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")))
+    return (counts.filter(F.col("n") >= min_pages)
             .groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("template")))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Adds ``text``, the main text of the whole page, to every row.
 
     NULL and empty pages give an empty text; pages without a host share the empty
     one. Pages meet their host's template in one left join, whose hot hosts
     adaptive execution splits.
     """
-    found = templates(pages, min_pages, share).withColumnRenamed("host", "__host")
+    found = templates(pages, min_pages).withColumnRenamed("host", "__host")
     # Sorted sides keep the join one whose hot hosts can be split at run time.
     joined = pages.withColumn("__host", host(F.col("url"))).join(
         found.hint("merge"), "__host", "left")

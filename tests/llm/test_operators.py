@@ -321,6 +321,23 @@ def test_template_without_an_article(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_template_inside_the_article(spark):
+    notice = "<div><p>Sign up for our weekly letter</p></div>"
+    copy = f"<h1>Copied</h1><p>{prose(40, 77)}</p><p>{prose(40, 78)}</p>"
+    page = lambda body: f"<body><article>{body}</article></body>"
+    story = lambda i: f"<h1>Head {i}</h1><p>{prose(30, i)}</p>"
+    # The notice is on one page in fifty of a large host.
+    rows = [(i, "http://h.example/x", page(story(i) + (notice if i % 50 == 0 else "") + "<p>Yes.</p>"))
+            for i in range(300)]
+    rows += [(1000 + i, "http://h.example/c", page(copy)) for i in range(8)]
+    rows += [(2000 + i, "http://i.example/c", f"<body><p>{prose(40, 79)}</p></body>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(got[i] == f"Head {i} {prose(30, i)} Yes." for i in range(300))
+    assert all(got[1000 + i] == f"Copied {prose(40, 77)} {prose(40, 78)}" for i in range(8))
+    assert all(got[2000 + i] == prose(40, 79) for i in range(8))
+
+
 # ---- 7 token counts ----------------------------------------------------------
 @pytest.mark.parametrize("block", [3, 64, 1 << 18])
 def test_separator_scan(clashing, codec, block):
