@@ -12,57 +12,80 @@ The work is exact and grows with the square of the number of distinct
 fingerprints; for radius 2 the quarters leave about one pair in eighty to compare.
 
 Word shingles at a similarity of 0.8 need more than 64 bits: there two lanes (128
-bits, independent seeds) and a radius of 22 link nearly all texts from 0.85 on, half
-or more at 0.8, and no unrelated ones. Such a radius skips few tiles, so one coarse
-class of the total count takes the place of the quarters.
+bits, independent seeds) over a text's distinct shingles and a radius of 36 give the
+candidates, and the exact Jaccard similarity of the shingle sets decides which of them
+are linked. Such a radius skips few tiles, so one coarse class of the total count takes
+the place of the quarters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.tables import materialise
+from edgeline.llm.tables import materialise, whole
 from edgeline.operators.cells import star_contract
 
 SHINGLE = 3
 RADIUS = 2
 #: Fingerprints in a tile, on average at most.
 TILE = 8192
-#: Shingle, lanes and radius for a word-shingle similarity of 0.8.
-SIMILAR = {"shingle": 5, "lanes": 2, "radius": 22}
+#: Shingle, lanes and candidate radius for a word-shingle similarity of 0.8.
+SIMILAR = {"shingle": 5, "lanes": 2, "radius": 36}
+LEAST = 0.8
 _QUARTERS = 4
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> bytes:
-    """64-bit fingerprints, little-endian, one per lane; 0 for a text without a word.
+def _pieces(text: str | None, shingle: int) -> list[bytes]:
+    """Shingles of a text in order; one of all words where it has fewer than a shingle.
 
     bytes.lower and bytes.split know A to Z and the six ASCII white spaces only,
     which is the definition of case and words here.
     """
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
-        return bytes(8 * lanes)
+        return []
     if len(words) < shingle:
-        pieces = [b" ".join(words)]
-    else:
-        pieces = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    out = []
-    for lane in range(lanes):
-        hashed = np.fromiter((xxhash.xxh64_intdigest(p, 42 + lane) for p in pieces),
-                             dtype=np.uint64, count=len(pieces))
-        ones = np.zeros(64, dtype=np.int64)
-        for start in range(0, len(hashed), 1 << 16):
-            part = hashed[start:start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(hashed), bitorder="little").tobytes())
-    return b"".join(out)
+        return [b" ".join(words)]
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
+def _hashes(pieces: Collection[bytes], lane: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(p, 42 + lane) for p in pieces),
+                       dtype=np.uint64, count=len(pieces))
+
+
+def _majority(hashed: np.ndarray) -> bytes:
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashed), 1 << 16):
+        part = hashed[start:start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashed), bitorder="little").tobytes()
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> bytes:
+    """64-bit fingerprints, little-endian, one per lane; 0 for a text without a word."""
+    pieces = _pieces(text, shingle)
+    return b"".join(_majority(_hashes(pieces, lane)) for lane in range(lanes))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    return np.sort(_hashes(set(_pieces(text, shingle)))).view(np.int64)
+
+
+def set_marks(text: str | None, shingle: int, lanes: int) -> tuple[int, bytes]:
+    """Hash of the set of distinct shingles of a text, and the fingerprint of that set."""
+    pieces = set(_pieces(text, shingle))
+    hashed = [_hashes(pieces, lane) for lane in range(lanes)]
+    name = xxhash.xxh64_intdigest(np.sort(hashed[0]).astype("<u8").tobytes()) - (1 << 63)
+    return name, b"".join(map(_majority, hashed))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
@@ -88,18 +111,16 @@ def _array(cell: pa.Scalar, dtype: str) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), dtype=dtype)
 
 
-def _links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two tiles within the radius."""
-    rows, cols = [], []
+def _links(left: np.ndarray, right: np.ndarray,
+           radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two tiles within the radius, some rows of the left at a time."""
     step = max(1, (1 << 21) // max(len(right), 1))
     for start in range(0, len(left), step):
         apart = np.zeros((min(step, len(left) - start), len(right)), dtype=np.uint8)
         for lane in range(left.shape[1]):
             apart += np.bitwise_count(left[start:start + step, None, lane] ^ right[None, :, lane])
         i, j = np.nonzero(apart <= radius)
-        rows.append(i + start)
-        cols.append(j)
-    return np.concatenate(rows), np.concatenate(cols)
+        yield i + start, j
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,12 +141,13 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([nodes[label[keep]], nodes[keep]])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE,
+          every: bool = False) -> DataFrame:
     """(a, b) links that connect every two nodes whose fingerprints are within the radius.
 
     ``nodes`` has one row per distinct fingerprint: ``node`` (long) and ``fp``. A tile
     pair returns links that span its matches, so a dense group does not give all its
-    pairs.
+    pairs. With ``every`` it returns each pair within the radius once, smaller node first.
     """
     quarters = radius < 4
     keys = [f"q{q}" for q in range(_QUARTERS if quarters else 1)]
@@ -185,15 +207,24 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
 
     lanes_of = lambda ns, fps: _array(fps, "<u8").reshape(len(_array(ns, "<i8")), -1)
 
+    arrow = lambda out: pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])],
+                                                   names=["a", "b"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((0, 2), dtype=np.int64)]
             for ns, fps, ons, ofps in zip(*batch.columns):
-                i, j = _links(lanes_of(ns, fps), lanes_of(ons, ofps), radius)
-                found.append(_spanning(_array(ns, "<i8")[i], _array(ons, "<i8")[j]))
-            out = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])],
-                                             names=["a", "b"])
+                a, b = _array(ns, "<i8"), _array(ons, "<i8")
+                matched = ((a[i], b[j]) for i, j in _links(lanes_of(ns, fps), lanes_of(ons, ofps), radius))
+                if not every:
+                    left, right = map(np.concatenate, zip(*matched))
+                    found.append(_spanning(left, right))
+                    continue
+                same = np.array_equal(a, b)      # a tile with itself meets each pair twice
+                for x, y in matched:
+                    keep = x < y if same else x != y
+                    yield arrow(np.sort(np.column_stack([x[keep], y[keep]]), axis=1))
+            yield arrow(np.concatenate(found))
 
     return pairs.mapInArrow(compare, "a long, b long").filter("a <> b")
 
@@ -233,18 +264,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
             .select(key, number.alias("fingerprint"), "component_id"))
 
 
+def similar_classes(docs: DataFrame, marked: DataFrame, shingle: int, radius: int,
+                    least: float = LEAST) -> DataFrame:
+    """(node, root): connected shingle sets with a Jaccard similarity of ``least`` or more.
+
+    ``marked`` has the ``node`` of every row's shingle set, its ``fp`` and the hash ``th``
+    of the text. Candidates are the pairs within the radius; only their texts are read
+    again, one for each node. Nodes without a partner are not in the result.
+    """
+    nodes = materialise(marked.groupBy("node").agg(F.min("th").alias("th"), F.first("fp").alias("fp")),
+                        "simhash-distinct")
+    near = materialise(links(nodes, radius, every=True), "simhash-candidates")
+    met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    sets = F.pandas_udf(lambda s: pd.Series([shingle_set(t, shingle) for t in s], dtype=object),
+                        "array<long>")
+    texts = (docs.select(text_hash().alias("th"), "text").join(met.select("th", "node"), "th")
+             .select("node", sets("text").alias("s"))
+             .groupBy("node").agg(F.first("s").alias("s")))
+    texts = materialise(texts, "simhash-sets")
+    both = (near.join(texts.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - common
+    # Rounded where 0.8 is not exact in binary.
+    alike = both.filter(common >= F.lit(least) * union - 1e-9).select("a", "b")
+    return materialise(star_contract(alike), "simhash-roots")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(whole())
+
+
 def keep_one(docs: DataFrame, shingle: int = SIMILAR["shingle"], lanes: int = SIMILAR["lanes"],
              radius: int = SIMILAR["radius"]) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one stays of every class.
 
-    It is the row with the smallest id of its class. Rows that repeat one id leave
-    one; of rows without an id one stays where the class has no other.
+    Classes connect texts whose shingle sets are alike by ``LEAST`` or more. It is the
+    row with the smallest id of its class. Rows that repeat one id leave one; of rows
+    without an id one stays where the class has no other.
     """
     columns = docs.columns
-    own = docs.select("doc_id", "text")
-    marked = fingerprints(own, shingle=shingle, lanes=lanes).drop("text")
-    marked = materialise(marked.withColumn("node", F.xxhash64("fp")), "simhash-fingerprints")
-    firsts = classes(marked, radius=radius).filter(F.col("low").eqNullSafe(F.col("component_id")))
-    ids = firsts.select(F.col("low").alias("__low")).distinct()
+    marks = F.pandas_udf(lambda s: pd.DataFrame([set_marks(t, shingle, lanes) for t in s],
+                                                columns=["node", "fp"]), "node long, fp binary")
+    marked = docs.select("doc_id", text_hash().alias("th"), marks("text").alias("m"))
+    marked = materialise(marked.select("doc_id", "th", "m.node", "m.fp"), "simhash-fingerprints")
+    roots = similar_classes(docs, marked, shingle, radius)
+    named = marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("doc_id").alias("__low")).select("__low").distinct()
     kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(*columns)

@@ -126,6 +126,40 @@ def test_simhash_clashes_and_empty(clashing, docs):
     assert [i for i in ids if i in (6, 7)] == [6]
 
 
+def five_word_sets(text):
+    w = lowered(text).split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_keep_one_equals_exact_similarity(spark):
+    r = random.Random(11)
+    texts = []
+    for n in [12, 14, 30, 60, 150, 400] * 8:
+        base = [f"w{r.randrange(5000)}" for _ in range(n)]
+        texts.append(base)
+        for want in (0.7, 0.75, 0.8, 0.85, 0.9):
+            # An end of k other words takes k shingles from both sets.
+            k = round((n - 4) * (1 - want) / (1 + want)) + r.choice([-1, 0, 1])
+            texts.append(base[:n - k] + [f"v{r.randrange(5000)}" for _ in range(k)] if k > 0 else base)
+    texts = [" ".join(t) for t in texts]
+    sets = [five_word_sets(t) for t in texts]
+    same = slow_classes(list(enumerate(sets)), lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert got == set(same.values()) and len(got) > 48
+
+
+def test_every_link_is_given_once(spark):
+    codes = [random.Random(i // 4).getrandbits(64) ^ 1 << i % 4 for i in range(80)]
+    rows = [(i, c.to_bytes(8, "little")) for i, c in enumerate(codes)]
+    nodes = spark.createDataFrame(rows, "node long, fp binary")
+    for radius in (2, 9):
+        got = [(x.a, x.b) for x in simhash.links(nodes, radius, 16, every=True).collect()]
+        want = {(i, j) for i, j in itertools.combinations(range(80), 2)
+                if (codes[i] ^ codes[j]).bit_count() <= radius}
+        assert set(got) == want and len(got) == len(want)
+
+
 # ---- 2 language --------------------------------------------------------------
 def test_language_held_out_accuracy(spark):
     syllables = {"en": "the ing and tion ly ea".split(), "de": "sch und keit ung ei ü".split()}
