@@ -300,16 +300,24 @@ def keep_one(docs: DataFrame, shingle: int = SIMILAR["shingle"], lanes: int = SI
     """The rows of ``docs`` without near-duplicates: one stays of every class.
 
     Classes connect texts whose shingle sets are alike by ``LEAST`` or more. It is the
-    row with the smallest id of its class. Rows that repeat one id leave one; of rows
-    without an id one stays where the class has no other.
+    row with the smallest id of its class, a NULL id counts as larger than all others;
+    ties go to the smallest hash of the text, then of the row. Ids need not be unique:
+    rows of one id with texts of different classes all stay.
     """
     columns = docs.columns
     marks = F.pandas_udf(lambda s: pd.DataFrame([set_marks(t, shingle, lanes) for t in s],
                                                 columns=["node", "fp"]), "node long, fp binary")
-    marked = docs.select("doc_id", text_hash().alias("th"), marks("text").alias("m"))
-    marked = materialise(marked.select("doc_id", "th", "m.node", "m.fp"), "simhash-fingerprints")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"),
+                    text_hash().alias("th"), F.xxhash64(*columns).alias("row"))
+    marked = docs.select(name.alias("name"), marks("text").alias("m"))
+    marked = materialise(marked.select("name", F.col("name.th").alias("th"), "m.node", "m.fp"),
+                         "simhash-fingerprints")
     roots = similar_classes(docs, marked, shingle, radius)
     named = marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("__low")).select("__low").distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*columns)
+    first = named.groupBy("root").agg(F.min("name").alias("n")).select(
+        F.col("n.id").alias("__id"), F.col("n.th").alias("__text"), F.col("n.row").alias("__hash"))
+    rows = docs.withColumns({"__th": text_hash(), "__row": F.xxhash64(*columns)})
+    kept = rows.join(first, (F.col("__th") == F.col("__text")) & (F.col("__row") == F.col("__hash"))
+                     & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # What is equal in all three is one row repeated.
+    return kept.dropDuplicates(["doc_id", "__th", "__row"]).select(*columns)

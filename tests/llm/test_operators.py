@@ -149,6 +149,18 @@ def test_keep_one_equals_exact_similarity(spark):
     assert got == set(same.values()) and len(got) > 48
 
 
+def test_keep_one_without_unique_ids(spark):
+    a, b, c, d, e = (prose(60, 500 + i) for i in range(5))
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "de", "s", 1),
+            (None, c, "en", "s", 1), (7, c, "en", "s", 1), (8, d, "en", "s", 1),
+            (8, e, "en", "s", 1), (8, e, "en", "s", 1), (9, e, "en", "s", 1)]
+    got = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    pairs = [(r.doc_id, r.text) for r in got]
+    assert len(pairs) == 5 and set(pairs) == {(None, a), (None, b), (7, c), (8, d), (8, e)}
+    again = simhash.keep_one(spark.createDataFrame(rows[::-1], DOCS)).collect()
+    assert set(map(tuple, again)) == set(map(tuple, got))
+
+
 def test_every_link_is_given_once(spark):
     codes = [random.Random(i // 4).getrandbits(64) ^ 1 << i % 4 for i in range(80)]
     rows = [(i, c.to_bytes(8, "little")) for i, c in enumerate(codes)]
