@@ -1,11 +1,13 @@
 """Quality rules: base measures and a hashed n-gram log-likelihood ratio.
 
-Words are first reduced to their last ``ENDING`` characters, which keep inflection,
-case, punctuation and attached signs. Two-word n-grams of endings are hashed to
-``BUCKETS``; the first word of a text stands alone. Two multinomials with add-one counts are estimated over the
-buckets, one from trusted documents and one from the whole corpus. A document's
-verdict is its mean log ratio of the two over its n-grams: it is kept when the
-mean is at least ``threshold``.
+Two-word n-grams are hashed to buckets; the first word of a text stands alone. Two
+multinomials with add-one counts are estimated over the buckets, one from trusted
+documents and one from the whole corpus. A document's log ratio is the mean log ratio
+of the two over its n-grams: it is kept when that is at least ``threshold``.
+
+There are two features, ``WHOLE`` of whole words and ``ENDS`` of their last ``ENDING``
+characters, which keep inflection, case, punctuation and attached signs. Each has its
+own buckets and multinomials; with both the log ratio is the sum of their means.
 
 Everything is a column expression: one pass counts buckets with map-side combine,
 the scoring pass looks the weights up in one array of fixed size and moves no row.
@@ -13,6 +15,8 @@ the scoring pass looks the weights up in one array of fixed size and moves no ro
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +30,26 @@ THRESHOLD = -0.2
 SYMBOLS = "[#*$%&|<>]"
 ENDING = 3
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ratio")
+#: Features: characters of a word's end (None for the whole word) and number of buckets.
+ENDS = (ENDING, BUCKETS)
+WHOLE = (None, BUCKETS)
 WINDOW = 8
 _GAPS = " \t\n\x0b\x0c\r"
 
 
-def grams(words: Column) -> Column:
-    """Bucket of the ending of every word with the one before it, repeats included."""
-    ends = F.transform(words, lambda w: F.substring(w, -ENDING, ENDING))
-    return let(ends, lambda es: F.transform(es, lambda e, i: F.pmod(
-        F.xxhash64(e, F.get(es, i - 1)), F.lit(BUCKETS)).cast("int")))
+def grams(words: Column, feature: tuple[int | None, int] = ENDS, first: int = 0) -> Column:
+    """Bucket of every word with the one before it, repeats included, from ``first`` on."""
+    ending, buckets = feature
+    ends = words if ending is None else F.transform(
+        words, lambda w: F.substring(w, -ending, ending))
+    return let(ends, lambda es: F.transform(es, lambda e, i: F.lit(first) + F.pmod(
+        F.xxhash64(e, F.get(es, i - 1)), F.lit(buckets)).cast("int")))
+
+
+def placed(features: tuple) -> list[tuple[tuple[int | None, int], int]]:
+    """Every feature with its first bucket in the common table."""
+    sizes = [buckets for _, buckets in features]
+    return [(f, sum(sizes[:i])) for i, f in enumerate(features)]
 
 
 def repeated_words(words: Column) -> Column:
@@ -91,8 +106,9 @@ def base_measures(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def weights(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """One row, one array: the log ratio of every bucket.
+def weights(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS,
+            features: tuple = (ENDS,)) -> DataFrame:
+    """One row, one array: the log ratio of every bucket of every feature.
 
     Trusted documents are those labelled quality 1, at most ``trusted_rows`` of them
     in hash order; the broadcast of their ids is bounded by that number. The corpus
@@ -104,39 +120,46 @@ def weights(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS
                .select(F.col("doc_id").alias("__id"), F.lit(1).alias("__trusted")))
     flagged = docs.select("doc_id", "text").join(
         F.broadcast(trusted), F.col("doc_id") == F.col("__id"), "left")
-    counts = (flagged.select("__trusted", F.explode(let(word_list(F.col("text")), grams)).alias("b"))
+    every = lambda ws: F.concat(*[grams(ws, f, first) for f, first in placed(features)])
+    counts = (flagged.select("__trusted", F.explode(let(word_list(F.col("text")), every)).alias("b"))
               .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("good")))
-    pairs = counts.agg(
-        F.map_from_entries(F.collect_list(F.struct("b", F.struct("raw", "good")))).alias("m"),
-        F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"),
-        F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    share = lambda n, total: (F.coalesce(n, F.lit(0)) + 1.0) / (total + BUCKETS)
-    ratio = F.log(share(F.col("e.good"), F.col("good")) / share(F.col("e.raw"), F.col("raw")))
-    each = (pairs.select("raw", "good", "m", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))
-                         .alias("b")).withColumn("e", F.col("m")[F.col("b")]))
-    each = each.select("b", F.when(F.col("good") > 0, ratio).otherwise(0.0).alias("w"))
+    # The table of all buckets has a fixed size.
+    spans = F.array(*[F.struct(F.lit(first).alias("first"), F.lit(f[1]).alias("size"))
+                      for f, first in placed(features)])
+    table = (docs.sparkSession.range(1).select(F.inline(spans))
+             .select("first", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("b"),
+                     "size").join(counts, "b", "left"))
+    totals = table.groupBy("first").agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"),
+                                        F.coalesce(F.sum("good"), F.lit(0)).alias("all_good"))
+    share = lambda n, total: (F.coalesce(F.col(n), F.lit(0)) + 1.0) / (F.col(total) + F.col("size"))
+    ratio = F.log(share("good", "all_good") / share("raw", "all_raw"))
+    each = table.join(totals, "first").select(
+        "b", F.when(F.col("all_good") > 0, ratio).otherwise(0.0).alias("w"))
     return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))),
                                 lambda s: s["w"]).alias("w"))
 
 
-def log_ratio(words: Column, table: Column) -> Column:
-    """Mean weight over the n-grams of a word list; 0 for an empty one."""
-    return let(grams(words), lambda bs: F.when(F.size(bs) > 0, F.aggregate(
-        bs, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(bs)).otherwise(0.0))
+def log_ratio(words: Column, table: Column, features: tuple = (ENDS,)) -> Column:
+    """Mean weight over the n-grams of a word list, added over features; 0 for an empty one."""
+    mean = lambda bs: F.when(F.size(bs) > 0, F.aggregate(
+        bs, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(bs)).otherwise(0.0)
+    means = [let(grams(words, f, first), mean) for f, first in placed(features)]
+    return functools.reduce(lambda a, b: a + b, means)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+          features: tuple = (ENDS,)) -> DataFrame:
     """Adds the base measures, ``base_failed``, ``log_ratio`` and ``kept`` to every row.
 
     A document fails the base rules with fewer than 20 words or with more than 30 %
     of them in repeated windows. ``docs`` may hold any other columns; rows that
     repeat are judged one by one.
     """
-    out = docs.withColumn("__weights", weights(docs, labels).scalar())
+    out = docs.withColumn("__weights", weights(docs, labels, features=features).scalar())
     # One struct from one word list: the text is split once.
     measured = let(word_list(F.col("text")), lambda ws: F.struct(*[
         c.alias(n) for n, c in {**base_measures(F.col("text"), ws),
-                                "log_ratio": log_ratio(ws, F.col("__weights"))}.items()]))
+                                "log_ratio": log_ratio(ws, F.col("__weights"), features)}.items()]))
     # Generated, so that a later filter cannot repeat the measures once per use.
     out = out.withColumn("__m", F.explode(F.array(measured)))
     out = out.withColumns({n: F.col("__m")[n] for n in MEASURES}).drop("__weights", "__m")

@@ -38,7 +38,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                        features=(quality.WHOLE, quality.ENDS))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept", "log_ratio")
 

@@ -255,6 +255,20 @@ def test_quality_edge_tables(clashing, docs, labels):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+def test_quality_sees_whole_words(spark):
+    r = random.Random(8)
+    text = lambda stems: " ".join(r.choice(stems) + "ing" for _ in range(40))
+    good, spam = ["walk", "sing", "paint"], ["gambl", "bett", "loan"]
+    rows = [(i, text(spam if i % 4 == 3 else good), "en", "s", 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 != 3), 0) for i in range(80)],
+                                   "doc_id long, quality int, toxic int")
+    out = quality.judge(docs, labels, features=(quality.WHOLE, quality.ENDS)).collect()
+    spam = [r.log_ratio for r in out if r.doc_id % 4 == 3]
+    assert max(spam) < quality.THRESHOLD
+    assert max(spam) < min(r.log_ratio for r in out if r.doc_id % 4 != 3)
+
+
 # ---- 4 toxicity --------------------------------------------------------------
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"idiot": 1.0, "kill": 1.0}, {"mor": 0.0, "moro": 1.0})
