@@ -1,11 +1,12 @@
 """Toxicity with a weighted finite-state pattern grammar.
 
 A text is cut into clauses. Every word is first rewritten by a lexical transducer
-to a class symbol (insult, threat, target, negation, report, quote) with a weight;
-the symbol string then runs through a sentence automaton that is the composition
-of five small transducers: an insult or threat opens a match, a target in the same
-clause raises it, a negation before it lowers it, a reporting verb or quotation
-around it lowers it. What is scored is the matched clause, not the word.
+to a class symbol (insult, threat, target, negation, report) with a weight; the symbol
+string then runs through a sentence automaton that is the composition of five small
+transducers, one for each symbol. The state at the end of the clause decides, so the
+order of the words does not: a threat matches only with a target, a target raises a
+match, a negation or a reporting verb on either side lowers it. Words inside quotation
+marks count as reported. An insult matches without a target too, by its word alone.
 
 The insult and threat symbols carry weights learned from labelled rows: words, and
 word beginnings for inflected forms, whose share of toxic rows is high. Learning
@@ -57,19 +58,21 @@ _QUOTES = frozenset("\"«»„“”")
 def compose() -> tuple[np.ndarray, np.ndarray]:
     """Next state and factor exponent of the composed sentence automaton.
 
-    A state is (negated, reported, targeted), one bit each; the components keep
-    their own bit, so the composition is their product. The factor table holds
-    what a match weighs in a state.
+    A state is (negated, reported, targeted, insulted, threatened), one bit each; the
+    components keep their own bit, so the composition is their product. The factor
+    table holds what insults and threats weigh in a clause that ends in a state.
     """
-    step = np.zeros((8, 6), dtype=np.int64)
-    factor = np.ones(8)
-    for state in range(8):
-        step[state, [0, INSULT, THREAT]] = state
-        step[state, NEGATION] = state | 1
-        step[state, REPORT] = state | 2
-        step[state, TARGET] = state | 4
-        factor[state] = ((0.5 if state & 1 else 1.0) * (0.6 if state & 2 else 1.0)
-                         * (1.25 if state & 4 else 1.0))
+    bits = {NEGATION: 1, REPORT: 2, TARGET: 4, INSULT: 8, THREAT: 16}
+    step = np.zeros((32, 6), dtype=np.int64)
+    factor = np.zeros((32, 2))
+    for state in range(32):
+        step[state, 0] = state
+        for symbol, bit in bits.items():
+            step[state, symbol] = state | bit
+        weight = ((0.5 if state & 1 else 1.0) * (0.6 if state & 2 else 1.0)
+                  * (1.25 if state & 4 else 1.0))
+        factor[state, 0] = weight if state & 8 else 0.0
+        factor[state, 1] = weight if state & 16 and state & 4 else 0.0
     return step, factor
 
 
@@ -92,40 +95,42 @@ class Grammar:
             own = max(self.stems.get(word[:k], 0.0) for k in STEMS)
         return own
 
-    def clause(self, tokens: list[str]) -> float:
-        """Weight of the matches in one clause; a threat needs a target."""
-        state, quoted, matched, aimed = 0, False, 0.0, 0.0
+    def clause(self, tokens: list[str]) -> tuple[float, bool]:
+        """Weight of the matches in one clause, and whether anything lowers them."""
+        state, quoted, marked = 0, False, False
+        open_, told = [0.0, 0.0], [0.0, 0.0]     # insults and threats, the latter in quotes
         for word in tokens:
             if word in _QUOTES:
                 quoted = not quoted
-                state = self.step[state][REPORT] if quoted else state
                 continue
             symbol = self.words.get(word, 0)
-            if symbol:
-                state = self.step[state][symbol]
-                continue
-            w = self.weight(word)
+            w = 0.0 if symbol else self.weight(word)
             if w:
-                w *= self.factor[state]
-                if word in self.threats:
-                    aimed += w
-                else:
-                    matched += w
-        return matched + (aimed if state & 4 else 0.0)
+                symbol = THREAT if word in self.threats else INSULT
+                (told if quoted else open_)[symbol - INSULT] += w
+                marked = marked or quoted
+            state = self.step[state][symbol]
+        plain, reported = self.factor[state], self.factor[self.step[state][REPORT]]
+        total = sum(p * o + r * t for p, r, o, t in zip(plain, reported, open_, told))
+        return total, marked or bool(state & 3)
 
     def evidence(self, text: str | None) -> float:
-        """Sum of the clause weights of a whole text."""
+        """Clause weights of a whole text: the sum, with lowered clauses only the largest."""
         if not text:
             return 0.0
         lower = text.lower()
-        total = 0.0
+        total, lowered = 0.0, 0.0
         terms, stems = self.terms, self.stems
         for part in _CLAUSE.split(lower):
             tokens = _TOKEN.findall(part)
             if any(t in terms or t[:4] in stems or t[:5] in stems or t[:6] in stems
                    for t in tokens):
-                total += self.clause(tokens)
-        return total
+                weight, less = self.clause(tokens)
+                if less:
+                    lowered = max(lowered, weight)
+                else:
+                    total += weight
+        return total + lowered
 
     def score(self, evidence: float) -> float:
         a, b = self.scale
@@ -134,8 +139,9 @@ class Grammar:
 
 def _terms(text: Column) -> Column:
     """Distinct words of a text, and marked beginnings of its longer words."""
-    words = F.filter(F.array_distinct(F.split(F.lower(text), r"[\P{L}]+")),
-                     lambda w: F.length(w) > 1)
+    # As in _TOKEN: an apostrophe between letters belongs to the word.
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+(?:['’]\p{L}+)*"), F.lit(0))
+    words = F.filter(F.array_distinct(found), lambda w: F.length(w) > 1)
     stems = lambda ws, k: F.transform(F.filter(ws, lambda w: F.length(w) > k),
                                       lambda w: F.concat(F.lit("^"), F.substring(w, 1, k)))
     return let(words, lambda ws: F.array_distinct(

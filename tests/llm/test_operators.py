@@ -280,6 +280,23 @@ def test_grammar_scores_clauses():
     assert g.evidence("morons") == 1.0 and g.evidence(None) == g.evidence("") == 0.0
 
 
+def test_grammar_modifiers_on_either_side():
+    g = toxicity.Grammar({"idiot": 1.0, "kill": 1.0}, {})
+    assert g.evidence("you idiot, he said.") == g.evidence("he said, you idiot.") < g.evidence("you idiot.")
+    assert g.evidence("an idiot he is not.") < g.evidence("an idiot he is.")
+    assert g.evidence('"idiot" they wrote.') == g.evidence("they wrote idiot.")
+    assert g.evidence("he said idiot. " * 20) == g.evidence("he said idiot.")
+    assert g.evidence("you idiot. " * 2) == 2 * g.evidence("you idiot.")
+    assert g.evidence("kill you.") == g.evidence("you kill.") > 0 == g.evidence("kill idly.")
+
+
+def test_terms_are_the_tokens_of_scoring(spark):
+    text = "don't l’été stop,here x2y"
+    row = spark.createDataFrame([(text,)], "t string").select(toxicity._terms(F.col("t"))).first()
+    terms = {t for t in row[0] if not t.startswith("^")}
+    assert terms == {t for t in toxicity._TOKEN.findall(text) if len(t) > 1}
+
+
 def test_toxicity_held_out(spark):
     rows, marks = [], []
     for i in range(300):
