@@ -9,8 +9,9 @@ every word as a content word, and one with fewer words than a chain takes its wh
 word sequence; only a text without words has an empty fingerprint.
 
 Two fingerprints are compared by Jaccard similarity. Sets whose lengths differ too
-much for the wanted similarity are never compared: fingerprints are partitioned by
-set length, and within reach of each other only those that share a rare spot meet.
+much for the wanted similarity are never compared by ``similar_pairs``: fingerprints are
+partitioned by set length, and within reach of each other only those that share a rare
+spot meet. ``compare_with_edits`` compares given pairs, without length classes.
 All of it is column expressions.
 """
 
@@ -95,13 +96,15 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, key: str = "doc_id",
                   text: str = "text") -> DataFrame:
     """(a, b, similarity): all pairs of different fingerprints at ``least`` or above.
 
-    Copies fold to one row per fingerprint, named by the smallest key; empty
-    fingerprints pair with nothing. Each fingerprint is partitioned by length class
+    Copies fold to one row per fingerprint. A pair is found by the hashes of its sets and
+    shown by the smallest key of each, NULL last; sets of equal or NULL keys keep their
+    pairs. Empty fingerprints pair with nothing. Each fingerprint is partitioned by length class
     and sends the rarest spots that a partner must share (prefix filter), ranked by
     how many fingerprints hold them; candidates are compared once.
     """
-    sets = (docs.select(F.col(key).alias("k"), spots(F.col(text)).alias("s"))
-            .groupBy("s").agg(F.min("k").alias("k")).filter(F.size("s") > 0))
+    sets = (docs.select(F.col(key).alias("id"), spots(F.col(text)).alias("s"))
+            .groupBy("s").agg(F.min("id").alias("id")).filter(F.size("s") > 0)
+            .withColumn("k", F.xxhash64("s")))
     often = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     held = sets.select("k", F.size("s").alias("len"), F.explode("s").alias("h")).join(often, "h")
     ranked = held.groupBy("k", "len").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("r"))
@@ -115,11 +118,13 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, key: str = "doc_id",
         F.array(F.col("band"), F.col("band") - 1)).alias("la"), F.col("band").alias("lb"), "h")
     cand = (left.join(right, ["h", "la"]).filter((F.col("lb") > F.col("la")) | (F.col("a") < F.col("b")))
             .filter("a <> b").select("a", "b").distinct())
-    cand = (cand.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
-            .join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b"))
-    out = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+    side = lambda k: sets.select(F.col("k").alias(k), F.struct(
+        F.col("id").isNull().alias("unnamed"), "id", F.lit(k).alias("side")).alias(f"n{k}"),
+        F.col("s").alias(f"s{k}"))
+    cand = cand.join(side("a"), "a").join(side("b"), "b")
+    out = cand.select(F.least("na", "nb")["id"].alias("a"), F.greatest("na", "nb")["id"].alias("b"),
                       jaccard(F.col("sa"), F.col("sb"), least).alias("similarity"))
-    return out.filter(F.col("similarity") > 0).distinct()
+    return out.filter(F.col("similarity") > 0)
 
 
 def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:

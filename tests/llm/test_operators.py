@@ -576,6 +576,13 @@ def test_similar_pairs_lose_no_pair(docs):
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_similar_pairs_without_unique_ids(spark):
+    texts = [f"{prose(80, 40 + i // 2)} the tail{i} end" for i in range(6)]
+    rows = [(i, t, None, None, 1) for i, t in zip([None, None, 5, 5, None, 3], texts)]
+    got = spots.similar_pairs(spark.createDataFrame(rows, DOCS), 0.8).collect()
+    assert sorted(((r.a, r.b) for r in got), key=str) == [(3, None), (5, 5), (None, None)]
+
+
 def test_schemas_do_not_depend_on_rows(docs):
     out = spots.compare_with_edits(docs.limit(0))
     assert out.schema["near_edited"].dataType == T.DoubleType()
