@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeline.llm import bpe, html_text, language, lm, mixing, quality, separators, simhash, spots, toxicity
+from edgeline.llm import (bpe, compression, html_text, language, lm, mixing, quality, separators,
+                          simhash, spots, toxicity)
 from edgeline.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +92,15 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+@query("op11_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = compression.fit(docs, labels.filter(~compression.held_out(labels)))
+    return compression.score(docs, model).select(
+        "doc_id", compression.held_out(docs).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
