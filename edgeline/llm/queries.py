@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeline.llm import (bpe, compression, html_text, language, lm, mixing, quality, separators,
+from edgeline.llm import (bpe, codes, compression, html_text, language, lm, mixing, quality, separators,
                           simhash, spots, toxicity)
 from edgeline.llm.tables import table
 
@@ -101,6 +101,50 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op13_vector_codes")
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+def _lloyd_sql(rounds: int = 4) -> str:
+    """The same rounds in SQL, every part against every entry each time."""
+    assign = """a{i} AS MATERIALIZED (
+  SELECT rid, p, min({{'d': d, 'e': e}}) AS best FROM (
+    SELECT rid, t.p, e, list_inner_product(t.v, t.v) - 2 * list_inner_product(t.v, b.v)
+      + list_inner_product(b.v, b.v) AS d FROM parts t JOIN b{i} b ON t.p = b.p)
+  GROUP BY ALL)"""
+    move = """b{j} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (
+    SELECT p, e, list(floor(s / n) ORDER BY i) AS v FROM (
+      SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (
+        SELECT t.p, a.best.e AS e, unnest(t.v) AS x, generate_subscripts(t.v, 1) AS i
+        FROM a{i} a JOIN parts t USING (rid, p)) GROUP BY ALL) GROUP BY ALL) m USING (p, e))"""
+    steps = [part for i in range(rounds) for part in
+             (assign.format(i=i), move.format(i=i, j=i + 1))] + [assign.format(i=rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT rid, p, w[p * (len(w) // 4) + 1:(p + 1) * (len(w) // 4)] AS v
+  FROM kept, (SELECT unnest(range(4)) AS p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, v FROM parts WHERE rid <= 256),
+{", ".join(steps)},
+coded AS (
+  SELECT rid, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code,
+    CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i))
+   FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM b{rounds}))
+    AS codebooks_sha256
+FROM coded JOIN kept USING (rid)"""
+
+
+ORACLES["op13_vector_codes"] = _lloyd_sql()
