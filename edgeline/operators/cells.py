@@ -186,16 +186,16 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cx": x, "cy": y, "local": ids[label]})
 
 
-def star_contract(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def star_contract(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list (a, b) as (node, root).
 
     Alternating large-star and small-star steps; the rounds grow with the
-    logarithm of the graph. Each round is checkpointed to cut the lineage.
+    logarithm of the graph, so they always end. Each is checkpointed to cut the lineage.
     """
     checkpoint_dir(edges.sparkSession)
     current = edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
     current = current.distinct().checkpoint()
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.filter("b > a").join(low, "a").select(F.col("b").alias("a"),
@@ -212,10 +212,7 @@ def star_contract(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 and small.join(current, ["a", "b"], "left_anti").isEmpty())
         current = small
         if same:
-            break
-    else:
-        raise RuntimeError("component search did not settle")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def components(cells: DataFrame, tile: int = 1024) -> DataFrame:
@@ -264,14 +261,15 @@ def outline(cells: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return once.filter("n = 1").select(*carry, "x0", "y0", "x1", "y1")
 
 
-def trace_rings(cells: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Outline as ordered rings (ring, pos, x, y, n), one row per side.
+def ring_sides(cells: DataFrame) -> DataFrame:
+    """Outline sides in ring order: (component, ring, pos, x, y, x1, y1, turns, n).
 
     ``cells`` carries a component. Each side knows its successor at its end
     point; where two components or two arms touch at a corner, the sharpest
-    right turn stays with the cell. Ring name and position follow from pointer
-    doubling: each round joins on the unique side key, so a ring of any length
-    is ordered without gathering it anywhere.
+    right turn stays with the cell. ``turns`` tells that the successor leaves in
+    another direction. Ring name and position follow from pointer doubling: each
+    round joins on the unique side key, so a ring of any length is ordered without
+    gathering it anywhere, in as many rounds as its length has binary digits.
     """
     sides = outline(cells, ["component"])
     side_id = F.struct("x0", "y0", "x1", "y1")
@@ -283,27 +281,33 @@ def trace_rings(cells: DataFrame, max_rounds: int = 60) -> DataFrame:
                         (F.col("y1") - F.col("y0")).alias("iy"))
     turn = F.col("ix") * F.col("oy") - F.col("iy") * F.col("ox")   # -1 right, 0 on, 1 left
     links = (ends.join(starts, ["component", "jx", "jy"])
-             .groupBy("component", "id").agg(F.min_by("nxt", turn).alias("nxt")))
+             .groupBy("component", "id").agg(F.min_by("nxt", turn).alias("nxt"),
+                                             (F.min(turn) != 0).alias("turns")))
     checkpoint_dir(cells.sparkSession)
-    state = links.select("component", "id", "nxt", F.col("id").alias("low"),
+    state = links.select("component", "id", "nxt", "turns", F.col("id").alias("low"),
                          F.lit(0).cast("long").alias("off")).checkpoint()
     span = 1
-    for _ in range(max_rounds):
+    while True:
         ahead = state.select(F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"),
                              F.col("low").alias("low2"), F.col("off").alias("off2"))
         better = F.col("low2") < F.col("low")
         state = state.join(ahead, "nxt").select(
-            "component", "id", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low"),
+            "component", "id", F.col("nxt2").alias("nxt"), "turns",
+            F.least("low", "low2").alias("low"),
             F.when(better, F.col("off2") + span).otherwise(F.col("off")).alias("off"),
             better.alias("moved")).checkpoint()
         span *= 2
         if state.filter("moved").isEmpty():
             break
-    else:
-        raise RuntimeError("ring tracing did not settle")
     # ``off`` is the distance to the ring's first side.
     size = state.groupBy("low").agg((F.max("off") + 1).alias("n"))
     pos = F.when(F.col("off") == 0, 0).otherwise(F.col("n") - F.col("off"))
     return state.join(size, "low").select(
         "component", _cell_id(F.col("low.x0"), F.col("low.y0")).alias("ring"),
-        pos.alias("pos"), F.col("id.x0").alias("x"), F.col("id.y0").alias("y"), "n")
+        pos.alias("pos"), F.col("id.x0").alias("x"), F.col("id.y0").alias("y"),
+        F.col("id.x1").alias("x1"), F.col("id.y1").alias("y1"), "turns", "n")
+
+
+def trace_rings(cells: DataFrame) -> DataFrame:
+    """Outline as ordered rings (component, ring, pos, x, y, n), one row per side."""
+    return ring_sides(cells).select("component", "ring", "pos", "x", "y", "n")

@@ -173,11 +173,6 @@ def _(v):
     return cl.reclassify_mask(cl.focal_sum(union_mask(v)))
 
 
-@query("c08_components")
-def _(v):
-    return cl.components(filled_mask(v))
-
-
 @query("c08_outline", """
 SELECT cx + ax AS x0, cy + ay AS y0, cx + bx AS x1, cy + bz AS y1
 FROM focal f, (VALUES (-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0),
@@ -187,11 +182,6 @@ def _(v):
     return cl.outline(filled_mask(v))
 
 
-@query("c08_rings")
-def _(v):
-    return cl.trace_rings(cl.components(filled_mask(v)))
-
-
 @query("c08_ring_vertices", """
 SELECT cx + ax AS x, cy + ay AS y
 FROM focal f, (VALUES (-1, 0, 0, 0), (0, 1, 0, 1), (1, 0, 1, 1), (0, -1, 1, 0)) s(dx, dy, ax, ay)
