@@ -20,6 +20,56 @@ def reported_sites(levels: DataFrame, threshold: float = 0.3, year: int = REF_YE
     return levels.filter(F.col(f"perc_evaluated_{year}") >= threshold)
 
 
+def site_years(samples: DataFrame, n_side: int | Column = 2, by: Sequence[str] = (),
+               ref_year: int = REF_YEAR) -> DataFrame:
+    """Counts per site and year under every edge rule, from one fold of the samples.
+
+    A transect-year keeps its border gradient, the least gradient and the NULLs of each
+    side, and the outermost pair. All rules follow from these: the border exceeds some
+    point of a side exactly when it exceeds the side's least known gradient (``any_pair``),
+    ``strict`` asks for no NULL besides, ``outermost`` compares the last pair. A transect
+    counts if it has ``2 * n_side + 1`` rows in the reference year, which a window over
+    its few years tells, so the samples are neither read nor moved a second time.
+
+    Columns: ``by``, site_id, year, n (transects), n_evaluated (with a border row),
+    n_any_pair, n_strict, n_outermost.
+    """
+    keys, pnt, grad = [*by, *KEY], F.col("pnt_pst"), F.col("grad")
+    samples = samples.withColumn("n_side", n_side if isinstance(n_side, Column) else F.lit(n_side))
+    sides = [(name, at, far) for name, at, far in (
+        ("inner", pnt < 0, pnt == -F.col("n_side")), ("outer", pnt > 0, pnt == F.col("n_side")))]
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.max("n_side").alias("n_side"),
+            F.max(F.when(pnt == 0, grad)).alias("bd"), F.count_if(pnt == 0).alias("n_bd")]
+    for name, at, far in sides:
+        aggs += [F.min(F.when(at, grad)).alias(f"{name}_least"),
+                 F.count_if(at & grad.isNull()).alias(f"{name}_nulls"),
+                 F.max(F.when(far, grad)).alias(f"{name}_far")]
+    years = samples.groupBy(*keys, "year").agg(*aggs)
+    reference = F.max(F.when(F.col("year") == ref_year, F.col("n_rows")))
+    whole = (years.withColumn("n_ref", reference.over(Window.partitionBy(*keys)))
+             .filter(F.col("n_ref") == 2 * F.col("n_side") + 1))
+    bd = F.col("bd")
+    some = (bd > F.col("inner_least")) & (bd > F.col("outer_least"))
+    strict = some & (F.col("inner_nulls") == 0) & (F.col("outer_nulls") == 0)
+    return whole.groupBy(*by, "site_id", "year").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_bd") > 0).alias("n_evaluated"),
+        F.count_if(some).alias("n_any_pair"), F.count_if(strict).alias("n_strict"),
+        F.count_if((bd > F.col("inner_far")) & (bd > F.col("outer_far"))).alias("n_outermost"))
+
+
+def reported_site_years(counts: DataFrame, placed: DataFrame, original: DataFrame,
+                        by: Sequence[str] = (), threshold: float = 0.3,
+                        ref_year: int = REF_YEAR) -> DataFrame:
+    """Rows of ``site_years`` of the placed sites whose border was evaluated to at least
+    ``threshold`` in the reference year. A window over a site's years finds the share."""
+    site = Window.partitionBy(*by, "site_id")
+    evaluated = F.max(F.when(F.col("year") == ref_year, F.col("n_evaluated"))).over(site)
+    borders = original.join(placed.select("site_id").distinct(), "site_id", "left_semi")
+    return (counts.withColumn("evaluated", evaluated).join(borders, "site_id")
+            .filter(F.try_divide(F.col("evaluated"), F.col("ntrsct")) >= threshold)
+            .select(*counts.columns))
+
+
 def site_year_counts(flagged: DataFrame, by: Sequence[str] = ("site_id",)) -> DataFrame:
     """Transects and edges per site and year from rows with an ``edge`` flag."""
     return flagged.groupBy(*by, "year").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeline.functions import labels
-from edgeline.operators.ranking import exact_quantiles, id_levels, number_rows
+from edgeline.operators.ranking import quantile_values, rank_rows
 
 
 def terrestrial_sites(registry: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def minimum_area(sites: DataFrame, km2: float = 200.0) -> DataFrame:
 
 def below_quantile(df: DataFrame, value: str, prob: float = 0.75) -> DataFrame:
     """Rows strictly below an exact quantile of the column."""
-    cut = exact_quantiles(df, [], value, {"cut": prob})
-    return df.filter(F.col(value) < cut.scalar())
+    cut = quantile_values(df, value, {"cut": prob})["cut"]
+    # A constant, so the filter reaches the scan; of no value nothing is below.
+    return df.filter(F.col(value) < F.lit(cut).cast("double"))
 
 
 def semi_filter(df: DataFrame, ids: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -54,8 +55,8 @@ def split_key(key: str | Column, names: Sequence[str], types: Sequence[str]) ->
 
 
 def row_ids(df: DataFrame, order: str, name: str = "lineid") -> DataFrame:
-    """Consecutive ids in the order of a whole-number column, block by block."""
-    return number_rows(df, [], id_levels(F.col(order)), [F.col(order)], name)
+    """Consecutive ids in the order of a column of different values, however sparse."""
+    return rank_rows(df, [F.col(order)], name)
 
 
 def with_country(sites: DataFrame, country: DataFrame) -> DataFrame:

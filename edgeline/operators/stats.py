@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeline.functions import inference as inf
-from edgeline.operators.ranking import exact_quantiles, number_rows
+from edgeline.operators.ranking import quantile_values, rank_rows
 from edgeline.operators.samples import REF_YEAR
+from edgeline.session import materialise
 
 
 def ols(df: DataFrame, keys: Sequence[str], y: str, x: Column, extra: Sequence[Column] = (),
@@ -160,46 +161,35 @@ def tukey(df: DataFrame, group: str, y: str, alpha: float = 0.05,
             .withColumn("upr", F.col("diff") + F.col("margin")).drop("margin"))
 
 
-def residual_quantiles(df: DataFrame, group: str, y: str, key: str,
-                       blocks: int = 4096) -> DataFrame:
-    """Standardised group residuals against normal quantiles.
+def residual_quantiles(df: DataFrame, group: str, y: str, key: str) -> DataFrame:
+    """Standardised group residuals, their ranks and the normal quantiles of these.
 
-    Residuals are numbered over the whole table in equal-width value blocks,
-    cut further by a hash of the key so that ties cannot pile up in one task.
+    Residuals are ranked along sampled ranges, ties by a hash of the key and the key, so
+    neither an outlier nor a common value fills a task. ``key`` must be unique. A group of
+    one row has no standardised residual and is left out.
     """
     moments = _group_moments(df, group, y)
-    terms = _error_terms(moments).select(
-        F.struct("total", "ms_within").alias("e"))
+    terms = _error_terms(moments).select(F.col("ms_within"))
     rows = (df.filter(F.col(y).isNotNull()).select(F.col(key), F.col(group).alias("grp"),
                                                     F.col(y).alias("y"))
-            .join(moments.select("grp", "n", "mean"), "grp").withColumn("e", terms.scalar()))
-    leverage = F.col("e.ms_within") * (1 - 1.0 / F.col("n"))
+            .join(moments.select("grp", "n", "mean"), "grp").withColumn("ms", terms.scalar()))
     resid = F.col("y") - F.col("mean")
-    rows = rows.select(key, "grp", F.col("e.total").alias("total"), resid.alias("resid"),
-                       F.try_divide(resid, F.sqrt(leverage)).alias("std_resid"))
+    rows = rows.select(key, "grp", resid.alias("resid"), F.try_divide(
+        resid, F.sqrt(F.col("ms") * (1 - 1.0 / F.col("n")))).alias("std_resid"))
     rows = rows.filter(F.col("std_resid").isNotNull())
-    ends = rows.agg(F.struct(F.min("std_resid").alias("lo"), F.max("std_resid").alias("hi"))
-                    .alias("b"))
-    rows = rows.withColumn("b", ends.scalar())
-    # All residuals equal: one block, which the hash below still splits.
-    slot = F.coalesce(F.floor(F.try_divide(F.col("std_resid") - F.col("b.lo"),
-                                           F.col("b.hi") - F.col("b.lo")) * blocks), F.lit(0))
     tie = F.substring(F.md5(F.col(key).cast("binary")), 1, 4)
-    ranked = number_rows(rows.withColumn("slot", slot).withColumn("tie", tie), [],
-                         [[F.col("slot")], [F.col("std_resid"), F.col("tie")]],
-                         [F.col("std_resid"), F.col("tie"), F.col(key)], "i")
-    prob = (F.col("i") - 0.5) / F.col("total")
-    return ranked.select(key, "grp", "resid", "std_resid",
-                         inf.normal_quantile(prob).alias("theoretical"))
+    ranked = rank_rows(rows, [F.col("std_resid"), tie, F.col(key)], "rank", "total")
+    return ranked.select(key, "grp", "resid", "std_resid", "rank",
+                         inf.probit((F.col("rank") - 0.5) / F.col("total")).alias("theoretical"))
 
 
 def six_numbers(df: DataFrame, value: str) -> DataFrame:
     """Minimum, quartiles, mean and maximum in one row."""
-    ends = df.agg(F.min(value).alias("min"), F.avg(value).alias("mean"),
-                  F.max(value).alias("max"))
-    mid = exact_quantiles(df, [], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    out = ends.withColumn("q", mid.select(F.struct("q1", "median", "q3")).scalar())
-    return out.select("min", "q.q1", "q.median", "mean", "q.q3", "max")
+    kept = materialise(df.select(value), "six-numbers")
+    mid = quantile_values(kept, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q1, median, q3 = (F.lit(mid[n]).cast("double").alias(n) for n in ("q1", "median", "q3"))
+    return kept.agg(F.min(value).alias("min"), F.avg(value).alias("mean"),
+                    F.max(value).alias("max")).select("min", q1, median, "mean", q3, "max")
 
 
 def confidence_band(points: DataFrame, keys: Sequence[str], y: str, x: str,
@@ -223,6 +213,7 @@ def describe_sites(sites: DataFrame) -> DataFrame:
 
     Three ISO codes stand for disputed or joint areas and are taken off.
     """
+    sites = materialise(sites.select("iso3", "biome", "gis_area", "ntrsct_2020_eva"), "sites")
     out = sites.agg(
         F.count(F.lit(1)).alias("n_sites"), (F.count_distinct("iso3") - 3).alias("n_countries"),
         F.count_distinct(F.coalesce("biome", F.lit(""))).alias("n_biomes"),
@@ -230,6 +221,6 @@ def describe_sites(sites: DataFrame) -> DataFrame:
                                               ("ntrsct_2020_eva", "transects"))
           for f, n in ((F.min, "min"), (F.max, "max"), (F.stddev_samp, "sd"))])
     for c, s in (("gis_area", "area"), ("ntrsct_2020_eva", "transects")):
-        median = exact_quantiles(sites.withColumn(c, F.col(c).cast("double")), [], c, {"m": 0.5})
-        out = out.withColumn(f"median_{s}", median.scalar())
+        median = quantile_values(sites, c, {"m": 0.5})["m"]
+        out = out.withColumn(f"median_{s}", F.lit(median).cast("double"))
     return out

@@ -38,13 +38,19 @@ FROM (SELECT fid, unnest([
           abs(s_acctbal) % 7000.0::DOUBLE + 3500.0::DOUBLE AS hw,
           (abs(s_acctbal) * 3.0::DOUBLE) % 7000.0::DOUBLE + 3500.0::DOUBLE AS hh FROM supplier))
 WHERE v.ring = 0 OR fid % 4 = 0"""
-VIEWS["polygons"] = "SELECT *, 'P' || fid AS site_id FROM rings WHERE fid % 13 <> 0"
+VIEWS["polygons"] = """
+SELECT * REPLACE (CASE WHEN fid % 13 = 0 THEN x - 4000000.0::DOUBLE ELSE x END AS x),
+       'P' || fid AS site_id FROM rings"""
 VIEWS["polygon_info"] = """
 SELECT 'P' || s_suppkey AS site_id, s_name AS name, abs(s_acctbal) + 200.0 AS gis_area,
-       CAST(1950 + s_suppkey % 70 AS INTEGER) AS status_yr FROM supplier WHERE s_suppkey % 13 <> 0"""
+       CAST(1950 + s_suppkey % 70 AS INTEGER) AS status_yr FROM supplier"""
 VIEWS["segs"] = """
 SELECT a.fid, a.vtx AS seg, a.ring, b.ring AS ring_end, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1
 FROM rings a JOIN rings b ON a.fid = b.fid AND b.vtx = a.vtx + 1"""
+VIEWS["site_segs"] = """
+SELECT a.fid, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1
+FROM polygons a JOIN polygons b ON a.fid = b.fid AND b.vtx = a.vtx + 1 AND a.ring = b.ring"""
+VIEWS["own_segs"] = "SELECT fid, x0, y0, x1, y1 FROM segs WHERE ring = ring_end"
 VIEWS["zones"] = f"""
 SELECT n_nationkey AS fid, r_name AS label, (n_nationkey % 5) * {adapter.ZONE_STEP} - 10000 AS x0,
        (n_nationkey // 5) * {adapter.ZONE_STEP} - 10000 AS y0,
@@ -261,7 +267,7 @@ def _(v):
 
 
 # The plain theta joins: every point against every segment of every polygon.
-def _theta(points: str, on: str) -> str:
+def _theta(points: str, segs: str, on: str = "true") -> str:
     return f"""
 SELECT fid, transect_id, pnt_pst, gid,
   sum(CASE WHEN (y0 <= y) <> (y1 <= y) AND x0 + (y - y0) * (x1 - x0) / (y1 - y0) <= x
@@ -270,8 +276,7 @@ SELECT fid, transect_id, pnt_pst, gid,
 FROM (SELECT p.fid, p.transect_id, p.pnt_pst, p.x, p.y, g.gid, g.x0, g.y0, g.x1, g.y1,
         coalesce(greatest(0, least(1, ((p.x - g.x0) * (g.x1 - g.x0) + (p.y - g.y0) * (g.y1 - g.y0))
           / nullif((g.x1 - g.x0) * (g.x1 - g.x0) + (g.y1 - g.y0) * (g.y1 - g.y0), 0))), 0) AS t
-      FROM {points} p JOIN (SELECT fid AS gid, x0, y0, x1, y1 FROM segs WHERE ring = ring_end) g
-        ON {on})
+      FROM {points} p JOIN (SELECT fid AS gid, x0, y0, x1, y1 FROM {segs}) g ON {on})
 GROUP BY ALL"""
 
 
@@ -279,12 +284,12 @@ def _matches(points: str) -> str:
     return f"""
 SELECT p.fid, p.transect_id, h.site_id FROM (SELECT * FROM {points} WHERE pnt_pst = 0) p
 LEFT JOIN (SELECT DISTINCT fid, transect_id, 'P' || gid AS site_id
-           FROM ({_theta(f'(SELECT * FROM {points} WHERE pnt_pst = 0)', 'g.gid % 13 <> 0')})
+           FROM ({_theta(f'(SELECT * FROM {points} WHERE pnt_pst = 0)', 'site_segs')})
            WHERE odd OR dist <= 750) h USING (fid, transect_id)"""
 
 
 VIEWS["raw_matches"] = _matches("tpoints")
-VIEWS["inner_hits"] = _theta("(SELECT * FROM tpoints WHERE pnt_pst < 0)", "g.gid = p.fid")
+VIEWS["inner_hits"] = _theta("(SELECT * FROM tpoints WHERE pnt_pst < 0)", "own_segs", "g.gid = p.fid")
 # A cell survives the inner buffer when no background cell lies within the distance.
 VIEWS["cores"] = f"""
 SELECT DISTINCT m.fid FROM mask m WHERE NOT EXISTS (

@@ -297,11 +297,12 @@ def length_levels(v):
 
 def length_counts(v):
     """Transects and edges per length, reported site and year, with biome."""
-    flagged = rates.outermost_edges(v.samples_all(), n_side_column())
-    counts = rates.site_year_counts(flagged, ["length_km", "site_id"])
-    kept = rates.reported_sites(length_levels(v)).select("length_km", "site_id")
+    by = ["length_km"]
+    counts = rates.site_years(v.samples_all(), n_side_column(), by).withColumnRenamed(
+        "n_outermost", "n_edge")
+    kept = rates.reported_site_years(counts, v.placed(), v.original_counts(), by)
     biome = v.sites().select("site_id", labels.regroup_biome(F.col("biome")).alias("biome"))
-    return counts.join(kept, ["length_km", "site_id"], "left_semi").join(biome, "site_id", "left")
+    return kept.select(*by, "site_id", "year", "n", "n_edge").join(biome, "site_id", "left")
 
 
 @query("e19_share_by_length", """

@@ -242,12 +242,6 @@ def _(v):
     return stats.tukey(reported_iucn(v, False), "iucn_cat", "edge_level_2020")
 
 
-@query("f09_residual_quantiles")
-def _(v):
-    return stats.residual_quantiles(rs.reported_levels(v, "site"), "biome", "edge_level_2020",
-                                    "site_id")
-
-
 def _residuals_sql(group: str, y: str, where: str = "true") -> str:
     known = f"{group} IS NOT NULL AND {y} IS NOT NULL AND {where}"
     return f"""
@@ -260,24 +254,41 @@ FROM (SELECT site_id, {group} AS grp, {y} AS y, avg({y}) OVER w AS m, count({y})
 WHERE n > 1"""
 
 
+# The normal quantile by Newton steps on the series of its integral.
+_PHI = ("(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * sign(z) * list_sum(list_transform(range(0, 120), "
+        "lambda k: exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))))")
+_NEWTON = (f"list_reduce(range(0, 60), lambda z, i: CASE WHEN p = 0.5 THEN 0.0::DOUBLE ELSE z - ({_PHI} - p) "
+           "/ (exp(-z * z / 2) / sqrt(2 * pi())) END, CASE WHEN p < 0.5 THEN -0.01 ELSE 0.01 END::DOUBLE)")
+
+
+@query("f09_residual_quantiles", f"""
+SELECT site_id, grp, resid, std_resid, rank, {_NEWTON} AS theoretical
+FROM (SELECT *, (rank - 0.5) / count(*) OVER () AS p FROM (
+  SELECT *, row_number() OVER (ORDER BY std_resid, md5(site_id)[1:4], site_id) AS rank
+  FROM ({_residuals_sql('biome', 'edge_level_2020')})))""", dbl="resid std_resid theoretical")
+def _(v):
+    return stats.residual_quantiles(rs.reported_levels(v, "site"), "biome", "edge_level_2020",
+                                    "site_id")
+
+
 @query("f09_residuals_trend_biome", _residuals_sql("biome", "slope"), dbl="resid std_resid")
 def _(v):
     return stats.residual_quantiles(rs.reported(v, "site"), "biome", "slope",
-                                    "site_id").drop("theoretical")
+                                    "site_id").drop("rank", "theoretical")
 
 
 @query("f09_residuals_trend_iucn", _residuals_sql("iucn_cat", "slope", _WITH_IUCN),
        dbl="resid std_resid")
 def _(v):
     return stats.residual_quantiles(reported_iucn(v, True), "iucn_cat", "slope",
-                                    "site_id").drop("theoretical")
+                                    "site_id").drop("rank", "theoretical")
 
 
 @query("f09_standardised_residuals", _residuals_sql("biome", "edge_level_2020"),
        dbl="resid std_resid")
 def _(v):
     return stats.residual_quantiles(rs.reported_levels(v, "site"), "biome", "edge_level_2020",
-                                    "site_id").drop("theoretical")
+                                    "site_id").drop("rank", "theoretical")
 
 
 @query("f10_area_summary", """

@@ -42,9 +42,10 @@ def reported_levels(v: Views, variant: str = "global") -> DataFrame:
 
 def reported_year_counts(v: Views) -> DataFrame:
     """Transects and edges per reported site and year, with the site's biome."""
-    flagged = sm.complete_wide(v.samples()).withColumn("edge", sm.edge_flag())
-    counts = rates.site_year_counts(flagged)
-    return counts.join(reported_levels(v).select("site_id", "biome"), "site_id")
+    counts = rates.site_years(v.samples()).withColumnRenamed("n_any_pair", "n_edge")
+    kept = rates.reported_site_years(counts, v.placed(), v.original_counts())
+    biome = v.sites().select("site_id", labels.regroup_biome(F.col("biome")).alias("biome"))
+    return kept.select("site_id", "year", "n", "n_edge").join(biome, "site_id", "left")
 
 
 # ---- the same views as SQL -------------------------------------------------

@@ -24,6 +24,7 @@ DESIGNATIONS = ["National Park", "Nature Reserve", "Marine Protected Area",
 STATUSES = labels.KEPT_STATUS + ["Proposed", None]
 LATTICE = 18000
 LATTICE_COLS = 32
+AWAY = 4_000_000.0
 ZONE_STEP = 120000
 WATER_RES = 400.0
 
@@ -173,14 +174,15 @@ class Views:
                 .filter((F.col("ring") == 0) | (F.col("fid") % 4 == 0)))
 
     def polygons(self) -> DataFrame:
-        """Site polygons as vertices. Every thirteenth ring belongs to no site, so that
-        some border points match nothing."""
-        return (self.rings().filter(F.col("fid") % 13 != 0)
+        """Site polygons as vertices, one for every ring. Those of every thirteenth footprint
+        stand far off their footprint, so that its border points match nothing."""
+        away = F.when(F.col("fid") % 13 == 0, AWAY).otherwise(0.0)
+        return (self.rings().withColumn("x", F.col("x") - away)
                 .withColumn("site_id", F.concat(F.lit("P"), F.col("fid"))))
 
     def polygon_info(self) -> DataFrame:
         key = F.col("s_suppkey")
-        return self.table("supplier").filter(key % 13 != 0).select(
+        return self.table("supplier").select(
             F.concat(F.lit("P"), key).alias("site_id"), F.col("s_name").alias("name"),
             (F.abs("s_acctbal") + 200.0).alias("gis_area"),
             (1950 + key % 70).cast("int").alias("status_yr"))

@@ -59,3 +59,17 @@ def test_anova_does_not_cancel_under_a_shift(spark):
         df = spark.createDataFrame([(g, y + shift) for g, y in rows], "g string, y double")
         values.append(anova(df, "g", "y", p_values=False).first().f_value)
     assert values[1] == pytest.approx(values[0], rel=1e-6)
+
+
+def test_probit_column(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from edgeline.functions.inference import probit
+    ps = [1e-300, 1e-20, 1e-9, 0.001, 0.07, 0.075, 0.2, 0.5, 0.6, 0.925, 0.93, 0.999, 1 - 1e-12]
+    df = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, -1.0, None]], "p double")
+    got = {r.p: r.z for r in df.select("p", probit(F.col("p")).alias("z")).collect()}
+    for p in ps:
+        assert got[p] == pytest.approx(NormalDist().inv_cdf(p), rel=1e-13, abs=1e-15)
+    assert got[0.0] is None and got[1.0] is None and got[-1.0] is None and got[None] is None

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from edgeline.operators import ranking
 from edgeline.operators.ranking import (exact_quantiles, id_levels, number_rows,
-                                        running_totals)
+                                        quantile_values, rank_rows, running_totals)
 
 
 def test_number_rows_with_a_hot_group(spark):
@@ -66,3 +67,71 @@ def test_hot_groups_equal_cold_groups(spark):
     got = exact_quantiles(df, ["g"], "v", probs).orderBy("g").collect()
     for a, b in zip(want, got, strict=True):
         assert a.g == b.g and list(a.q) == pytest.approx([b[n] for n in probs])
+
+
+PROBS = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.77, "e": 1.0}
+
+
+@pytest.mark.parametrize("kind", ["low", "high", "nothing", "outside"])
+@pytest.mark.parametrize("shape", ["outliers", "ties", "smooth", "two"])
+def test_quantiles_need_no_right_sketch(spark, monkeypatch, kind, shape):
+    """The counts decide: a sketch made wrong on purpose costs passes, not the result."""
+    rng = np.random.default_rng(3)
+    values = {"outliers": np.concatenate([rng.normal(size=3000), [1e300, -1e300, 5e18]]),
+              "ties": rng.integers(0, 3, 3000) / 4, "smooth": rng.exponential(size=3000),
+              "two": np.array([0.0] * 2999 + [1.0])}[shape]
+    wrong = {"low": lambda b: [b.low] * 4, "high": lambda b: [b.high], "nothing": lambda b: [],
+             "outside": lambda b: [b.low - 5, b.high + 5]}[kind]
+    monkeypatch.setattr(ranking, "_sketch", lambda column, brackets, accuracy: [wrong(b) for b in brackets])
+    monkeypatch.setattr(ranking, "FEW", 40)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    got = quantile_values(df, "v", PROBS)
+    for name, p in PROBS.items():
+        assert got[name] == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert quantile_values(df, "v", {"m": 0.5}) == {"m": None}
+    row = exact_quantiles(df, [], "v", {"m": 0.5}).first()
+    assert row.m is None
+
+
+def test_keyed_quantiles_refuse_a_wrong_sketch(spark, monkeypatch):
+    rows = [(1, float(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    monkeypatch.setattr(F, "percentile_approx", lambda v, probs, acc: F.array(F.lit(-2.0), F.lit(-1.0)))
+    with pytest.raises(Exception, match="outside its sketch"):
+        exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()
+
+
+def test_ranks_spread_over_many_ranges(spark):
+    """An outlier and a common value: no range holds much more than its share."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _check_ranges(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _check_ranges(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=20_000), [1e12], np.full(6000, 0.25)])
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id long, v double")
+    tie = F.md5(F.col("id").cast("string").cast("binary"))
+    got = rank_rows(rows, [F.col("v"), tie, F.col("id")], "rank", "total")
+    back = {r.id: (r.rank, r.total) for r in got.collect()}
+    assert sorted(r for r, _ in back.values()) == list(range(1, len(values) + 1))
+    assert {t for _, t in back.values()} == {len(values)}
+    in_rank = [values[i] for i, _ in sorted(back.items(), key=lambda kv: kv[1])]
+    assert in_rank == sorted(in_rank)
+    files = got.groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 6 and max(r["count"] for r in files) < 0.4 * len(values)
+
+
+def test_sparse_ids_rank(spark):
+    ids = [0, 5, 1 << 40, (1 << 62) + 3, -(1 << 62), 77]
+    df = spark.createDataFrame([(i,) for i in ids], "v long")
+    got = {r.v: r.i for r in rank_rows(df, [F.col("v")], "i").collect()}
+    assert got == {v: k + 1 for k, v in enumerate(sorted(ids))}
+    assert rank_rows(df.limit(0), [F.col("v")], "i").collect() == []
