@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from edgeline.functions import geometry as geo
 from edgeline.operators import boundary as bd
 from edgeline.operators import cells as cl
+from edgeline.operators import coverage as cov
+from edgeline.operators import snapping
 from edgeline.operators import vertices as vx
 from edgeline.plans.oracle import VIEWS
 from edgeline.plans.registry import query
@@ -136,6 +138,45 @@ def _(v):
     return vx.snap(v.rings(), precision=1e3)
 
 
+@query("c03_snap_grid", """
+SELECT fid, ring, row_number() OVER (PARTITION BY fid ORDER BY vtx) - 1 AS vtx, x, y
+FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM (
+        SELECT fid, ring, vtx, round(round(x / 40) * 40 * 1000) / 1000 AS x,
+               round(round(y / 40) * 40 * 1000) / 1000 AS y FROM rings)
+      WINDOW w AS (PARTITION BY fid, ring ORDER BY vtx))
+WHERE px IS NULL OR x <> px OR y <> py""", dbl="x y")
+def _(v):
+    return vx.snap(v.rings(), precision=1e3, grid=40.0)
+
+
+SNAP = 2500.0
+
+
+@query("c03_snap_neighbours", """
+SELECT fid, ring, row_number() OVER (PARTITION BY fid ORDER BY vtx) - 1 AS vtx, x, y
+FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM (
+        SELECT fid, ring, vtx, round(to_x * 1000) / 1000 AS x, round(to_y * 1000) / 1000 AS y
+        FROM rings JOIN snapped USING (x, y))
+      WINDOW w AS (PARTITION BY fid, ring ORDER BY vtx))
+WHERE px IS NULL OR x <> px OR y <> py""", dbl="x y", views={
+    "places": "SELECT x, y, row_number() OVER (ORDER BY x, y) AS id FROM (SELECT DISTINCT x, y FROM rings)",
+    "snap_roots": f"""
+WITH RECURSIVE near AS MATERIALIZED (
+  SELECT a.id AS i, b.id AS j FROM places a JOIN places b ON a.id <> b.id
+   AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {SNAP * SNAP}),
+found(id, root) USING KEY (id) AS (
+  SELECT id, id FROM places
+  UNION
+  SELECT n.j, min(f.root) FROM found f JOIN near n ON n.i = f.id
+    JOIN recurring.found g ON g.id = n.j WHERE f.root < g.root GROUP BY n.j)
+SELECT id, root FROM found""",
+    "snapped": """
+SELECT p.x, p.y, q.x AS to_x, q.y AS to_y
+FROM places p JOIN snap_roots USING (id) JOIN places q ON q.id = root"""})
+def _(v):
+    return vx.snap(snapping.snap_neighbours(v.rings(), SNAP), precision=1e3)
+
+
 # ---- masks -----------------------------------------------------------------
 @query("c04_erase_overlaps", """
 SELECT cx, cy, fid FROM (SELECT *, row_number() OVER (
@@ -224,6 +265,54 @@ def _(v):
     return cl.largest_overlap(cl.rasterise(v.rings()), zone_cells(v), "fid", "label")
 
 
+# Covered area of a cell: along each border segment the distance to the cell's right edge,
+# cut to the cell, summed by its antiderivative over the segment's part in the cell's row.
+_G = lambda u: f"(CASE WHEN {u} <= 0 THEN 0 WHEN {u} >= 500 THEN 500 * {u} - 125000 ELSE {u} * {u} / 2 END)"
+_COVERED = {
+    "row_parts": """
+SELECT fid, cy, x0 + (ya - y0) * (x1 - x0) / (y1 - y0) AS xa, x0 + (yb - y0) * (x1 - x0) / (y1 - y0) AS xb,
+       yb - ya AS rise, c0, c1
+FROM (SELECT *, least(greatest(y0, cy * 500::DOUBLE), (cy + 1) * 500::DOUBLE) AS ya,
+        least(greatest(y1, cy * 500::DOUBLE), (cy + 1) * 500::DOUBLE) AS yb
+      FROM (SELECT *, unnest(range(CAST(floor(least(y0, y1) / 500) AS BIGINT),
+                                   CAST(floor(greatest(y0, y1) / 500) AS BIGINT) + 1)) AS cy
+            FROM own_segs JOIN (SELECT fid, CAST(floor(min(x) / 500) AS BIGINT) AS c0,
+                                  CAST(floor(max(x) / 500) AS BIGINT) AS c1 FROM rings GROUP BY fid)
+              USING (fid) WHERE y0 <> y1))
+WHERE ya <> yb""",
+    "covered": f"""
+SELECT fid, cx, cy, sum(CASE WHEN abs(u1 - u0) < 1e-6
+    THEN rise * least(greatest((u0 + u1) / 2, 0), 500) ELSE rise * ({_G('u1')} - {_G('u0')}) / (u1 - u0) END) AS area
+FROM (SELECT fid, cy, cx, rise, (cx + 1) * 500 - xa AS u0, (cx + 1) * 500 - xb AS u1
+      FROM (SELECT *, unnest(range(c0, c1 + 1)) AS cx FROM row_parts))
+GROUP BY ALL HAVING area > 1e-3"""}
+
+
+@query("c11_covered_area", """
+SELECT fid, count(*) AS n_cells, sum(area) / 1e6 AS covered_km2, s.km2 AS shoelace_km2
+FROM covered JOIN (SELECT fid, sum(y1 * x0 - x1 * y0) / -2e6 AS km2 FROM own_segs GROUP BY fid) s USING (fid)
+GROUP BY fid, s.km2""", dbl="covered_km2 shoelace_km2", views=_COVERED)
+def _(v):
+    cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
+    shoelace = vx.segments(v.rings()).groupBy("fid").agg((F.sum(cross) / -2e6).alias("shoelace_km2"))
+    covered = cov.coverage(v.rings()).filter("area > 1e-3").groupBy("fid").agg(
+        F.count(F.lit(1)).alias("n_cells"), (F.sum("area") / 1e6).alias("covered_km2"))
+    return covered.join(shoelace, "fid")
+
+
+@query("c11_largest_overlap_area", """
+SELECT t.fid, b.label, b.o / 1e6 AS overlap_km2, t.a / 1e6 AS total_km2
+FROM (SELECT fid, sum(area) AS a FROM covered GROUP BY fid) t
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY round(o * 1e6) DESC, label) AS r
+           FROM (SELECT fid, label, sum(area) AS o FROM covered JOIN zone_cells USING (cx, cy)
+                 GROUP BY ALL)) b ON t.fid = b.fid AND b.r = 1""",
+       dbl="overlap_km2 total_km2", views=_COVERED)
+def _(v):
+    return cov.largest_overlap(cov.coverage(v.rings()), zone_cells(v)).select(
+        "fid", "label", (F.col("overlap") / 1e6).alias("overlap_km2"),
+        (F.col("total") / 1e6).alias("total_km2"))
+
+
 @query("c12_segments", "SELECT fid, seg, ring, x0, y0, x1, y1 FROM segs", dbl="x0 y0 x1 y1")
 def _(v):
     return vx.segments(v.rings(), "concat")

@@ -50,18 +50,34 @@ def _(v):
     return rates.histograms(rates.reported_sites(rs.levels(v)), LEVEL_NAMES)
 
 
+def _feistel(value: str) -> str:
+    """Four rounds on digits to the base a, with multipliers m and offsets o per site-year."""
+    left, right = f"({value} // a)", f"({value} % a)"
+    for i in range(4):
+        left, right = right, f"(({left} + (({right} * m{i} + o{i}) % 2147483647)) % a)"
+    return f"{left} * a + {right}"
+
+
 def _shuffled(mode: str) -> str:
-    drawn = """SELECT site_id, year, transect_id AS source_id, grad,
-      row_number() OVER (PARTITION BY site_id, year
-        ORDER BY md5(transect_id || '_' || year || '_1'), transect_id) AS slot
-      FROM complete WHERE pnt_pst = 0 AND year IN (2001, 2020)"""
+    digits = lambda kind, i: (f"CAST('0x' || substr(md5(site_id || '_' || year || '_1_{kind}'), "
+                              f"{1 + 7 * i}, 7) AS BIGINT)")
+    keys = ", ".join(f"{digits('m', i)} + 1 AS m{i}, {digits('o', i)} AS o{i}" for i in range(4))
+    drawn = f"""WITH RECURSIVE numbered AS (
+      SELECT site_id, year, transect_id, grad, i, n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, {keys}
+      FROM (SELECT site_id, year, transect_id, grad,
+              row_number() OVER (PARTITION BY site_id, year ORDER BY transect_id) AS i,
+              count(*) OVER (PARTITION BY site_id, year) AS n
+            FROM complete WHERE pnt_pst = 0 AND year IN (2001, 2020))),
+    walk AS (
+      SELECT *, {_feistel('(i - 1)')} AS place FROM numbered
+      UNION ALL SELECT * REPLACE ({_feistel('place')} AS place) FROM walk WHERE place >= n)
+    SELECT site_id, year, transect_id, grad, i, place + 1 AS slot FROM walk WHERE place < n"""
     if mode == "literal":
-        return f"SELECT site_id, year, slot AS transect_id, source_id, grad FROM ({drawn})"
-    return f"""SELECT d.site_id, d.year, s.transect_id, d.source_id, d.grad FROM ({drawn}) d
-      JOIN (SELECT site_id, year, transect_id, row_number() OVER (
-              PARTITION BY site_id, year ORDER BY transect_id) AS slot
-            FROM complete WHERE pnt_pst = 0 AND year IN (2001, 2020)) s
-      USING (site_id, year, slot)"""
+        return f"""SELECT site_id, year, slot AS transect_id, transect_id AS source_id, grad
+      FROM ({drawn})"""
+    return f"""WITH drawn AS MATERIALIZED ({drawn})
+      SELECT d.site_id, d.year, s.transect_id, d.transect_id AS source_id, d.grad
+      FROM drawn d JOIN drawn s ON s.site_id = d.site_id AND s.year = d.year AND s.i = d.slot"""
 
 
 def _null_views(mode: str) -> dict[str, str]:
@@ -97,7 +113,7 @@ _NULL_DBL = ("perc_evaluated_2020 perc_evaluated_2001 edge_level_2020 edge_level
 
 
 def complete_two_years(v):
-    """Complete samples of both years, written once: numbering reads them four times."""
+    """Complete samples of both years, written once for the steps that read them."""
     rows = v.samples().filter(F.col("year").isin(2001, 2020))
     return materialise(sm.complete_transects(rows).drop("n"), "complete_two_years")
 

@@ -11,7 +11,7 @@ from edgeline.operators import stats
 from edgeline.plans import images
 from edgeline.plans import results as rs
 from edgeline.plans.registry import query
-from edgeline.session import scratch_path
+from edgeline.session import materialise, scratch_path
 from edgeline.sources import tables as tb
 
 
@@ -119,11 +119,12 @@ UNION ALL SELECT 'large', count(*), count(DISTINCT site_id), sum(gis_area) FROM
 UNION ALL SELECT 'complete', count(*), count(DISTINCT site_id), NULL FROM complete
   WHERE pnt_pst = 0 AND year = 2020""", dbl="total")
 def _(v):
-    registry = v.registry()
-    land = st.terrestrial_sites(registry)
+    audit, area = tb.StageAudit(v.spark), F.col("gis_area")
+    registry = audit.watch(v.registry(), "registry", "site_id", area)
+    land = audit.watch(st.terrestrial_sites(registry), "terrestrial", "site_id", area)
+    materialise(audit.watch(st.minimum_area(land), "large", "site_id", area), "large-sites")
     complete = sm.complete_transects(v.samples().filter(F.col("year") == 2020))
-    area = F.col("gis_area")
-    return tb.stage_audit({
-        "registry": (registry, "site_id", area), "terrestrial": (land, "site_id", area),
-        "large": (st.minimum_area(land), "site_id", area),
-        "complete": (complete.filter(F.col("pnt_pst") == 0), "site_id", None)})
+    border = complete.filter(F.col("pnt_pst") == 0)
+    written = materialise(audit.watch(border, "complete"), "complete-borders")
+    audit.count_keys("complete", written, "site_id")
+    return audit.table()

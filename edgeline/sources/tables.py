@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -65,13 +65,52 @@ def attach(geometry: DataFrame, results: DataFrame, on: str = "site_id") -> Data
     return geometry.join(results, on, "left")
 
 
-def stage_audit(stages: dict[str, tuple[DataFrame, str, Column | None]]) -> DataFrame:
-    """Rows, distinct ids and a column sum per stage, as one small table."""
-    rows = [df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n_rows"),
-                   F.count_distinct(key).alias("n_ids"),
-                   (F.sum(total) if total is not None else F.lit(None)).cast("double")
-                   .alias("total")) for name, (df, key, total) in stages.items()]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+def replace_partitions(df: DataFrame, path: str, by: str, fmt: str = "parquet") -> str:
+    """Write a table by the values of a column, replacing the partitions that ``df`` holds.
+
+    A rerun of one year so replaces that year and leaves the others as they are, and a
+    run that is repeated after a failure leaves no row twice.
+    """
+    (df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(by).save(path))
+    return path
+
+
+class StageAudit:
+    """Rows, distinct keys and a column sum of stages, emitted while they are computed.
+
+    ``watch`` passes a stage on and counts what flows by; the numbers are there once a job
+    has run all of it, and ``table`` returns them. A stage is counted exactly once where it
+    is watched behind its last shuffle, as rerun tasks of a written result count once.
+
+    Distinct values of ``key`` are counted by the first row of each. Rows are dealt by key
+    for that, once for all filters behind it, so a key must not hold many rows; the keys of
+    other stages are counted with map-side combine on the written stage by ``count_keys``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._seen: dict[str, Observation] = {}
+        self._keys: dict[str, int] = {}
+
+    def watch(self, df: DataFrame, stage: str, key: str | None = None,
+              total: Column | None = None) -> DataFrame:
+        seen = self._seen[stage] = Observation(stage)
+        first = F.lit(False)
+        if key is not None:
+            first = ((F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1)
+                     & F.col(key).isNotNull())
+        value = (total if total is not None else F.lit(None)).cast("double")
+        return (df.withColumn("__first", first).observe(
+            seen, F.count(F.lit(1)).alias("n_rows"), F.count_if("__first").alias("n_ids"),
+            F.sum(value).alias("total")).drop("__first"))
+
+    def count_keys(self, stage: str, written: DataFrame, key: str) -> None:
+        self._keys[stage] = written.agg(F.count_distinct(key)).collect()[0][0]
+
+    def table(self) -> DataFrame:
+        """One row per watched stage; waits for a stage whose job has not ended."""
+        rows = [(stage, seen.get["n_rows"], self._keys.get(stage, seen.get["n_ids"]),
+                 seen.get["total"]) for stage, seen in self._seen.items()]
+        return self.spark.createDataFrame(
+            rows, "stage string, n_rows long, n_ids long, total double")

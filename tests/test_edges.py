@@ -75,6 +75,51 @@ def test_permutation_is_a_bijection(spark):
     assert {tuple(r) for r in other} != {tuple(r) for r in dense}
 
 
+def test_feistel_permutes_every_size(spark):
+    """For each n up to 300 and two keys, 0 .. n - 1 is hit once each, and not in place."""
+    sizes = spark.range(1, 301).select(F.col("id").alias("n")).crossJoin(
+        spark.createDataFrame([("A",), ("B",)], "site_id string"))
+    rows = sizes.select("*", F.lit(2020).alias("year"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+                        .alias("i")).withColumn("keys", nullmodel.round_keys(7))
+    got = rows.select("site_id", "n", "i", nullmodel.permuted(F.col("i"), F.col("n"), F.col("keys")).alias("p"))
+    by = {}
+    for r in got.collect():
+        by.setdefault((r.site_id, r.n), []).append((r.i, r.p))
+    assert len(by) == 600
+    for (_, n), pairs in by.items():
+        assert sorted(p for _, p in pairs) == list(range(n))
+    moved = [i != p for pairs in by.values() for i, p in pairs if len(pairs) > 100]
+    assert sum(moved) / len(moved) > 0.98
+    assert sorted(by["A", 250]) != sorted(by["B", 250])
+
+
+def test_one_fold_equals_the_separate_rules(spark):
+    """Counts of ``site_years`` against wide rows, strict edges and flags of random samples."""
+    import random
+    r = random.Random(9)
+    data = []
+    for site in "ABC":
+        for t in range(25):
+            for year in (2001, 2019, 2020):
+                grads = [r.choice([None, "absent", *map(float, range(8))] if r.random() < 0.3 else
+                                  [float(r.randint(0, 9))]) for _ in range(5)]
+                data += rows_of(site, t, grads, year)
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {(r.site_id, r.year): (r.n, r.n_evaluated, r.n_any_pair, r.n_strict, r.n_outermost)
+           for r in rates.site_years(df).collect()}
+    wide = sm.complete_wide(df)
+    any_pair, outer = ({(r.site_id, r.year): (r.n, r.n_edge) for r in rates.site_year_counts(
+        wide.withColumn("edge", sm.edge_flag(rule))).collect()} for rule in ("any_pair", "outermost"))
+    strict = {(r.site_id, r.year): r.n for r in sm.strict_edges(sm.complete_transects(df)).groupBy(
+        "site_id", "year").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {(r.site_id, r.year): r.n for r in sm.complete_transects(df.drop("n")).filter("pnt_pst = 0")
+            .groupBy("site_id", "year").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(got) == set(any_pair)
+    for key, (n, evaluated, some, all_known, far) in got.items():
+        assert any_pair[key] == (n, some) and outer[key] == (n, far)
+        assert strict.get(key, 0) == all_known and seen.get(key, 0) == evaluated
+
+
 def test_trend_needs_three_rows(spark):
     data = (rows_of("two", 1, [0.0, 0.0, 1.0, 0.0, 0.0]) + rows_of("two", 1, [0.0, 0.0, 2.0, 0.0, 0.0], 2001)
             + [r for y in (2001, 2010, 2020) for r in rows_of("flat", 2, [0.0, 0.0, 3.0, 0.0, 0.0], y)])
