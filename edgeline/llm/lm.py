@@ -148,7 +148,7 @@ def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "part", "n", "totals"])
 
 
-_COUNTED = "doc_id long, train boolean, n long, start long, c2 binary, c12 binary, held binary"
+_COUNTED = "doc_id string, train boolean, n long, start long, c2 binary, c12 binary, held binary"
 
 
 def _counted(parts: int):
@@ -177,9 +177,7 @@ def _counted(parts: int):
         code, times = np.unique(np.concatenate(held), return_counts=True)
         rows[0] = (*rows[0][:-1], zlib.compress(np.column_stack([code, times]).astype("<i8")
                                                 .tobytes(), 1))
-        out = pd.DataFrame(rows, columns=["doc_id", "train", "n", "start", "c2", "c12", "held"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        return pd.DataFrame(rows, columns=["doc_id", "train", "n", "start", "c2", "c12", "held"])
     return run
 
 
@@ -244,8 +242,9 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     counted one by one. With no training row every count is 0 and only the uniform
     part remains. ``docs`` may have any other columns.
     """
-    rows = docs.select("doc_id", "text", train.alias("train")).withColumn(
-        "chunk", chunk_of(F.col("doc_id")))
+    # Ids pass through Python as text: beside a NULL a batch of numbers would turn to floats.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", train.alias("train"),
+                       chunk_of(F.col("doc_id")).alias("chunk"))
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(8, math.ceil(size / 4 / KEYS_PER_TASK))
     asks = rows.mapInPandas(_asks(parts), "part long, chunk long, keys binary, counts binary")
@@ -286,12 +285,13 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
                             float(np.log10((c2 + 1) / (total + words + 1)).sum()),
                             float(np.log10(p).sum())))
             got = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-            got.insert(0, "doc_id", b.doc_id.astype("Int64").to_numpy())
+            got.insert(0, "doc_id", b.doc_id.to_numpy())
             yield got
 
     return (counted.select("doc_id", "n", "start", "c2", "c12")
-            .mapInPandas(final, "doc_id long, n_tokens long, n_known long, base_score double, "
+            .mapInPandas(final, "doc_id string, n_tokens long, n_known long, base_score double, "
                                 "score double")
+            .withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
             .withColumn("train_tokens", F.lit(total).cast("long")))
 
 

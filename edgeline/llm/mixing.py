@@ -133,33 +133,47 @@ def plan(counts: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
         run, "source string, size long, source_size long, target double, rounds long, extra long")
 
 
-def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
-        most: int = MOST, seed: int = SEED) -> DataFrame:
-    """Adds ``size``, ``source_size``, ``target`` and ``taken`` to every row of ``docs``.
-
-    ``taken`` is the words of a document times its repeats in the mix, 0 to ``most``
-    times. Texts without words take part with size 0 and are taken 0 words. Equal
-    rows of one id and length are interchangeable, so reruns agree.
-    """
+def _placed(docs: DataFrame, text: str, weights: tuple[int, ...], most: int, seed: int
+            ) -> DataFrame:
+    """``docs`` with its size, source size, target and repeats under private names."""
     key = F.col("doc_id")
-    rows = docs.withColumns({"size": word_count(F.col(text)),
+    rows = docs.withColumns({"__size": word_count(F.col(text)),
                              "__h": F.xxhash64(F.coalesce(key, F.lit(-1)), F.lit(seed))})
     slim = docs.select("source", word_count(F.col(text)).alias("size"))
     counts = slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sums = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     chosen = plan(counts, targets(sums, weights, most), most)
-    chosen = chosen.withColumn("__s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    rows = rows.withColumn("__s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    ranked = number_rows(rows, ["__s", "size"], [[F.shiftright("__h", 52)]],
+    of = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("__s")
+    chosen = chosen.select(of, *[F.col(c).alias(f"__{c}") for c in (
+        "size", "source_size", "target", "rounds", "extra")])
+    ranked = number_rows(rows.select("*", of), ["__s", "__size"], [[F.shiftright("__h", 52)]],
                          [F.col("__h"), key], "__rank")
-    joined = ranked.join(chosen.drop("source"), ["__s", "size"])
-    repeats = F.col("rounds") + (F.col("__rank") <= F.col("extra")).cast("long")
-    return (joined.withColumn("taken", F.col("size") * repeats)
-            .drop("__s", "__h", "__rank", "rounds", "extra"))
+    joined = ranked.join(chosen, ["__s", "__size"])
+    repeats = F.col("__rounds") + (F.col("__rank") <= F.col("__extra")).cast("long")
+    return (joined.withColumn("__repeats", repeats)
+            .select(*docs.columns, "__size", "__source_size", "__target", "__repeats"))
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: every document as often as it is taken."""
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return (mixed.filter(F.col("taken") > 0)
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*columns))
+def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
+        most: int = MOST, seed: int = SEED) -> DataFrame:
+    """Adds ``size``, ``source_size``, ``target`` and ``taken`` to every row of ``docs``.
+
+    ``taken`` is the words of a document times its repeats in the mix, 0 to ``most``
+    times. Texts without words take part with size 0 and are taken 0 words. Equal
+    rows of one id and length are interchangeable, so reruns agree. Columns of these four
+    names are replaced, any others stay.
+    """
+    out = _placed(docs, text, weights, most, seed)
+    return out.withColumns({"size": F.col("__size"), "source_size": F.col("__source_size"),
+                            "target": F.col("__target"),
+                            "taken": F.col("__size") * F.col("__repeats")}).drop(
+        "__size", "__source_size", "__target", "__repeats")
+
+
+def mixed(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
+          most: int = MOST, seed: int = SEED) -> DataFrame:
+    """The mix itself: every row of ``docs`` with words as often as it is taken, unchanged."""
+    out = _placed(docs, text, weights, most, seed).filter(
+        (F.col("__size") > 0) & (F.col("__repeats") > 0))
+    return (out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__repeats"))))
+            .select(*docs.columns))

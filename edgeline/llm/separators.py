@@ -43,7 +43,7 @@ def flat_files(docs: DataFrame, path: str, pattern: str, end: int = END,
         for batch in batches:
             for file, doc_id, text in zip(batch.file, batch.doc_id, batch.text):
                 ids = np.frombuffer(auto.encode(text), dtype="<u4").astype("<u2")
-                begun.append(None if pd.isna(doc_id) else int(doc_id))
+                begun.append(None if doc_id is None else int(doc_id))
                 held += [ids, stop]
                 size += len(ids) + 1
                 if size >= block:
@@ -59,7 +59,9 @@ def flat_files(docs: DataFrame, path: str, pattern: str, end: int = END,
             yield pd.DataFrame([(file, number, np.concatenate(held).tobytes(), begun)],
                                columns=["file", "block", "ids", "doc_ids"])
 
-    rows = docs.select(F.spark_partition_id().cast("long").alias("file"), "doc_id", "text")
+    # Ids pass as text: beside a NULL a batch of numbers would turn to floats.
+    rows = docs.select(F.spark_partition_id().cast("long").alias("file"),
+                       F.col("doc_id").cast("string").alias("doc_id"), "text")
     return rows.mapInPandas(run, _FLAT)
 
 

@@ -10,12 +10,6 @@ whatever the input, so their sizes are a small table.
 
 The work is exact and grows with the square of the number of distinct
 fingerprints; for radius 2 the quarters leave about one pair in eighty to compare.
-
-Word shingles at a similarity of 0.8 need more than 64 bits: there two lanes (128
-bits, independent seeds) over a text's distinct shingles and a radius of 36 give the
-candidates, and the exact Jaccard similarity of the shingle sets decides which of them
-are linked. Such a radius skips few tiles, so one coarse class of the total count takes
-the place of the quarters.
 """
 
 from __future__ import annotations
@@ -36,9 +30,6 @@ SHINGLE = 3
 RADIUS = 2
 #: Fingerprints in a tile, on average at most.
 TILE = 8192
-#: Shingle, lanes and candidate radius for a word-shingle similarity of 0.8.
-SIMILAR = {"shingle": 5, "lanes": 2, "radius": 36}
-LEAST = 0.8
 _QUARTERS = 4
 
 
@@ -75,19 +66,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> byt
     return b"".join(_majority(_hashes(pieces, lane)) for lane in range(lanes))
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text."""
-    return np.sort(_hashes(set(_pieces(text, shingle)))).view(np.int64)
-
-
-def set_marks(text: str | None, shingle: int, lanes: int) -> tuple[int, bytes]:
-    """Hash of the set of distinct shingles of a text, and the fingerprint of that set."""
-    pieces = set(_pieces(text, shingle))
-    hashed = [_hashes(pieces, lane) for lane in range(lanes)]
-    name = xxhash.xxh64_intdigest(np.sort(hashed[0]).astype("<u8").tobytes()) - (1 << 63)
-    return name, b"".join(map(_majority, hashed))
-
-
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
                  lanes: int = 1) -> DataFrame:
     """Adds ``fp`` (binary, 8 bytes a lane) to every row; map-only."""
@@ -141,13 +119,12 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([nodes[label[keep]], nodes[keep]])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE,
-          every: bool = False) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b) links that connect every two nodes whose fingerprints are within the radius.
 
     ``nodes`` has one row per distinct fingerprint: ``node`` (long) and ``fp``. A tile
     pair returns links that span its matches, so a dense group does not give all its
-    pairs. With ``every`` it returns each pair within the radius once, smaller node first.
+    pairs.
     """
     quarters = radius < 4
     keys = [f"q{q}" for q in range(_QUARTERS if quarters else 1)]
@@ -216,14 +193,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE,
             for ns, fps, ons, ofps in zip(*batch.columns):
                 a, b = _array(ns, "<i8"), _array(ons, "<i8")
                 matched = ((a[i], b[j]) for i, j in _links(lanes_of(ns, fps), lanes_of(ons, ofps), radius))
-                if not every:
-                    left, right = map(np.concatenate, zip(*matched))
-                    found.append(_spanning(left, right))
-                    continue
-                same = np.array_equal(a, b)      # a tile with itself meets each pair twice
-                for x, y in matched:
-                    keep = x < y if same else x != y
-                    yield arrow(np.sort(np.column_stack([x[keep], y[keep]]), axis=1))
+                left, right = map(np.concatenate, zip(*matched))
+                found.append(_spanning(left, right))
             yield arrow(np.concatenate(found))
 
     return pairs.mapInArrow(compare, "a long, b long").filter("a <> b")
@@ -264,58 +235,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
             .select(key, number.alias("fingerprint"), "component_id"))
 
 
-def similar_classes(docs: DataFrame, marked: DataFrame, shingle: int, radius: int,
-                    least: float = LEAST) -> DataFrame:
-    """(node, root): connected shingle sets with a Jaccard similarity of ``least`` or more.
-
-    ``marked`` has the ``node`` of every row's shingle set, its ``fp`` and the hash ``th``
-    of the text. Candidates are the pairs within the radius; only their texts are read
-    again, one for each node. Nodes without a partner are not in the result.
-    """
-    nodes = materialise(marked.groupBy("node").agg(F.min("th").alias("th"), F.first("fp").alias("fp")),
-                        "simhash-distinct")
-    near = materialise(links(nodes, radius, every=True), "simhash-candidates")
-    met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    sets = F.pandas_udf(lambda s: pd.Series([shingle_set(t, shingle) for t in s], dtype=object),
-                        "array<long>")
-    texts = (docs.select(text_hash().alias("th"), "text").join(met.select("th", "node"), "th")
-             .select("node", sets("text").alias("s"))
-             .groupBy("node").agg(F.first("s").alias("s")))
-    texts = materialise(texts, "simhash-sets")
-    both = (near.join(texts.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    # Rounded where 0.8 is not exact in binary.
-    alike = both.filter(common >= F.lit(least) * union - 1e-9).select("a", "b")
-    return materialise(star_contract(alike), "simhash-roots")
-
-
 def text_hash() -> Column:
     return F.xxhash64(whole())
 
 
-def keep_one(docs: DataFrame, shingle: int = SIMILAR["shingle"], lanes: int = SIMILAR["lanes"],
-             radius: int = SIMILAR["radius"]) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one stays of every class.
 
-    Classes connect texts whose shingle sets are alike by ``LEAST`` or more. It is the
-    row with the smallest id of its class, a NULL id counts as larger than all others;
-    ties go to the smallest hash of the text, then of the row. Ids need not be unique:
-    rows of one id with texts of different classes all stay.
+    Classes are those of ``near_duplicates``. It is the row with the smallest id of its
+    class, a NULL id counts as larger than all others; ties go to the smallest hash of
+    the text, then of the row. Ids need not be unique: rows of one id with texts of
+    different classes all stay. Texts without a word are one class.
     """
     columns = docs.columns
-    marks = F.pandas_udf(lambda s: pd.DataFrame([set_marks(t, shingle, lanes) for t in s],
-                                                columns=["node", "fp"]), "node long, fp binary")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"),
                     text_hash().alias("th"), F.xxhash64(*columns).alias("row"))
-    marked = docs.select(name.alias("name"), marks("text").alias("m"))
-    marked = materialise(marked.select("name", F.col("name.th").alias("th"), "m.node", "m.fp"),
-                         "simhash-fingerprints")
-    roots = similar_classes(docs, marked, shingle, radius)
-    named = marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min("name").alias("n")).select(
-        F.col("n.id").alias("__id"), F.col("n.th").alias("__text"), F.col("n.row").alias("__hash"))
+    marked = fingerprints(docs.select(name.alias("name"), "text"), "text", shingle).drop("text")
+    marked = materialise(marked.withColumn("node", F.xxhash64("fp")), "simhash-fingerprints")
+    first = classes(marked, "name", radius).select("component_id").distinct().select(
+        F.col("component_id.id").alias("__id"), F.col("component_id.th").alias("__text"),
+        F.col("component_id.row").alias("__hash"))
     rows = docs.withColumns({"__th": text_hash(), "__row": F.xxhash64(*columns)})
     kept = rows.join(first, (F.col("__th") == F.col("__text")) & (F.col("__row") == F.col("__hash"))
                      & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
