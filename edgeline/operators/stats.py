@@ -17,6 +17,9 @@ from edgeline.operators.ranking import quantile_values, rank_rows
 from edgeline.operators.samples import REF_YEAR
 from edgeline.session import materialise
 
+#: Factor levels in a block, on average at most.
+PAIR_BLOCK = 512
+
 
 def ols(df: DataFrame, keys: Sequence[str], y: str, x: Column, extra: Sequence[Column] = (),
         p_values: bool = True) -> DataFrame:
@@ -131,18 +134,21 @@ def tukey(df: DataFrame, group: str, y: str, alpha: float = 0.05,
           p_values: bool = True) -> DataFrame:
     """Honest significant differences for unequal group sizes.
 
-    The result has one row per pair of factor levels by definition. Pairs come
-    from the table of group means: each level meets the list of larger levels.
+    The result has one row per pair of factor levels by definition. The table of group
+    means is cut into blocks of levels and every two blocks meet in a task of their own, so
+    no task and no row holds all levels.
     """
-    moments = _group_moments(df, group, y)
-    levels = moments.agg(F.collect_list(F.struct("grp", "mean", "n")).alias("levels"))
+    moments = materialise(_group_moments(df, group, y), "group-moments")
     terms = _error_terms(moments)
-    pairs = (moments.withColumn("levels", levels.scalar())
-             .select(F.col("grp").alias("grp_a"), F.col("mean").alias("mean_a"),
-                     F.col("n").alias("n_a"),
-                     F.explode(F.filter("levels", lambda b: b["grp"] > F.col("grp"))).alias("b"))
-             .select("grp_a", "mean_a", "n_a", F.col("b.grp").alias("grp_b"),
-                     F.col("b.mean").alias("mean_b"), F.col("b.n").alias("n_b")))
+    blocks = F.ceil(terms.select("k").scalar() / PAIR_BLOCK).cast("int")
+    placed = moments.withColumn("blocks", F.greatest(blocks, F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("grp"), F.col("blocks")).cast("int"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("grp", "mean", "n")]
+    left = placed.select(*side("a"), F.col("block").alias("ba"),
+                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bb"))
+    right = placed.select(*side("b"), F.col("block").alias("bb"),
+                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ba"))
+    pairs = left.join(right, ["ba", "bb"]).filter("grp_b > grp_a").drop("ba", "bb")
     fields = F.struct("k", "df_within", "ms_within").alias("e")
     pairs = pairs.withColumn("e", terms.select(fields).scalar())
     se = F.sqrt(F.col("e.ms_within") / 2 * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))

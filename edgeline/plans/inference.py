@@ -232,16 +232,70 @@ def _(v):
     return stats.tukey(reported_iucn(v, False), "iucn_cat", "edge_level_2020", p_values=False)
 
 
-@query("f08_tukey_hsd_biome")
+# Upper probability of the studentized range by a double sum over the normal value z and the
+# scale u; both integrands fade like a normal density, so equal steps converge fast.
+_CDF = lambda x: (f"(CASE WHEN {x} < -8.6 THEN 0 ELSE 0.5 + exp(-{x} * {x} / 2) / sqrt(2 * pi()) * sign({x}) * list_sum(list_transform("
+                  f"range(0, 110), lambda t: CASE WHEN {x} = 0 THEN 0 ELSE exp((2 * t + 1) * ln(abs({x})) "
+                  f"- (t + 1) * ln(2) - lgamma(t + 1.5) + ln(pi()) / 2) END)) END)")
+_RANGE_VIEWS = {
+    "z_grid": f"""
+SELECT z, exp(-z * z / 2) / sqrt(2 * pi()) * 0.17 AS wz, {_CDF('z')} AS cz
+FROM (SELECT -8.5 + 0.17::DOUBLE * unnest(range(0, 101)) AS z)""",
+    "u_grid": """
+SELECT u, h * exp(ln(2) + f / 2 * ln(f / 2) - lgamma(f / 2) + (f - 1) * ln(u) - f * u * u / 2) AS wu
+FROM (SELECT f, (9 / sqrt(2 * f) + 9 / sqrt(2 * f) + 9 / f) / 80 AS h,
+        1 - 9 / sqrt(2 * f) + unnest(range(0, 81)) * (9 / sqrt(2 * f) + 9 / sqrt(2 * f) + 9 / f) / 80 AS u
+      FROM (SELECT DISTINCT df_within AS f FROM tukey_pairs)) WHERE u > 0"""}
+
+
+def _upper(q: str, source: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, greatest(0, least(1, 1 - sum(wu * k * wz * pow(greatest(cz - {_CDF('x')}, 0), k - 1)))) AS p
+FROM (SELECT {keys}, k, wu, wz, cz, z - {q} * u AS x FROM {source}, u_grid, z_grid)
+GROUP BY {keys}"""
+
+
+# The quantile by halving: the margin of every pair is the same multiple of its error.
+_HSD = f"""
+WITH RECURSIVE halved AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 40.0::DOUBLE AS hi, k FROM (SELECT DISTINCT k FROM tukey_pairs)
+  UNION ALL
+  SELECT h.i + 1, CASE WHEN p > 0.05 THEN (lo + hi) / 2 ELSE lo END,
+         CASE WHEN p > 0.05 THEN hi ELSE (lo + hi) / 2 END, k
+  FROM ({_upper('((lo + hi) / 2)', 'halved', 'i, lo, hi, k').replace('i, lo, hi, k, k,', 'i, lo, hi, k,')}) h WHERE h.i < 44)
+SELECT t.*, t.diff - m * t.se AS lwr, t.diff + m * t.se AS upr, r.p AS p_adj
+FROM tukey_pairs t JOIN ({_upper('q_value', 'tukey_pairs', 'pair, q_value, k').replace('q_value, k, k,', 'q_value, k,')}) r
+  USING (pair), (SELECT (lo + hi) / 2 AS m FROM halved ORDER BY i DESC LIMIT 1)"""
+
+
+def _hsd_views(group: str, y: str, where: str = "true") -> dict[str, str]:
+    return {**_levels_view(group, y, where), "tukey_pairs": _DIFFERENCES, **_RANGE_VIEWS}
+
+
+_HSD_DBL = "diff se q_value lwr upr p_adj"
+
+
+@query("f08_tukey_hsd_biome", _HSD, dbl=_HSD_DBL, views=_hsd_views("biome", "slope"))
 def _(v):
     return stats.tukey(rs.reported(v, "site"), "biome", "slope")
 
 
-@query("f08_tukey_hsd_iucn")
+@query("f08_tukey_hsd_iucn", _HSD, dbl=_HSD_DBL,
+       views=_hsd_views("iucn_cat", "edge_level_2020", _WITH_IUCN))
 def _(v):
     return stats.tukey(reported_iucn(v, False), "iucn_cat", "edge_level_2020")
 
 
+@query("f08_tukey_hsd_trend_iucn", _HSD, dbl=_HSD_DBL, views=_hsd_views("iucn_cat", "slope", _WITH_IUCN))
+def _(v):
+    return stats.tukey(reported_iucn(v, True), "iucn_cat", "slope")
+
+
+@query("f08_tukey_hsd_level_biome", _HSD, dbl=_HSD_DBL, views=_hsd_views("biome", "edge_level_2020"))
+def _(v):
+    return stats.tukey(rs.reported_levels(v, "site"), "biome", "edge_level_2020")
+
+
 def _residuals_sql(group: str, y: str, where: str = "true") -> str:
     known = f"{group} IS NOT NULL AND {y} IS NOT NULL AND {where}"
     return f"""
