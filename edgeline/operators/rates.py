@@ -21,7 +21,7 @@ def reported_sites(levels: DataFrame, threshold: float = 0.3, year: int = REF_YE
 
 
 def site_years(samples: DataFrame, n_side: int | Column = 2, by: Sequence[str] = (),
-               ref_year: int = REF_YEAR) -> DataFrame:
+               ref_year: int = REF_YEAR, years: Sequence[int] | None = None) -> DataFrame:
     """Counts per site and year under every edge rule, from one fold of the samples.
 
     A transect-year keeps its border gradient, the least gradient and the NULLs of each
@@ -29,12 +29,16 @@ def site_years(samples: DataFrame, n_side: int | Column = 2, by: Sequence[str] =
     point of a side exactly when it exceeds the side's least known gradient (``any_pair``),
     ``strict`` asks for no NULL besides, ``outermost`` compares the last pair. A transect
     counts if it has ``2 * n_side + 1`` rows in the reference year, which a window over
-    its few years tells, so the samples are neither read nor moved a second time.
+    its few years tells, so the samples are neither read nor moved a second time. With
+    ``years`` only these and the reference year are read and counted.
 
     Columns: ``by``, site_id, year, n (transects), n_evaluated (with a border row),
     n_any_pair, n_strict, n_outermost.
     """
     keys, pnt, grad = [*by, *KEY], F.col("pnt_pst"), F.col("grad")
+    if years is not None:
+        # Stated here: a filter behind the window would not reach the scan.
+        samples = samples.filter(F.col("year").isin(sorted({*years, ref_year})))
     samples = samples.withColumn("n_side", n_side if isinstance(n_side, Column) else F.lit(n_side))
     sides = [(name, at, far) for name, at, far in (
         ("inner", pnt < 0, pnt == -F.col("n_side")), ("outer", pnt > 0, pnt == F.col("n_side")))]

@@ -311,10 +311,10 @@ def length_levels(v):
                           n_points=2 * n_side_column() + 1, by=["length_km"])
 
 
-def length_counts(v):
+def length_counts(v, years=None):
     """Transects and edges per length, reported site and year, with biome."""
     by = ["length_km"]
-    counts = rates.site_years(v.samples_all(), n_side_column(), by).withColumnRenamed(
+    counts = rates.site_years(v.samples_all(), n_side_column(), by, years=years).withColumnRenamed(
         "n_outermost", "n_edge")
     kept = rates.reported_site_years(counts, v.placed(), v.original_counts(), by)
     biome = v.sites().select("site_id", labels.regroup_biome(F.col("biome")).alias("biome"))
@@ -338,8 +338,7 @@ SELECT length_km, group_biome AS biome, count(*) FILTER (edge) AS n_edge, count(
 FROM len_flagged WHERE year = 2020 GROUP BY ALL HAVING count(*) FILTER (edge) > 0""",
        dbl="perc_edge")
 def _(v):
-    shares = rates.group_year_share(length_counts(v).filter(F.col("year") == 2020),
-                                    ["length_km", "biome"])
+    shares = rates.group_year_share(length_counts(v, [2020]), ["length_km", "biome"])
     return shares.drop("year")
 
 
