@@ -9,29 +9,43 @@ stays. Not counted inside an article are inline elements, subtrees below ``LEAST
 words, which recur by chance, and those that are the body of the article.
 
 What a page shares with no other page of its host is told apart by its element, class,
-id or role (menus, adverts, comments and so on). Where a page has an article, what lies
-outside of it is left out by that alone.
+id or role (menus, adverts, comments and so on). Inside an article a class name decides
+only if all its words are such words, so ``related-work`` stays. Where a page has an
+article, what lies outside of it is left out by that alone; an article that is a reader's
+comment is none.
+
+A page is scanned once, from left to right and without recursion, whatever its nesting
+or markup. The scan gives the page's text and the spans of its subtrees in it, which is
+all that is written, counted and cut.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeline.llm.tables import materialise
+
 #: A subtree is template on a host if it recurs in at least MIN_PAGES contexts.
 MIN_PAGES = 4
 #: Words of the smallest subtree that is counted inside an article.
 LEAST_WORDS = 3
 #: A subtree with this many words and more than half of its article is the body.
 BODY_WORDS = 50
-_FAR = (1 << 32) - 1
+#: Words whose hashes a task remembers, and rows that a hot host is dealt over.
+REMEMBERED = 200_000
+SALTS = 16
+_FAR = np.uint64((1 << 64) - 1)
+_LOW = np.uint64((1 << 32) - 1)
 
 # Element and attribute names of the markup language.
 RAW = "script style noscript template iframe svg textarea select title".split()
@@ -49,240 +63,295 @@ MARKS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs heade
                   "login search share sharing social comment comments disqus respond replies "
                   "related recommended recommendations pagination pager toolbar skip "
                   "copyright legal disclaimer".split())
+#: Words that a class name may add to a mark without changing what it means.
+PLAIN = frozenset("area bar block box button buttons cell col column container content div group "
+                  "holder inner item items label left link links list main outer page panel "
+                  "post posts right row section site slot text title top bottom unit wrap "
+                  "wrapper".split())
+COMMENTS = frozenset("comment comments disqus respond replies".split())
 #: End tags that a start tag of the same group implies.
 CLOSED_BY = {"p": frozenset("p div ul ol dl table section article aside header footer nav form "
                             "main h1 h2 h3 h4 h5 h6 blockquote pre hr figure fieldset".split()),
              "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
              "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-_RAW = "|".join(RAW)
+# Possessive parts, so no piece of markup is read twice; what is not closed ends with the page.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/)?(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>", re.I | re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+    r"<!--(?:-?>|.*?(?:-->|\Z))"
+    r"|<(?P<end>/)?(?P<tag>[a-z][^\s/>]*+)"
+    r"(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)", re.I | re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
+_ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))",
+                   re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ENCLOSING = frozenset(["article", "main", "body"])
 
 
-class Node:
-    __slots__ = ("tag", "parts", "dropped", "main", "span")
-
-    def __init__(self, tag: str, dropped: bool = False, main: bool = False):
-        self.tag, self.parts, self.dropped, self.main = tag, [], dropped, main
-        self.span = None
-
-
-def _marked(tag: str, attrs: str) -> bool:
+def _marked(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether element, class, id or role tell that an element is no main text."""
     if tag in DROPPED:
         return True
-    for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
+    for name, a, b, c in _ATTR.findall(attrs) if "=" in attrs else ():
         value = a or b or c
         if name.lower() == "role":
             if value.strip().lower() in ROLES:
                 return True
-        elif any(w.lower() in MARKS for w in _NAME.findall(value)):
-            return tag not in ("html", "body", "main", "article")
+            continue
+        if tag in ("html", "body", "main"):
+            continue
+        for token in value.split():
+            words = [w.lower() for w in _NAME.findall(token)]
+            marks = MARKS if tag != "article" else COMMENTS
+            hits = sum(w in marks for w in words)
+            if hits and (not (inside or tag == "article")
+                         or all(w in marks or w in PLAIN for w in words)):
+                return True
     return False
 
 
-def parse(page: str) -> Node:
-    """Element tree of a page; unclosed and stray tags are repaired as browsers do."""
-    root = Node("#root")
-    stack, at = [root], 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            stack[-1].parts.append(page[at:m.start()])
+class Page:
+    """Elements of a page in document order, without what is dropped by its name.
+
+    ``items`` holds texts, ``i`` where element ``i`` begins and ``~i`` where it ends.
+    """
+    __slots__ = ("tags", "parents", "items")
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.parents: list[int] = []
+        self.items: list[str | int] = []
+
+
+def parse(page: str) -> Page:
+    """Scans a page; unclosed and stray tags are repaired as browsers do."""
+    out = Page()
+    tags, parents, items = out.tags, out.parents, out.items
+    stack: list[tuple[str, int]] = []          # open elements: tag and number, -1 if dropped
+    where: dict[str, list[int]] = defaultdict(list)       # their places in the stack, by tag
+    solid: list[int] = []                      # places of those that are not inline
+    walls: list[int] = []                      # places of articles, mains and bodies
+    hidden = -1                                # place of the outermost dropped element
+
+    def close(depth: int) -> None:
+        nonlocal hidden
+        while len(stack) > depth:
+            tag, number = stack.pop()
+            place = len(stack)
+            where[tag].pop()
+            if solid and solid[-1] == place:
+                solid.pop()
+            if walls and walls[-1] == place:
+                walls.pop()
+            if number >= 0:
+                items.append(~number)
+            elif hidden == place:
+                hidden = -1
+                if tag not in INLINE:
+                    items.append(" ")
+
+    def say(text: str) -> None:
+        items.append(html.unescape(text) if "&" in text else text)
+
+    at, search = 0, _MARKUP.search
+    while m := search(page, at):
+        if m.start() > at and hidden < 0:
+            say(page[at:m.start()])
         at = m.end()
         tag = m["tag"]
-        if m["raw"]:
-            node = Node(m["raw"].lower(), True)
-            node.parts.append(page[m.start():m.end()])
-            stack[-1].parts.append(node)
-        elif tag is None:
+        if tag is None:
             continue
-        elif m["end"]:
-            tag = tag.lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in ("article", "main", "body") and tag not in ("body", "html"):
-                    break                      # a stray end tag stays inside its article
-        else:
-            tag = tag.lower()
-            if tag not in INLINE:
-                depth = len(stack) - 1         # inline elements end with their block
-                while depth and stack[depth].tag in INLINE:
-                    depth -= 1
-                if depth and tag in CLOSED_BY.get(stack[depth].tag, ()):
-                    del stack[depth:]
-            node = Node(tag, _marked(tag, m["attrs"]), tag in ("article", "main"))
-            stack[-1].parts.append(node)
-            if tag not in VOID and not m["attrs"].endswith("/"):
-                stack.append(node)
-    stack[-1].parts.append(page[at:])
-    return root
-
-
-def _digest(node: Node, out: list[tuple[Node, int]]) -> str:
-    """Canonical text of a subtree; adds it and all subtrees in it to ``out``."""
-    parts = [p if isinstance(p, str) else _digest(p, out) for p in node.parts]
-    text = f"<{node.tag}>" + " ".join(" ".join(parts).split()) + "</>"
-    if len(text) > 64:
-        code = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        short = f"<{node.tag}#{code.hex()}>"
-    else:
-        code, short = text.encode("utf-8", "surrogatepass"), text
-    if not node.dropped and node.tag not in ("#root", "html", "body", "br"):
-        value = int.from_bytes(hashlib.blake2b(code, digest_size=8).digest(), "little", signed=True)
-        out.append((node, value))
-    return short
-
-
-def _holds_main(node: Node) -> bool:
-    return any(not isinstance(p, str) and (p.main or _holds_main(p)) for p in node.parts)
-
-
-def _spread(node: Node, pieces: list[list[str]]) -> None:
-    """Lays out the words of a subtree in order; every element knows its pieces."""
-    start = len(pieces)
-    for p in node.parts:
-        if isinstance(p, str):
-            if words := p.split():
-                pieces.append(words)
-        elif not p.dropped:
-            _spread(p, pieces)
-    node.span = (start, len(pieces))
-
-
-def _sketch(words: list[str]) -> tuple[int, int]:
-    """Two minimum hashes of the three-word shingles of a piece of text."""
-    codes = [xxhash.xxh64_intdigest(" ".join(words[i:i + 3]).encode("utf-8", "surrogatepass"))
-             for i in range(max(len(words) - 2, 1))]
-    return min(c & _FAR for c in codes), min(c >> 32 for c in codes)
-
-
-class _Around:
-    """Contexts of the subtrees of one article, or of a page outside its articles."""
-
-    def __init__(self, node: Node, article: bool):
-        self.article = article
-        pieces: list[list[str]] = []
-        _spread(node, pieces)
-        self.words = [0]
-        for p in pieces:
-            self.words.append(self.words[-1] + len(p))
-        if not article:
-            text = " ".join(w for p in pieces for w in p)
-            self.page = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-            return
-        each = [_sketch(p) for p in pieces]
-        low = lambda a, b: (min(a[0], b[0]), min(a[1], b[1]))
-        self.before, self.after = [(_FAR, _FAR)], [(_FAR, _FAR)]
-        for e in each:
-            self.before.append(low(self.before[-1], e))
-        for e in reversed(each):
-            self.after.append(low(self.after[-1], e))
-        self.after.reverse()
-
-    def of(self, node: Node) -> int | None:
-        """Context of a subtree; None for one that is not counted."""
-        if not self.article:
-            return self.page
-        a, b = node.span
-        n = self.words[b] - self.words[a]
-        if node.tag in INLINE or n < LEAST_WORDS or (n >= BODY_WORDS and 2 * n > self.words[-1]):
-            return None
-        (p, q), (r, s) = self.before[a], self.after[b]
-        return (min(p, r) << 32 | min(q, s)) - (1 << 63)
-
-
-def _candidates(root: Node) -> tuple[list[tuple[Node, int, int]], list[Node]]:
-    """(element, hash, context) of the subtrees that may be template, and the articles."""
-    found: list[tuple[Node, int]] = []
-    _digest(root, found)
-    mains: list[Node] = []
-    _find_main(root, mains)
-    code = {id(n): h for n, h in found}
-    out: list[tuple[Node, int, int]] = []
-    tops = {id(m) for m in mains}
-
-    def walk(node: Node, around: _Around) -> None:
-        for p in node.parts:
-            if isinstance(p, str) or p.dropped:
-                continue
-            if id(p) in tops:
-                walk(p, _Around(p, True))
-                continue
-            if id(p) in code and not p.main and (around.article or not _holds_main(p)):
-                context = around.of(p)
-                if context is not None:
-                    out.append((p, code[id(p)], context))
-            walk(p, around)
-    walk(root, _Around(root, False))
-    return out, mains
-
-
-def subtrees(page: str | None) -> list[int]:
-    """Hash and context, in turn, of the subtrees of one page that may be template."""
-    out, _ = _candidates(parse(page or ""))
-    return [x for pair in sorted({(h, c) for _, h, c in out}) for x in pair]
-
-
-def main_text(page: str | None, template: frozenset[int]) -> str:
-    """Main text of one page without its host's template subtrees."""
-    root = parse(page or "")
-    mains: list[Node] = []
-    if template:
-        found, mains = _candidates(root)
-        for node, code, _ in found:
-            if code in template:
-                node.dropped = True
-    else:
-        _find_main(root, mains)
-    blocks: list[str] = []
-    for part in mains or [root]:
-        _blocks(part, blocks)
-    return " ".join(b for b in (" ".join(html.unescape(t).split()) for t in blocks) if b)
-
-
-def _find_main(node: Node, out: list[Node]) -> None:
-    """Outermost articles; a page without one is taken whole."""
-    for p in node.parts:
-        if isinstance(p, str) or p.dropped:
+        tag = tag.lower()
+        if m["end"]:
+            places = where.get(tag)
+            # A stray end tag stays inside its article.
+            if places and (tag in ("body", "html") or not walls or places[-1] >= walls[-1]):
+                close(places[-1])
+            continue
+        attrs = m["attrs"]
+        if tag in _RAW_END:
+            if not (tag == "svg" and attrs.endswith("/")):
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            continue
+        if tag not in INLINE:
+            if solid and tag in CLOSED_BY.get(stack[solid[-1]][0], ()):
+                close(solid[-1])               # inline elements end with their block
+        number = -1
+        if hidden < 0 and not _marked(tag, attrs, bool(where["article"])):
+            number = len(tags)
+            tags.append(tag)
+            parents.append(stack[-1][1] if stack else -1)
+            items.append(number)
+        if tag in VOID or attrs.endswith("/"):
+            if number >= 0:
+                items.append(~number)
+            elif hidden < 0 and tag not in INLINE:
+                items.append(" ")
             continue
-        if p.tag == "article":
-            out.append(p)
-        elif p.main and not _has(p, "article"):
-            out.append(p)
+        place = len(stack)
+        if hidden < 0 and number < 0:
+            hidden = place
+            if tag not in INLINE:
+                items.append(" ")
+        stack.append((tag, number))
+        where[tag].append(place)
+        if tag not in INLINE:
+            solid.append(place)
+        if tag in _ENCLOSING:
+            walls.append(place)
+    if hidden < 0 and at < len(page):
+        say(page[at:])
+    close(0)
+    return out
+
+
+def _articles(page: Page) -> tuple[list[bool], list[bool]]:
+    """For each element: whether it is an outermost article, and whether it holds one.
+
+    A main element counts as one where it holds no article.
+    """
+    n = len(page.tags)
+    article, main = [False] * n, [False] * n
+    for i in range(n - 1, -1, -1):             # parents stand before their children
+        if (p := page.parents[i]) >= 0:
+            article[p] |= article[i] or page.tags[i] == "article"
+            main[p] |= main[i] or page.tags[i] in ("article", "main")
+    top, inside = [False] * n, [False] * n
+    for i in range(n):
+        p = page.parents[i]
+        inside[i] = p >= 0 and (inside[p] or top[p])
+        top[i] = not inside[i] and (page.tags[i] == "article"
+                                    or (page.tags[i] == "main" and not article[i]))
+    return top, main
+
+
+class _Words(dict):
+    """Hashes of the words seen last."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+def _sketches(pieces: list[list[str]], known: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two minimum hashes of the three-word shingles of every piece of text."""
+    sizes = np.array([len(p) for p in pieces])
+    w = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), dtype=np.uint64,
+                    count=sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(w))      # words to the piece's end
+    code = w * np.uint64(0x9E3779B97F4A7C15)
+    for k, factor in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
+        later = np.where(left[:max(len(w) - k, 0)] > k, w[k:], np.uint64(0))
+        code[:len(later)] = (code[:len(later)] ^ (code[:len(later)] >> np.uint64(31))
+                             ^ later) * np.uint64(factor)
+    code ^= code >> np.uint64(29)
+    whole = left >= 3
+    whole[starts] = True                       # a short piece is one shingle
+    low = np.where(whole, code & _LOW, _FAR)
+    high = np.where(whole, code >> np.uint64(32), _FAR)
+    return np.minimum.reduceat(low, starts), np.minimum.reduceat(high, starts)
+
+
+def _contexts(pieces: list[list[str]], spans: list[tuple[int, int]], known: _Words) -> list[int]:
+    """Sketch of an article without the pieces a..b, for every span (a, b)."""
+    both = []
+    for each in _sketches(pieces, known):
+        before = np.minimum.accumulate(np.concatenate([[_FAR], each]))
+        after = np.minimum.accumulate(np.concatenate([each, [_FAR]])[::-1])[::-1]
+        a, b = np.array(spans).T
+        both.append(np.minimum(before[a], after[b]) & _LOW)
+    return ((both[0] << np.uint64(32)) | both[1]).view(np.int64).tolist()
+
+
+def scan(page: str | None, known: _Words | None = None) -> tuple[str, list[int]]:
+    """Text of a page's articles, or of the whole page, and its subtrees.
+
+    The list holds (hash, context, start, end) in turn for every subtree that may be
+    template; start and end are places in the text, equal outside of it.
+    """
+    parsed = parse(page or "")
+    known = _Words() if known is None else known
+    top, holds = _articles(parsed)
+    tags = parsed.tags
+    whole = not any(top)
+    text: list[str] = []
+    length, article = 0, -1
+    open_: list[tuple[list[str], int, int]] = [([], 0, 0)]
+    pieces: list[list[str]] = []               # texts of the article
+    outside = 0                                # number of texts outside
+    upto = [0]                                 # words before each piece of the article
+    seen: list[tuple[int, int, int, int, int, int]] = []
+    rest: list[tuple[int, int, int]] = []
+    found: list[int] = []
+    every = xxhash.xxh64()
+
+    def put(part: str) -> None:
+        nonlocal length
+        if whole or article >= 0:
+            text.append(part)
+            length += len(part)
+
+    for item in parsed.items:
+        if isinstance(item, str):
+            if words := item.split():
+                run = " ".join(words)
+                every.update(run.encode("utf-8", "surrogatepass") + b" ")
+                open_[-1][0].append(run)
+                if article >= 0:
+                    pieces.append(words)
+                    upto.append(upto[-1] + len(words))
+                else:
+                    outside += 1
+                put(f"{' ' if item[0].isspace() else ''}{run}{' ' if item[-1].isspace() else ''}")
+            elif item:
+                put(" ")
+        elif item >= 0:
+            if tags[item] not in INLINE:
+                put(" ")
+            if top[item]:
+                article, pieces, upto = item, [], [0]
+            open_.append(([], length, len(pieces) if article >= 0 else outside))
         else:
-            _find_main(p, out)
-
-
-def _has(node: Node, tag: str) -> bool:
-    return any(not isinstance(p, str) and (p.tag == tag or _has(p, tag)) for p in node.parts)
-
+            i = ~item
+            tag = tags[i]
+            parts, start, first = open_.pop()
+            name = f"<{tag}>{' '.join(parts)}</>"
+            code = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
+            open_[-1][0].append(name if len(name) <= 64 else f"<{tag}#{code:x}>")
+            if top[i]:
+                kept = [s for s in seen if s[3] >= LEAST_WORDS
+                        and not (s[3] >= BODY_WORDS and 2 * s[3] > upto[-1])]
+                if kept:
+                    contexts = _contexts(pieces, [s[4:] for s in kept], known)
+                    for (code, start, end, *_), c in zip(kept, contexts):
+                        found += code - (1 << 63), c, start, end
+                article, seen = -1, []
+            elif article >= 0:
+                if tag not in INLINE and tag != "br" and tag != "main" and len(pieces) > first:
+                    seen.append((code, start, length, upto[-1] - upto[first], first, len(pieces)))
+            elif tag not in ("html", "body", "main", "br") and not holds[i] and outside > first:
+                rest.append((code, start, length))
+            if tag not in INLINE:
+                put(" ")
+    context = every.intdigest() - (1 << 63)
+    for code, start, end in rest:
+        found += code - (1 << 63), context, start, end
+    return "".join(text), found
 
-def _blocks(node: Node, out: list[str]) -> None:
-    run: list[str] = []
 
-    def walk(n: Node) -> None:
-        for p in n.parts:
-            if isinstance(p, str):
-                run.append(p)
-            elif p.dropped:
-                continue
-            elif p.tag in INLINE:
-                walk(p)
-            else:
-                out.append("".join(run))
-                run.clear()
-                walk(p)
-                out.append("".join(run))
-                run.clear()
-    walk(node)
-    out.append("".join(run))
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """A scanned text without some spans, its white space turned into single spaces."""
+    parts, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            parts.append(text[at:start])
+        at = max(at, end)
+    parts.append(text[at:])
+    return " ".join("".join(parts).split())
 
 
 def host(url: Column) -> Column:
@@ -291,47 +360,58 @@ def host(url: Column) -> Column:
                               F.lit("")))
 
 
+def scanned(pages: DataFrame) -> DataFrame:
+    """Rows of ``pages`` as ``row``, with host, scanned text and subtrees; written once."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = _Words()
+        for batch in batches:
+            yield pd.DataFrame([scan(p, known) for p in batch], columns=["text", "found"])
+
+    got = F.pandas_udf(run, "text string, found array<long>")(F.col("html"))
+    kept = [F.col(c) for c in pages.columns if c not in ("html", "text")]
+    rows = pages.select(F.struct(*kept).alias("row"), host(F.col("url")).alias("host"),
+                        got.alias("got"), F.monotonically_increasing_id().alias("number"))
+    return materialise(rows.select("row", "host", "number", "got.text", "got.found"), "page-texts")
+
+
+def _subtrees(pages: DataFrame) -> DataFrame:
+    fields = ("hash", "context", "start", "end")
+    each = F.transform(F.sequence(F.lit(0), F.size("found") - 4, F.lit(4)), lambda i: F.struct(
+        *[F.get("found", i + k).alias(name) for k, name in enumerate(fields)]))
+    return pages.filter(F.size("found") > 0).select("number", "host", F.inline(each))
+
+
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, template) with the sorted hashes of the subtrees that recur on a host.
+    """(host, hash) of the subtrees that recur in ``min_pages`` contexts of a host.
 
-    Contexts are made distinct and counted with map-side combine, so a host with a
-    third of all pages is not gathered.
+    ``pages`` as ``scanned`` gives them. Contexts are made distinct and counted with
+    map-side combine, so a host with a third of all pages is not gathered.
     """
-    hashes = F.pandas_udf(lambda s: s.map(subtrees), "array<long>")
-    each = (pages.select(host(F.col("url")).alias("host"), hashes("html").alias("hs"))
-            .filter(F.size("hs") > 0))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("hs") - 2, F.lit(2)), lambda i: F.struct(
-        F.get("hs", i).alias("h"), F.get("hs", i + 1).alias("c")))
-    counts = (each.select("host", F.inline(pairs)).distinct()
-              .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")))
-    return (counts.filter(F.col("n") >= min_pages)
-            .groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("template")))
+    return (_subtrees(pages).select("host", "hash", "context").distinct()
+            .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= min_pages).select("host", "hash"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Adds ``text``, the main text of the whole page, to every row.
+    """Every row with ``text``, the main text of the whole page, instead of ``html``.
 
     NULL and empty pages give an empty text; pages without a host share the empty
-    one. Pages meet their host's template in one left join, whose hot hosts
-    adaptive execution splits.
+    one. Repeated rows stay, an older ``text`` gives way, any other column passes.
+    Subtrees meet the templates by host, hash and a salt; what comes back to a page is
+    the spans to cut from its own text.
     """
-    found = templates(pages, min_pages).withColumnRenamed("host", "__host")
-    # Sorted sides keep the join one whose hot hosts can be split at run time.
-    joined = pages.withColumn("__host", host(F.col("url"))).join(
-        found.hint("merge"), "__host", "left")
+    rows = scanned(pages)
+    salted = templates(rows, min_pages).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spans = (_subtrees(rows).filter(F.col("end") > F.col("start"))
+             .withColumn("salt", F.pmod(F.col("number"), F.lit(SALTS)).cast("int"))
+             .join(salted, ["host", "hash", "salt"])
+             .groupBy("number").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("cuts")))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[bytes, frozenset[int]] = {}
-        for page, template in batches:
-            out = []
-            for p, t in zip(page, template):
-                key = b"" if t is None else t.tobytes()
-                if key not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[key] = frozenset(() if t is None else t.tolist())
-                out.append(main_text(p, known[key]))
-            yield pd.Series(out, dtype=object)
-
-    return (joined.withColumn("text", F.pandas_udf(run, "string")("html", "template"))
-            .drop("__host", "template"))
+        for texts, cuts in batches:
+            yield pd.Series([cut(t, () if c is None else list(zip(c[::2], c[1::2])))
+                             for t, c in zip(texts, cuts)], dtype=object)
+
+    done = rows.select("row", "number", "text").join(spans, "number", "left")
+    return done.select("row.*", F.pandas_udf(run, "string")("text", "cuts").alias("text"))

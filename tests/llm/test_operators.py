@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -416,6 +417,50 @@ def test_template_inside_the_article(spark):
     assert all(got[2000 + i] == prose(40, 79) for i in range(8))
 
 
+def test_pages_of_any_nesting_and_markup():
+    assert html_text.scan("<div>" * 5000 + "deep" + "</div>" * 5000)[0].split() == ["deep"]
+    start = time.monotonic()
+    for hostile in ("<script " * 131_072, "<a '" * 200_000, "<a x=\"" * 100_000, "<!--" * 200_000,
+                    "<b>" * 50_000 + "<br>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000,
+                    "<article>" * 20_000 + "one two three"):
+        html_text.scan(hostile)
+    assert time.monotonic() - start < 30
+
+
+def test_class_words_and_comment_articles():
+    text = lambda page: html_text.cut(html_text.scan(page)[0], ())
+    body = ("<p class='related-work'>a</p><div class='share-price'>b</div><p class='notice-board'>c"
+            "</p><div class='share-buttons'>d</div><div class='adSlot'>e</div><p data-id='ad'>f</p>")
+    assert text(f"<article>{body}</article>") == "a b c f"
+    assert text("<article>x</article><article class='comment'>y</article>") == "x"
+    assert text("<article>x<div class='ad'>y</div>z<script>1</script>w</article>") == "x zw"
+    assert text("a &lt;b&gt; &amp; x&nbsp;y<p title='a>b'>c") == "a <b> & x y c"
+    assert text("kept <p class='open") == "kept"
+
+
+def test_templates_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    blocks = [f"<div>{prose(rng.randint(2, 6), k)}</div>" for k in range(40)]
+    rows = []
+    for i in range(120):
+        some = rng.sample(blocks, 3)
+        rows.append((i, f"http://h{i % 3 // 2}.example/", "<article>" + "".join(
+            some[:2] + [f"<p>{prose(60, 1000 + i)}</p>"] + some[2:]) + "</article>", "own", i))
+    pages = spark.createDataFrame(rows, "number long, url string, html string, text string, host long")
+    seen = collections.Counter((u, b) for _, u, h, _, _ in rows for b in blocks if b in h)
+    want = {}
+    for i, u, h, _, _ in rows:
+        for b in blocks:
+            if b in h and len(b.split()) >= html_text.LEAST_WORDS and seen[u, b] >= html_text.MIN_PAGES:
+                h = h.replace(b, "")
+        want[i] = " ".join(re.sub("<[^>]*>", " ", h).split())
+    out = html_text.extract(pages)
+    assert set(out.columns) == {"number", "url", "host", "text"}
+    got = {r.number: (r.text, r.host) for r in out.collect()}
+    assert got == {i: (t, i) for i, t in want.items()}
+    assert any(len(t.split()) < 64 for t in want.values())
+
+
 # ---- 7 token counts ----------------------------------------------------------
 @pytest.mark.parametrize("block", [3, 64, 1 << 18])
 def test_separator_scan(clashing, codec, block):
