@@ -30,6 +30,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -267,11 +268,13 @@ def _contexts(pieces: list[list[str]], spans: list[tuple[int, int]], known: _Wor
     return ((both[0] << np.uint64(32)) | both[1]).view(np.int64).tolist()
 
 
-def scan(page: str | None, known: _Words | None = None) -> tuple[str, list[int]]:
+def scan(page: str | None, known: _Words | None = None,
+         sketch: bool = True) -> tuple[str, list[int]]:
     """Text of a page's articles, or of the whole page, and its subtrees.
 
     The list holds (hash, context, start, end) in turn for every subtree that may be
-    template; start and end are places in the text, equal outside of it.
+    template; start and end are places in the text, equal outside of it. Without
+    ``sketch`` it stays empty.
     """
     parsed = parse(page or "")
     known = _Words() if known is None else known
@@ -299,8 +302,9 @@ def scan(page: str | None, known: _Words | None = None) -> tuple[str, list[int]]
         if isinstance(item, str):
             if words := item.split():
                 run = " ".join(words)
-                every.update(run.encode("utf-8", "surrogatepass") + b" ")
-                open_[-1][0].append(run)
+                if sketch:
+                    every.update(run.encode("utf-8", "surrogatepass") + b" ")
+                    open_[-1][0].append(run)
                 if article >= 0:
                     pieces.append(words)
                     upto.append(upto[-1] + len(words))
@@ -319,6 +323,11 @@ def scan(page: str | None, known: _Words | None = None) -> tuple[str, list[int]]
             i = ~item
             tag = tags[i]
             parts, start, first = open_.pop()
+            if not sketch:
+                article = -1 if top[i] else article
+                if tag not in INLINE:
+                    put(" ")
+                continue
             name = f"<{tag}>{' '.join(parts)}</>"
             code = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
             open_[-1][0].append(name if len(name) <= 64 else f"<{tag}#{code:x}>")
@@ -360,34 +369,44 @@ def host(url: Column) -> Column:
                               F.lit("")))
 
 
+def _keyed(pages: DataFrame) -> DataFrame:
+    """``pages`` with their host, a 128-bit key of host and page, and a salt."""
+    site = host(F.col("url"))
+    key = F.struct(*[F.xxhash64(F.lit(k), site, F.col("html")).alias(f"k{k}") for k in (1, 2)])
+    return pages.select("*", site.alias("__host"), key.alias("__key"), F.pmod(
+        F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("__salt"))
+
+
 def scanned(pages: DataFrame) -> DataFrame:
-    """Rows of ``pages`` as ``row``, with host, scanned text and subtrees; written once."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """(hash, context, start, end) of the subtrees of every page, written once.
+
+    Copies of a page on one host share key and subtrees; no text is written.
+    """
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _Words()
         for batch in batches:
-            yield pd.DataFrame([scan(p, known) for p in batch], columns=["text", "found"])
+            yield pd.Series([scan(p, known)[1] for p in batch], dtype=object)
 
-    got = F.pandas_udf(run, "text string, found array<long>")(F.col("html"))
-    kept = [F.col(c) for c in pages.columns if c not in ("html", "text")]
-    rows = pages.select(F.struct(*kept).alias("row"), host(F.col("url")).alias("host"),
-                        got.alias("got"), F.monotonically_increasing_id().alias("number"))
-    return materialise(rows.select("row", "host", "number", "got.text", "got.found"), "page-texts")
+    rows = _keyed(pages.select("url", "html").filter(F.length("html") > 0)).select(
+        F.col("__key").alias("key"), F.col("__host").alias("host"), F.col("__salt").alias("salt"),
+        F.pandas_udf(run, "array<long>")("html").alias("found"))
+    return materialise(rows.filter(F.size("found") > 0), "page-subtrees")
 
 
-def _subtrees(pages: DataFrame) -> DataFrame:
+def _subtrees(trees: DataFrame) -> DataFrame:
     fields = ("hash", "context", "start", "end")
     each = F.transform(F.sequence(F.lit(0), F.size("found") - 4, F.lit(4)), lambda i: F.struct(
         *[F.get("found", i + k).alias(name) for k, name in enumerate(fields)]))
-    return pages.filter(F.size("found") > 0).select("number", "host", F.inline(each))
+    return trees.select("key", "host", "salt", F.inline(each))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def templates(trees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash) of the subtrees that recur in ``min_pages`` contexts of a host.
 
-    ``pages`` as ``scanned`` gives them. Contexts are made distinct and counted with
+    ``trees`` as ``scanned`` gives them. Contexts are made distinct and counted with
     map-side combine, so a host with a third of all pages is not gathered.
     """
-    return (_subtrees(pages).select("host", "hash", "context").distinct()
+    return (_subtrees(trees).select("host", "hash", "context").distinct()
             .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") >= min_pages).select("host", "hash"))
 
@@ -397,21 +416,32 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
     NULL and empty pages give an empty text; pages without a host share the empty
     one. Repeated rows stay, an older ``text`` gives way, any other column passes.
-    Subtrees meet the templates by host, hash and a salt; what comes back to a page is
-    the spans to cut from its own text.
+    Subtrees meet the templates by host, hash and a salt; what comes back to a page, by
+    its key and a salt, is the spans to cut. Texts travel compressed.
     """
-    rows = scanned(pages)
-    salted = templates(rows, min_pages).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spans = (_subtrees(rows).filter(F.col("end") > F.col("start"))
-             .withColumn("salt", F.pmod(F.col("number"), F.lit(SALTS)).cast("int"))
-             .join(salted, ["host", "hash", "salt"])
-             .groupBy("number").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("cuts")))
+    trees = scanned(pages)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    cuts = (_subtrees(trees).filter(F.col("end") > F.col("start"))
+            .join(templates(trees, min_pages).withColumn("salt", salts), ["host", "hash", "salt"])
+            .groupBy("key").agg(F.flatten(F.collect_set(F.array("start", "end"))).alias("cuts"))
+            .withColumn("salt", salts))
+
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pd.Series([press.compress(scan(p, sketch=False)[0].encode("utf-8", "replace"))
+                             for p in batch], dtype=object)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, cuts in batches:
-            yield pd.Series([cut(t, () if c is None else list(zip(c[::2], c[1::2])))
-                             for t, c in zip(texts, cuts)], dtype=object)
+        open_ = zstandard.ZstdDecompressor()
+        for texts, spans in batches:
+            yield pd.Series([cut(open_.decompress(t).decode("utf-8"),
+                                 () if c is None else list(zip(c[::2], c[1::2])))
+                             for t, c in zip(texts, spans)], dtype=object)
 
-    done = rows.select("row", "number", "text").join(spans, "number", "left")
-    return done.select("row.*", F.pandas_udf(run, "string")("text", "cuts").alias("text"))
+    kept = [F.col(c) for c in pages.columns if c not in ("html", "text")]
+    rows = _keyed(pages).select(F.struct(*kept).alias("row"), F.col("__key").alias("key"),
+                                F.col("__salt").alias("salt"),
+                                F.pandas_udf(pack, "binary")("html").alias("packed"))
+    done = rows.join(cuts, ["key", "salt"], "left")
+    return done.select("row.*", F.pandas_udf(run, "string")("packed", "cuts").alias("text"))

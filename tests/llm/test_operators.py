@@ -436,6 +436,8 @@ def test_class_words_and_comment_articles():
     assert text("<article>x<div class='ad'>y</div>z<script>1</script>w</article>") == "x zw"
     assert text("a &lt;b&gt; &amp; x&nbsp;y<p title='a>b'>c") == "a <b> & x y c"
     assert text("kept <p class='open") == "kept"
+    page = f"<h1>h</h1><article>{body}<article>x</article></article>z"
+    assert html_text.scan(page, sketch=False) == (html_text.scan(page)[0], [])
 
 
 def test_templates_equal_a_plain_count(spark):
