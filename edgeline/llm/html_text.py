@@ -390,14 +390,15 @@ def scanned(pages: DataFrame) -> DataFrame:
     rows = _keyed(pages.select("url", "html").filter(F.length("html") > 0)).select(
         F.col("__key").alias("key"), F.col("__host").alias("host"), F.col("__salt").alias("salt"),
         F.pandas_udf(run, "array<long>")("html").alias("found"))
-    return materialise(rows.filter(F.size("found") > 0), "page-subtrees")
+    return materialise(rows, "page-subtrees")
 
 
 def _subtrees(trees: DataFrame) -> DataFrame:
     fields = ("hash", "context", "start", "end")
     each = F.transform(F.sequence(F.lit(0), F.size("found") - 4, F.lit(4)), lambda i: F.struct(
         *[F.get("found", i + k).alias(name) for k, name in enumerate(fields)]))
-    return trees.select("key", "host", "salt", F.inline(each))
+    # Not filtered before it is written: Spark would call the function for the filter again.
+    return trees.filter(F.size("found") > 0).select("key", "host", "salt", F.inline(each))
 
 
 def templates(trees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
