@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from edgeline.functions import geometry as geo
 from edgeline.operators import cells as cl
+from edgeline.operators import leaves
 from edgeline.operators.ranking import number_rows, running_totals
 from edgeline.operators.vertices import segments
 
@@ -105,13 +106,16 @@ def border_pieces(seg: DataFrame, grid: float, pad: float) -> DataFrame:
 
 
 def near_or_inside(points: DataFrame, key: Sequence[str], vertices: DataFrame, dist: float,
-                   grid: float, own: bool = False, pid: str = "pid") -> DataFrame:
+                   grid: float, own: bool = False, pid: str = "pid",
+                   leaf_pairs: int | None = None) -> DataFrame:
     """Points against polygons: (key, pid, dist, inside) for every polygon that
     contains the point or has its border within ``dist`` of it.
 
     Inside is decided in the point's cell: the parity of the cell centre, known
     from the mask, flips with every border piece between point and centre. With
-    ``own`` a point meets only the polygon of its own ``fid``.
+    ``own`` a point meets only the polygon of its own ``fid``. With ``leaf_pairs``
+    cells in which more pairs of a point and a piece would meet are split in quarters,
+    again and again (``leaves.split``), so that no group of the join is larger.
     """
     key = list(key)
     seg = segments(vertices, "per_ring")
@@ -123,13 +127,17 @@ def near_or_inside(points: DataFrame, key: Sequence[str], vertices: DataFrame, d
                         geo.cell_of(F.col("x"), grid).alias("cx"),
                         geo.cell_of(F.col("y"), grid).alias("cy"),
                         *([F.col("fid").alias("own")] if own else []))
+    cell, size = ["cx", "cy"], F.lit(grid)
+    if leaf_pairs is not None:
+        pts, content = leaves.split(pts, content, pid, grid, dist, leaf_pairs)
+        cell, size = ["level", *cell], grid / F.pow(F.lit(2.0), F.col("level"))
     if own:
-        met = pts.join(content.withColumn("own", F.col(pid)), ["own", "cx", "cy"])
+        met = pts.join(content.withColumn("own", F.col(pid)), ["own", *cell])
     else:
-        met = pts.join(content, ["cx", "cy"])
+        met = pts.join(content, cell)
     px, py = F.col("px"), F.col("py")
     ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
-    centre = [(F.col(c) + 0.5) * grid for c in ("cx", "cy")]
+    centre = [(F.col(c) + 0.5) * size for c in ("cx", "cy")]
     is_centre = F.col("ax").isNull()
     flip = F.when(is_centre, 1).otherwise(
         geo.crosses_to_centre(px, py, *centre, *ends).cast("int"))
@@ -141,14 +149,15 @@ def near_or_inside(points: DataFrame, key: Sequence[str], vertices: DataFrame, d
 
 
 def within_distance(points: DataFrame, key: Sequence[str], polygons: DataFrame,
-                    dist: float = 750.0, grid: float = 2000.0) -> DataFrame:
+                    dist: float = 750.0, grid: float = 2000.0,
+                    leaf_pairs: int | None = None) -> DataFrame:
     """Left join of points to the sites within ``dist``: (key, site_id or NULL).
 
     ``polygons`` is a vertex table with ``site_id``; a site may hold several
     features, and a point matches it once.
     """
     key = list(key)
-    hits = near_or_inside(points, key, polygons, dist, grid)
+    hits = near_or_inside(points, key, polygons, dist, grid, leaf_pairs=leaf_pairs)
     names = polygons.select(F.col("fid").alias("pid"), "site_id").distinct()
     sites = hits.join(names, "pid").select(*key, "site_id").distinct()
     return points.select(*key).join(sites, key, "left")

@@ -406,6 +406,10 @@ def border_only(points):
     return points.filter(F.col("pnt_pst") == 0)
 
 
+#: Pairs of a point and a border piece that may meet in one leaf of the grid.
+LEAF_PAIRS = 20_000
+
+
 def raw_matches(v):
     points = materialise(border_only(transect_points(v)), "border_points")
     return bd.within_distance(points, KEY, v.polygons(), NEAR)
@@ -442,6 +446,12 @@ def _(v):
     return raw_matches(v)
 
 
+@query("c16_within_distance_by_leaves", "SELECT * FROM raw_matches")
+def _(v):
+    points = materialise(border_only(transect_points(v)), "border_points")
+    return bd.within_distance(points, KEY, v.polygons(), NEAR, leaf_pairs=LEAF_PAIRS)
+
+
 @query("c17_inner_buffer", "SELECT fid, transect_id, pnt_pst, inner_valid FROM validity")
 def _(v):
     return bd.inner_validity(stored_points(v), v.rings(), BUFFER).drop("boundary_valid")

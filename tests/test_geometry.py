@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeline.operators import boundary as bd
 from edgeline.operators import cells as cl
+from edgeline.operators import leaves
 from edgeline.operators import vertices as vx
 
 VERTEX = "fid long, ring int, vtx long, x double, y double"
@@ -108,8 +109,9 @@ def distance(points, x, y):
     return best
 
 
-@pytest.mark.parametrize("seed, snap", [(1, None), (2, None), (3, 50.0), (4, 100.0)])
-def test_spatial_join_equals_theta_join(spark, seed, snap):
+@pytest.mark.parametrize("seed, snap, leaf", [(1, None, None), (2, None, None), (3, 50.0, None),
+                                              (4, 100.0, None), (2, None, 300), (4, 100.0, 300)])
+def test_spatial_join_equals_theta_join(spark, seed, snap, leaf):
     """Snapped polygons put vertices and borders on cell centres."""
     rng = random.Random(seed)
     shapes = {i: star(rng, rng.uniform(-2e3, 2e3), rng.uniform(-2e3, 2e3), 1500, snap=snap)
@@ -121,7 +123,8 @@ def test_spatial_join_equals_theta_join(spark, seed, snap):
     df = spark.createDataFrame(pts, "p long, x double, y double")
     v = vertices(spark, {k: [s] for k, s in shapes.items()})
     got = {(r.p, r.pid): (r.inside, r.dist) for r in
-           bd.near_or_inside(df, ["p"], v, 120.0, 200.0).collect()}
+           bd.near_or_inside(df, ["p"], v, 120.0, 800.0 if leaf else 200.0,
+                             leaf_pairs=leaf).collect()}
     want = {}
     for p, x, y in pts:
         for fid, s in shapes.items():
@@ -135,6 +138,29 @@ def test_spatial_join_equals_theta_join(spark, seed, snap):
             assert got[k][1] == pytest.approx(d)
 
 
+def test_no_leaf_of_a_dense_coast_exceeds_the_bound(spark):
+    rng = random.Random(8)
+    coast = star(rng, 0, 0, 900, n=600)
+    v = vertices(spark, {1: [coast]})
+    pts = spark.createDataFrame([(rng.uniform(-900, 900), rng.uniform(-900, 900), 0, 0)
+                                 for _ in range(3000)], "px double, py double, cx long, cy long")
+    pts = pts.withColumns({c: F.floor(F.col(p) / 2000) for c, p in (("cx", "px"), ("cy", "py"))})
+    seg = vx.segments(v, "per_ring")
+    content = bd.border_pieces(seg, 2000.0, 20.0).unionByName(
+        cl.fill(seg, 2000.0), allowMissingColumns=True)
+    p, c = leaves.split(pts, content, "fid", 2000.0, 20.0, 4000)
+    cell = ["level", "cx", "cy"]
+    n = {tuple(r)[:3]: r["count"] for r in p.groupBy(*cell).count().collect()}
+    m = {tuple(r)[:3]: r["count"] for r in c.groupBy(*cell).count().collect()}
+    assert sum(n.values()) == 3000 and max(k[0] for k in n) >= 2
+    assert max(n[k] * m.get(k, 0) for k in n) <= 4000
+    # Every leaf's parity is that of its centre.
+    centres = {tuple(r) for r in c.filter("ax IS NULL").select(*cell).collect()}
+    for level, cx, cy in {tuple(r) for r in c.select(*cell).distinct().collect()}:
+        size = 2000 / 2 ** level
+        assert ((level, cx, cy) in centres) == inside(coast, (cx + .5) * size, (cy + .5) * size)
+
+
 def test_within_distance_keeps_misses(spark):
     box = [(0, 0), (0, 1000), (1000, 1000), (1000, 0), (0, 0)]
     other = [(x + 1600, y) for x, y in box]
