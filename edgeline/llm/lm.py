@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from edgeline.llm.tables import fold, materialise
 
-#: Neighbouring ids in a chunk, and keys that one counting task adds up at most.
+#: Neighbouring ids in a chunk, characters of a chunk of rows without an id, and keys
+#: that one counting task adds up at most.
 CHUNK_IDS = 4000
+CHUNK_CHARS = 4_000_000
 KEYS_PER_TASK = 3_000_000
 BUCKETS = 32
 #: Estimates are binned by this part of a factor of ten while weights are learned.
@@ -54,8 +56,13 @@ def pair_keys(words: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))) * _START
 
 
-def chunk_of(doc_id: Column) -> Column:
-    return F.coalesce(F.floor(doc_id / CHUNK_IDS), F.lit(-1))
+def chunk_of(doc_id: Column, text: Column, size: int) -> Column:
+    """Chunk of a row; rows without an id are dealt by a hash of their text.
+
+    ``size`` is the number of characters of all texts.
+    """
+    dealt = F.pmod(F.xxhash64(text), F.lit(math.ceil((size + 1) / CHUNK_CHARS)))
+    return F.coalesce(F.floor(doc_id / CHUNK_IDS), -1 - dealt)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -243,9 +250,9 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     part remains. ``docs`` may have any other columns.
     """
     # Ids pass through Python as text: beside a NULL a batch of numbers would turn to floats.
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", train.alias("train"),
-                       chunk_of(F.col("doc_id")).alias("chunk"))
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+                       chunk_of(F.col("doc_id"), F.col("text"), size).alias("chunk"))
     parts = max(8, math.ceil(size / 4 / KEYS_PER_TASK))
     asks = rows.mapInPandas(_asks(parts), "part long, chunk long, keys binary, counts binary")
     answers = asks.groupBy("part").applyInPandas(
