@@ -37,7 +37,8 @@ _BATCH = 256
 def presence(text: str | None) -> np.ndarray | None:
     """Buckets of the n-grams of a whole text; None if it holds no letter."""
     letters = _NO_LETTER.sub(" ", text.lower()).strip() if text else ""
-    if not letters:
+    # Numbers such as a circled one pass the pattern and are no letters.
+    if not any(c.isalpha() for c in letters):
         return None
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     seen = np.zeros(BUCKETS, dtype=bool)
@@ -80,19 +81,23 @@ def fit(docs: DataFrame, train: Column, per_language: int = 256, landmarks: int
         ridge: float = 1e-2) -> Model:
     """Model from ``text`` and ``lang`` of the rows where ``train`` holds.
 
-    Rows without a language or without a letter are not used. With no usable row
-    the model knows no language and predicts ``und``. Ties in hash order are
-    broken by id, so reruns agree.
+    Rows without a language, an id or a letter are not used and take no place in the
+    sample; of rows that share language and id one is used. With no usable row the
+    model knows no language and predicts ``und``. Ties in hash order are broken by
+    id, so reruns agree.
     """
     bits = F.pandas_udf(_packed, "binary")
-    ranked = (docs.filter(train & F.col("lang").isNotNull())
+    usable = docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
+                         & F.col("text").rlike(r"\p{L}"))
+    ranked = (usable
               .select("lang", "doc_id", F.xxhash64(F.col("doc_id"), F.lit(7)).alias("h"))
               .withColumn("r", F.row_number().over(
                   Window.partitionBy("lang").orderBy("h", "doc_id")))
               .filter(F.col("r") <= per_language))
     ids = [row.doc_id for row in ranked.collect()]
-    sample = (docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isin(ids))
+    sample = (usable.filter(F.col("doc_id").isin(ids))
               .select("lang", "doc_id", bits("text").alias("bits"))
+              .groupBy("lang", "doc_id").agg(F.min("bits").alias("bits"))
               .filter(F.col("bits").isNotNull()).collect())
     sample.sort(key=lambda r: (r.lang, r.doc_id))
     languages = sorted({r.lang for r in sample})
@@ -117,8 +122,9 @@ def fit(docs: DataFrame, train: Column, per_language: int = 256, landmarks: int
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score``; map-only, whole texts.
 
-    A NULL text or one without a letter is ``und`` with score 0. The score is the
-    winner's share of the positive regression values.
+    A NULL text or one without a letter is ``und`` with score 0; any other text gets the
+    language of the largest regression value, ties to the first by name. The score is
+    the winner's share of the positive values, 0 if there are none.
     """
     packed = np.packbits(model.landmarks, axis=1)
     names, weights = model.languages, model.weights
@@ -133,14 +139,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 known = [s for s in seen if s is not None]
                 got = iter(own.scores(np.array(known)) if known else ())
                 for s in seen:
-                    values = None if s is None else np.maximum(next(got), 0)
-                    if values is None or not len(values) or values.max() <= 0:
+                    values = None if s is None else next(got)
+                    if values is None or not len(values):
                         lang.append(UNKNOWN)
                         score.append(0.0)
                     else:
                         best = int(values.argmax())
                         lang.append(names[best])
-                        score.append(float(min(1.0, values[best] / values.sum())))
+                        share = np.maximum(values, 0)
+                        score.append(float(min(1.0, share[best] / share.sum()))
+                                     if share[best] > 0 else 0.0)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     out = docs.withColumn("__lang", F.pandas_udf(run, "lang_pred string, score double")(text))

@@ -205,6 +205,21 @@ def test_language_without_training_rows(docs):
     assert [r.lang_pred for r in out] == ["und"]
 
 
+def test_language_letters_and_sample(spark):
+    assert language.presence("½ ² Ⅷ ①") is None and language.presence("12 é") is not None
+    rows = [(None if i % 4 else i, None if i % 2 else f"{'der und' if i % 8 else 'the of'} {i}",
+             "de" if i % 8 else "en") for i in range(400)]
+    rows += [(7, "the of and", "en")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True), per_language=40)
+    assert model.languages == ["de", "en"]
+    # A text with letters has a language, even where no value is positive.
+    model.weights = -np.abs(model.weights)
+    got = {(r.lang_pred, r.score) for r in language.predict(df.filter("text is not null"), model)
+           .select("lang_pred", "score").collect()}
+    assert all(lang in ("de", "en") and score == 0 for lang, score in got)
+
+
 # ---- 3 quality ---------------------------------------------------------------
 def slow_base(text):
     w, text = words(text), text or ""
@@ -575,6 +590,16 @@ def test_language_model_is_a_distribution(spark):
 
 def test_language_model_edges(clashing, docs):
     assert lm.score(clashing, F.lit(True)).count() == clashing.count()
+    # Rows without an id are dealt over chunks and scored as if they had one.
+    ids = docs.sparkSession.range(10_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 997).alias("text"))
+    lost = ids.withColumn("doc_id", F.lit(None).cast("long"))
+    size = 50 * lm.CHUNK_CHARS
+    chunks = lost.groupBy(lm.chunk_of(F.col("doc_id"), F.col("text"), size)).count().collect()
+    assert len(chunks) == 51 and max(r["count"] for r in chunks) < 1000
+    values = lambda df: sorted((r.n_known, r.base_score, r.score)
+                               for r in lm.score(df, F.lit(True)).collect())
+    assert values(lost) == values(ids)
     none = lm.score(docs, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in none)
 
