@@ -12,7 +12,8 @@ one arc more. A chain is stored as {label left out: merge that copied} and label
 (left part, right part, born at merge), which is the whole transition table: an arc
 is looked up by walking back to the older of chain and label. A piece is encoded from left
 to right along arcs, longest first; every byte position is entered by exactly one
-canonical path. Decoding emits the bytes of the arc labels.
+canonical path. The distinct pieces of many texts are encoded side by side, one arc a
+round, with transitions looked up for whole arrays; only long pieces go alone. Decoding emits the bytes of the arc labels.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import weakref
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,10 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces that are remembered with their ids, per task. Only speed depends on it.
-REMEMBERED = 100_000
+#: Arcs that a task remembers, bytes of a piece that is encoded beside others, pieces encoded
+#: side by side, and characters encoded at a time. Only speed depends on them.
+REMEMBERED = 500_000
+SHORT = 64
+ABREAST = 1 << 16
+CHARS = 2_000_000
 #: Rows that ``encode`` returns at a time.
 ROWS_OUT = 256
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -44,20 +49,42 @@ def byte_symbols() -> dict[str, int]:
     return ({chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)})
 
 
-class _Pieces(dict):
-    """Ids of the pieces seen last, by piece; what is missing is encoded."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode()(piece)
-        if len(piece) <= 32:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+class _Table:
+    """Numbers by non-negative 64-bit keys, for arrays of keys: open addressing."""
+
+    def __init__(self, bits: int):
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << bits, dtype=np.int32)
+        self.shift, self.last, self.used = np.uint64(64 - bits), (1 << bits) - 1, 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of every key, -1 where there is none."""
+        slot = self._slots(keys)
+        own = self.keys[slot]
+        out = np.where(own == keys, self.values[slot], -1)
+        rest = np.flatnonzero((own != keys) & (own >= 0))
+        while len(rest):
+            slot = (slot if len(slot) == len(rest) else slot[rest]) + 1 & self.last
+            own = self.keys[slot]
+            hit = own == keys[rest]
+            out[rest[hit]] = self.values[slot[hit]]
+            more = ~hit & (own >= 0)
+            rest, slot = rest[more], slot[more]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not there yet."""
+        self.used += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]] = keys[free]             # one of those that meet wins
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], slot[~won] + 1 & self.last
 
 
 class Automaton:
@@ -86,20 +113,26 @@ class Automaton:
                 self.without[u][v] = step
         self.latest = len(merges)
         self.size = {token: len(name) for token, name in self.label.items()}
-        # Walk over label bytes, as one table (node, byte) -> node.
-        self.step, self.ends = {}, [-1]
-        for token, name in self.label.items():
-            if self.age[token] == 0 and len(name) > 1:
-                continue                       # no live merge makes it
-            node = 0
-            for b in name:
-                key = node << 8 | b
-                nxt = self.step.get(key)
-                if nxt is None:
-                    nxt = self.step[key] = len(self.ends)
-                    self.ends.append(-1)
-                node = nxt
-            self.ends[node] = token
+        # Walk over label bytes, as one table (node, byte) -> node. A node where a label
+        # ends has that label's id, the others have numbers from ``root`` on.
+        live = {name: token for token, name in self.label.items()
+                if self.age[token] or len(name) == 1}     # else no live merge makes it
+        self.root, inner = size, {b"": size}
+        self.step: dict[int, int] = {}
+        for name in live:
+            node = size
+            for end in range(1, len(name) + 1):
+                part = name[:end]
+                after = live.get(part)
+                if after is None:
+                    after = inner.setdefault(part, size + len(inner))
+                self.step[node << 8 | part[-1]] = after
+                node = after
+        self.walk = _Table((4 * len(self.step)).bit_length())
+        self.walk.add(np.array(list(self.step), dtype=np.int64),
+                      np.array(list(self.step.values()), dtype=np.int32))
+        self.width = np.zeros(size, dtype=np.int64)
+        self.width[list(self.size)] = list(self.size.values())
 
     def arc(self, entered: int, label: int, merge: int) -> bool:
         """Whether the state that ``entered`` arcs enter after ``merge`` has an arc ``label``."""
@@ -116,12 +149,13 @@ class Automaton:
                 merge, label = min(merge, born), left[label]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "arcs", "find")}
+        return {k: v for k, v in self.__dict__.items()
+                if k not in ("arcs", "arc_table", "find")}
 
     def ready(self) -> Automaton:
-        """Adds the per-task memory of looked-up arcs and encoded pieces."""
+        """Adds the per-task memory of looked-up arcs."""
         self.arcs: dict[int, bool] = {}
-        self.known = _Pieces(weakref.WeakMethod(self.piece))
+        self.arc_table = _Table(20)
         self.find = regex.compile(self.pattern).findall
         return self
 
@@ -133,18 +167,18 @@ class Automaton:
         and the search stays linear.
         """
         data = text.encode("utf-8")
-        n = len(data)
-        step, ends, arcs, size, latest = self.step, self.ends, self.arcs, self.size, self.latest
+        n, root = len(data), self.root
+        step, arcs, size, latest = self.step.get, self.arcs, self.size, self.latest
         path, waiting, closed = [], [], set()
         at, last = 0, -1
         while at < n:
-            found, node = [], 0                # tokens that begin here, shortest first
-            for j in range(at, n):
-                node = step.get(node << 8 | data[j])
+            found, node = [], root             # tokens that begin here, shortest first
+            for byte in memoryview(data)[at:]:
+                node = step(node << 8 | byte)
                 if node is None:
                     break
-                if ends[node] >= 0:
-                    found.append(ends[node])
+                if node < root:
+                    found.append(node)
             waiting.append(found)
             while True:
                 if not found:                  # no way on: back by one token
@@ -168,26 +202,122 @@ class Automaton:
                 at += size[token]
                 last = token
                 break
-        if len(arcs) >= 4 * REMEMBERED:
+        if len(arcs) >= REMEMBERED:
             arcs.clear()
         return struct.pack(f"<{len(path)}I", *path)
 
+    def _open(self, entered: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """``arc`` after all merges, for arrays; -1 for ``entered`` is the first state."""
+        keys = np.where(entered < 0, -1, entered << 20 | labels)
+        out = np.ones(len(keys), dtype=bool)
+        asked = np.flatnonzero(keys >= 0)
+        got = self.arc_table.get(keys[asked])
+        new = np.unique(keys[asked[got < 0]])
+        if len(new):
+            told = np.array([self.arc(k >> 20, k & 0xFFFFF, self.latest) for k in new.tolist()])
+            if self.arc_table.used + len(new) > REMEMBERED:
+                self.arc_table = _Table(20)
+            self.arc_table.add(new[:REMEMBERED], told[:REMEMBERED])
+            missing = got < 0
+            got[missing] = told[np.searchsorted(new, keys[asked[missing]])]
+        out[asked] = got > 0
+        return out
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """``piece`` of many: every round each takes its next arc or goes back by one."""
+        data = [t.encode("utf-8") for t in texts]
+        short = [k for k, d in enumerate(data) if len(d) <= SHORT]
+        size = np.array([len(data[k]) for k in short], dtype=np.int64)
+        symbols = np.frombuffer(b"".join([data[k] for k in short]), dtype=np.uint8).astype(np.int64)
+        stop = np.cumsum(size)
+        start = stop - size
+        at, depth = start.copy(), np.zeros(len(short), dtype=np.int64)
+        path = np.full((len(short), SHORT + 1), -1, dtype=np.int32)    # the first column is the start
+        closed = np.zeros(len(short), dtype=np.uint64)                 # one bit a position
+        row = np.flatnonzero(size)
+        while len(row):
+            token = self._longest(row, at[row], stop[row], path[row, depth[row]].astype(np.int64),
+                                  closed[row], start[row], symbols)
+            back, on = row[token < 0], row[token >= 0]
+            closed[back] |= np.uint64(1) << (at[back] - start[back]).astype(np.uint64)
+            at[back] -= self.width[path[back, depth[back]]]
+            depth[back] -= 1
+            depth[on] += 1
+            token = token[token >= 0]
+            path[on, depth[on]] = token
+            at[on] += self.width[token]
+            row = row[at[row] < stop[row]]
+        out = [b""] * len(texts)
+        taken = np.arange(1, SHORT + 1) <= depth[:, None]
+        flat, ends = path[:, 1:][taken].astype("<u4").tobytes(), (4 * np.cumsum(depth)).tolist()
+        for k, a, b in zip(short, [0, *ends], ends):
+            out[k] = flat[a:b]
+        for k, d in enumerate(data):
+            if len(d) > SHORT:
+                out[k] = self.piece(texts[k])
+        return out
+
+    def _longest(self, row, here, stop, last, closed, start, symbols) -> np.ndarray:
+        """The longest label on an arc to a position that is not closed, -1 without one."""
+        who = np.arange(len(row))
+        node, found = np.full(len(row), self.root, dtype=np.int64), []
+        while len(who):                        # labels that begin here, shortest first
+            node = self.walk.get(node << 8 | symbols[here])
+            on = np.flatnonzero(node >= 0)
+            who, node, here = who[on], node[on], here[on] + 1
+            ends = np.flatnonzero(node < self.root)
+            found.append((who[ends], node[ends], here[ends]))
+            on = np.flatnonzero(here < stop[who])
+            who, node, here = who[on], node[on], here[on]
+        token = np.full(len(row), -1, dtype=np.int64)
+        for who, label, to in reversed(found):
+            shut = closed[who] >> np.minimum(to - start[who], 63).astype(np.uint64) & np.uint64(1)
+            sel = np.flatnonzero((token[who] < 0) & ((shut == 0) | (to == stop[who])))
+            who, label = who[sel], label[sel]
+            open_ = self._open(last[who], label)
+            token[who[open_]] = label[open_]
+        return token
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, packed; NULL counts as empty."""
-        out: list[bytes] = []
-        rest = [(text or "", -1)]
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """``encode`` of every text; the distinct pieces of about ``CHARS`` characters are
+        encoded together."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(self._split(text or ""))
+            chars += len(text or "")
+            if chars >= CHARS:
+                yield from self._joined(held)
+                held, chars = [], 0
+        yield from self._joined(held)
+
+    def _split(self, text: str) -> list[tuple[list[str], bytes]]:
+        """Pieces of a text up to each special token, and the id of that."""
+        rest = [(text, b"")]
         for name, token in self.special.items():
             cut = []
             for part, after in rest:
-                pieces = part.split(name)
-                cut += [(p, token) for p in pieces[:-1]] + [(pieces[-1], after)]
+                parts = part.split(name)
+                cut += [(p, struct.pack("<I", token)) for p in parts[:-1]] + [(parts[-1], after)]
             rest = cut
-        known = self.known.__getitem__
-        for part, after in rest:
-            out += map(known, self.find(part))
-            if after >= 0:
-                out.append(np.array([after], dtype="<u4").tobytes())
-        return b"".join(out)
+        return [(self.find(part), after) for part, after in rest]
+
+    def _joined(self, texts: list[list[tuple[list[str], bytes]]]) -> list[bytes]:
+        wanted: set[str] = set()
+        for parts in texts:
+            for pieces, _ in parts:
+                wanted.update(pieces)
+        distinct = list(wanted)
+        ids: dict[str, bytes] = {}
+        for at in range(0, len(distinct), ABREAST):
+            part = distinct[at:at + ABREAST]
+            ids.update(zip(part, self.pieces(part)))
+        get = ids.__getitem__
+        return [b"".join([b"".join(map(get, pieces)) + after for pieces, after in parts])
+                for parts in texts]
 
     def decode(self, ids: bytes) -> str:
         names = self.label | {i: s.encode("utf-8") for s, i in self.special.items()}
@@ -223,7 +353,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(start, ROWS_OUT)
-                packed = [auto.encode(t.as_py()) for t in part.column(part.num_columns - 1)]
+                texts = part.column(part.num_columns - 1)
+                packed = list(auto.encode_all(t.as_py() for t in texts))
                 columns = [*part.columns[:-1], pa.array(packed, pa.binary())]
                 if decoded:
                     columns.append(pa.array([auto._text(p, names) for p in packed], pa.string()))
@@ -246,8 +377,7 @@ def digest(df: DataFrame, path: str, pattern: str) -> DataFrame:
         names = auto.label | {i: s.encode("utf-8") for s, i in auto.special.items()}
         for texts in batches:
             rows = []
-            for t in texts:
-                ids = auto.encode(t)
+            for ids in auto.encode_all(texts):
                 back = auto._text(ids, names).encode("utf-8")
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                              hashlib.sha256(back).hexdigest()))

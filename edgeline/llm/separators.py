@@ -41,8 +41,8 @@ def flat_files(docs: DataFrame, path: str, pattern: str, end: int = END,
         held, size, begun, number, file = [], 0, [], 0, 0
         stop = np.array([end], dtype="<u2")
         for batch in batches:
-            for file, doc_id, text in zip(batch.file, batch.doc_id, batch.text):
-                ids = np.frombuffer(auto.encode(text), dtype="<u4").astype("<u2")
+            for file, doc_id, packed in zip(batch.file, batch.doc_id, auto.encode_all(batch.text)):
+                ids = np.frombuffer(packed, dtype="<u4").astype("<u2")
                 begun.append(None if doc_id is None else int(doc_id))
                 held += [ids, stop]
                 size += len(ids) + 1

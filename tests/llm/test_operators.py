@@ -358,9 +358,9 @@ def test_bpe_equals_the_library(codec):
 
 def test_bpe_gadget_of_a_doubled_label(codec):
     a = bpe.Automaton.__new__(bpe.Automaton)
-    a.label, a.special = {0: b"a", 1: b"aa", 2: b"b", 3: b"aab"}, {}
+    a.label, a.special, a.pattern = {0: b"a", 1: b"aa", 2: b"b", 3: b"aab"}, {}, ".+"
     a._compile([(0, 0, 1), (1, 2, 3)])
-    a.arcs, a.known, a.find = {}, {}, lambda t: [t]
+    a.ready()
     for text in map("".join, itertools.product("ab", repeat=6)):
         want, parts = [], list(text)
         for left, right in (("a", "a"), ("aa", "b")):
@@ -375,6 +375,33 @@ def test_bpe_gadget_of_a_doubled_label(codec):
             parts = done
         want = [{"a": 0, "aa": 1, "b": 2, "aab": 3}[p] for p in parts]
         assert np.frombuffer(a.piece(text), "<u4").tolist() == want
+        assert a.pieces([text, "", text]) == [a.piece(text), b"", a.piece(text)]
+
+
+def test_bpe_pieces_side_by_side(codec, monkeypatch):
+    """Random letters step back often; lengths on both sides of the limit, few arcs kept."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    monkeypatch.setattr(bpe, "ABREAST", 300)
+    monkeypatch.setattr(bpe, "CHARS", 5000)
+    r = random.Random(9)
+    made = ["".join(r.choice("entiohmaßé1 ") for _ in range(r.choice((0, 1, 7, 20, 62, 63, 64, 65, 90))))
+            for _ in range(900)]
+    assert codec.pieces(made) == [codec.piece(p) for p in made]
+    assert codec.pieces([]) == [] and list(codec.encode_all([])) == []
+    library = Tokenizer.from_file(VOCAB)
+    texts = [*made, None, "a<|endoftext|>b", "x" * 20_000]
+    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(
+            text or "", add_special_tokens=False).ids
+
+
+def test_table_of_keys():
+    r = np.random.default_rng(3)
+    keys = r.choice(1 << 40, 700, replace=False)
+    table = bpe._Table(10)
+    table.add(keys[:400], np.arange(400))
+    table.add(keys[400:600], np.arange(400, 600))
+    assert table.get(keys).tolist() == [*range(600), *[-1] * 100]
 
 
 def test_bpe_rows(clashing, docs):
