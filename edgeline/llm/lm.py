@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from edgeline.llm.tables import fold, materialise
 
-#: Neighbouring ids in a chunk, characters of a chunk of rows without an id, and keys
-#: that one counting task adds up at most.
+#: Neighbouring ids in a chunk, characters of a chunk of rows dealt by hash, characters from
+#: which a text is dealt so, and keys that one counting task adds up at most.
 CHUNK_IDS = 4000
 CHUNK_CHARS = 4_000_000
+LONG_CHARS = 10_000
 KEYS_PER_TASK = 3_000_000
 BUCKETS = 32
 #: Estimates are binned by this part of a factor of ten while weights are learned.
@@ -57,12 +58,14 @@ def pair_keys(words: np.ndarray) -> np.ndarray:
 
 
 def chunk_of(doc_id: Column, text: Column, size: int) -> Column:
-    """Chunk of a row; rows without an id are dealt by a hash of their text.
+    """Chunk of a row; rows without an id or with a long text are dealt by a hash of the text.
 
+    So what a chunk of neighbouring ids holds is bounded in characters too.
     ``size`` is the number of characters of all texts.
     """
     dealt = F.pmod(F.xxhash64(text), F.lit(math.ceil((size + 1) / CHUNK_CHARS)))
-    return F.coalesce(F.floor(doc_id / CHUNK_IDS), -1 - dealt)
+    near = F.when(F.coalesce(F.length(text), F.lit(0)) < LONG_CHARS, F.floor(doc_id / CHUNK_IDS))
+    return F.coalesce(near, -1 - dealt)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -604,6 +604,15 @@ def test_language_model_counts(docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_chunks_change_nothing(docs, monkeypatch):
+    plain = {(r.doc_id, r.score, r.base_score) for r in lm.score(docs, ~lm.held_out(docs)).collect()}
+    monkeypatch.setattr(lm, "LONG_CHARS", 40)
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 500)
+    monkeypatch.setattr(lm, "CHUNK_IDS", 7)
+    spread = lm.score(docs, ~lm.held_out(docs)).collect()
+    assert {(r.doc_id, r.score, r.base_score) for r in spread} == plain
+
+
 def test_language_model_is_a_distribution(spark):
     rows = [(i, t, None, None, 1) for i, t in enumerate(["a b", "a a", "b", ""] * 5)]
     docs = spark.createDataFrame(rows, DOCS)
