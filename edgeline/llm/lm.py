@@ -171,16 +171,17 @@ def _counted(parts: int):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         texts = [tokens(t) for t in docs.text]
         pairs = [pair_keys(w) for w in texts]
-        keys = np.unique(np.concatenate([*texts, *pairs, [_START]]))
+        keys, at = np.unique(np.concatenate([*texts, *pairs, [_START]]), return_inverse=True)
         # Answers come by counting task, in the order of their keys.
         totals = np.empty(len(keys), dtype=np.int64)
         totals[np.argsort(part_of(keys, parts), kind="stable")] = np.concatenate(
             [_unpack(t, n) for _, n, t in sorted(zip(answers.part, answers["n"], answers.totals))])
-        find = lambda k: totals[np.searchsorted(keys, k)]
-        start = int(find(np.array([_START]))[0])
+        ends = np.cumsum([len(w) for w in texts])
+        of_words, of_pairs = totals[at[:ends[-1]]], totals[at[ends[-1]:-1]]
+        start = int(totals[at[-1]])
         rows, held = [], [np.zeros(0, dtype=np.int64)]
-        for doc_id, train, words, pair in zip(docs.doc_id, docs.train, texts, pairs):
-            c2, c12 = find(words), find(pair)
+        for doc_id, train, words, pair, end in zip(docs.doc_id, docs.train, texts, pairs, ends):
+            c2, c12 = (c[end - len(words):end] for c in (of_words, of_pairs))
             if train:
                 held.append(_deleted(words, pair, start, c2, c12))
             rows.append((doc_id, train, len(words), start, _pack(c2), _pack(c12), None))

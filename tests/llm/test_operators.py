@@ -605,12 +605,23 @@ def test_language_model_counts(docs):
 
 
 def test_language_model_chunks_change_nothing(docs, monkeypatch):
-    plain = {(r.doc_id, r.score, r.base_score) for r in lm.score(docs, ~lm.held_out(docs)).collect()}
+    plain = {r.doc_id: r for r in lm.score(docs, ~lm.held_out(docs)).collect()}
     monkeypatch.setattr(lm, "LONG_CHARS", 40)
     monkeypatch.setattr(lm, "CHUNK_CHARS", 500)
     monkeypatch.setattr(lm, "CHUNK_IDS", 7)
-    spread = lm.score(docs, ~lm.held_out(docs)).collect()
-    assert {(r.doc_id, r.score, r.base_score) for r in spread} == plain
+    for r in lm.score(docs, ~lm.held_out(docs)).collect():
+        assert math.isclose(r.score, plain[r.doc_id].score, rel_tol=1e-9)
+        assert math.isclose(r.base_score, plain[r.doc_id].base_score, rel_tol=1e-9)
+
+
+def test_sorted_keys_unpack():
+    r = np.random.default_rng(1)
+    for n, top in ((1, 64), (2, 64), (500, 64), (500, 20), (3, 1)):
+        keys = np.unique(r.integers(0, 2 ** top, n, dtype=np.uint64, endpoint=False)
+                         if top < 64 else r.integers(0, 2 ** 64 - 1, n, dtype=np.uint64))
+        assert lm._unpack_sorted(lm._pack_sorted(keys)).tolist() == keys.tolist()
+        parts = lm.part_of(keys, 7)
+        assert (np.diff(parts.astype(int)) >= 0).all() and (parts < 7).all()
 
 
 def test_language_model_is_a_distribution(spark):
