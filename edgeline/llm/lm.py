@@ -31,7 +31,7 @@ from edgeline.llm.tables import fold, materialise
 #: which a text is dealt so, and keys that one counting task adds up at most.
 CHUNK_IDS = 4000
 CHUNK_CHARS = 4_000_000
-LONG_CHARS = 10_000
+LONG_CHARS = 100_000
 KEYS_PER_TASK = 3_000_000
 BUCKETS = 32
 #: Estimates are binned by this part of a factor of ten while weights are learned.
@@ -69,7 +69,8 @@ def chunk_of(doc_id: Column, text: Column, size: int) -> Column:
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys >> np.uint64(40)) % np.uint64(parts)
+    """Counting task of every key: equal ranges of keys, so that neighbours stay together."""
+    return (keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -87,18 +88,19 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as steps of seven bytes where all steps fit."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    wide = 8 if (steps >> np.uint64(56)).any() else 7
-    return bytes([wide]) + steps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+    """Ascending 64-bit keys: the first, then steps of as many bytes as the largest needs."""
+    steps = np.diff(keys).astype("<u8")
+    wide = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    return (bytes([wide]) + keys[:1].astype("<u8").tobytes()
+            + steps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes())
 
 
 def _unpack_sorted(data: bytes) -> np.ndarray:
-    wide = data[0]
-    steps = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, wide)
+    wide, first = data[0], np.frombuffer(data, dtype="<u8", count=1, offset=1)
+    steps = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, wide or 1)
     out = np.zeros((len(steps), 8), dtype=np.uint8)
     out[:, :wide] = steps
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(np.concatenate([first, out.view("<u8").ravel()]), dtype=np.uint64)
 
 
 def _asks(parts: int):
