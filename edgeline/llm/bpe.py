@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 #: side by side, and characters encoded at a time. Only speed depends on them.
 REMEMBERED = 500_000
 SHORT = 64
-ABREAST = 1 << 16
-CHARS = 2_000_000
+ABREAST = 1 << 15
+CHARS = 1_000_000
 #: Rows that ``encode`` returns at a time.
 ROWS_OUT = 256
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
