@@ -50,11 +50,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: doc_id, source, n_tokens and the packed ids."""
+    """Token ids of every document, encoded and decoded again: doc_id, source, n_tokens,
+    the packed ids and the SHA-256 of the text that they decode to."""
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"),
-                     public_tokenizers.PATTERN, decoded=None, keep=["doc_id", "source"])
+                     public_tokenizers.PATTERN, keep=["doc_id", "source"])
     return out.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"),
-                      "ids")
+                      "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
