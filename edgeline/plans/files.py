@@ -42,15 +42,16 @@ def _(v):
     # Two folders of files, read as one table.
     root = scratch_path(v.spark, "stacked")
     for part, side in (("inner", F.col("pnt_pst") < 0), ("outer", F.col("pnt_pst") >= 0)):
-        tb.write_table(v.samples().filter(side), f"{root}/{part}", "csv")
-    table = tb.read_table(v.spark, root, schemas.SAMPLES, "csv", glob="*.csv", recursive=True)
+        tb.write_table(v.samples(ranges=True).filter(side), f"{root}/{part}", "csv",
+                       compression="gzip")
+    table = tb.read_table(v.spark, root, schemas.SAMPLES, "csv", glob="*.csv*", recursive=True)
     return _digest(table, "site_id", "year")
 
 
 @query("a03_files_by_length", _DIGEST.format(
     keys="length_km, site_id, year", source="gs_all WHERE length_km = 15"), dbl="total")
 def _(v):
-    rows = v.samples_all()
+    rows = v.samples_all(ranges=True)
     path = tb.write_table(rows, scratch_path(v.spark, "by_length"), "parquet", ["length_km"])
     table = tb.read_table(v.spark, path, rows.schema, "parquet")
     return _digest(table.filter(F.col("length_km") == 15), "length_km", "site_id", "year")
@@ -60,7 +61,7 @@ def _(v):
 def _(v):
     raw = v.samples().withColumn(
         "geom", F.concat_ws(" ", F.lit("POINT"), "transect_id", "pnt_pst"))
-    slim = _round_trip(v, tb.slim_samples(raw), "slim", "parquet", schemas.SAMPLES)
+    slim = _round_trip(v, tb.slim_samples(raw, v.sample_parts()), "slim", "parquet", schemas.SAMPLES)
     return _digest(slim, "site_id", "year")
 
 

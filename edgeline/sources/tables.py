@@ -34,29 +34,48 @@ def stack(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+#: Files that a task keeps open at a time; with more values of a partition column it sorts.
+OPEN_FILES = "16"
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: Sequence[str] = (),
-                max_rows: int | None = None) -> str:
-    """Write a table; ``max_rows`` splits the output into shards of that many rows."""
+                max_rows: int | None = None, compression: str | None = None) -> str:
+    """Write a table; ``max_rows`` splits the output into shards of that many rows.
+
+    Up to ``OPEN_FILES`` values of ``partition_by`` are written beside each other, so the
+    rows are not sorted and spilled for them.
+    """
     writer = df.write.format(fmt)
+    if compression:
+        writer = writer.option("compression", compression)
     if fmt == "csv":
         writer = writer.option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if max_rows:
         writer = writer.option("maxRecordsPerFile", max_rows)
-    writer.save(path)
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    if partition_by:
+        conf.set(name, OPEN_FILES)
+    try:
+        writer.save(path)
+    finally:
+        conf.set(name, before)
     return path
 
 
-def slim_samples(raw: DataFrame) -> DataFrame:
+def slim_samples(raw: DataFrame, parts: int | None = None) -> DataFrame:
     """The five analysis columns, globally sorted by site, transect, year, point.
 
     Ranges are cut on (site, transect), so a site with many transects spreads
     over several tasks, and rows of one transect stay in one file for the
-    map-side combine of later steps.
+    map-side combine of later steps. ``parts`` is the number of ranges, for tables whose
+    ranges would not fit a task's memory otherwise and be spilled.
     """
-    return (raw.select("site_id", "transect_id", "pnt_pst", "year", "grad")
-            .repartitionByRange("site_id", "transect_id")
+    by = ["site_id", "transect_id"]
+    slim = raw.select("site_id", "transect_id", "pnt_pst", "year", "grad")
+    return ((slim.repartitionByRange(parts, *by) if parts else slim.repartitionByRange(*by))
             .sortWithinPartitions("site_id", "transect_id", "year", "pnt_pst"))
 
 
