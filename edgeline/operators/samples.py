@@ -19,10 +19,13 @@ REF_YEAR = 2020
 def complete_transects(samples: DataFrame, n_points: int | Column = 5,
                        ref_year: int = REF_YEAR, keys: Sequence[str] = KEY) -> DataFrame:
     """Keep all years of the transects with exactly ``n_points`` rows in the
-    reference year, and carry that count as ``n``."""
+    reference year, and carry that count as ``n``.
+
+    The counts, one row per transect, are hashed, so the samples are not sorted.
+    """
     counts = (samples.filter(F.col("year") == ref_year).groupBy(*keys)
               .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n_points))
-    return samples.join(counts, list(keys))
+    return samples.join(counts.hint("shuffle_hash"), list(keys))
 
 
 def border_differences(samples: DataFrame, years: Sequence[int] | None = None,
