@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from edgeline.operators.cells import CELL, ring_sides
 from edgeline.operators.ranking import id_levels, number_rows
-from edgeline.session import materialise
+from edgeline.session import materialise, parts_for
 
 VERTEX_BLOCK = 65_536
 #: Cell rows of a footprint that one task holds for the row pass.
@@ -123,7 +123,8 @@ def depths(cells: DataFrame, size: float = CELL) -> DataFrame:
     along columns with windows, then along rows by lower envelopes. A task gets
     ``ROW_BLOCK`` rows of one footprint.
     """
-    up = _columns_first(cells)
+    parts = parts_for(cells.sparkSession, 2 * cells.count())
+    up = _columns_first(cells.repartition(parts, "component", "cx"))
 
     def block(group: pa.Table) -> pa.Table:
         cx, cy, far = (group.column(c).to_numpy() for c in ("cx", "cy", "up"))
@@ -134,8 +135,10 @@ def depths(cells: DataFrame, size: float = CELL) -> DataFrame:
         return pa.table({"component": group.column("component"), "cx": cx, "cy": cy,
                          "depth": np.concatenate(depth) * size})
 
-    return (up.select("component", "cx", "cy", "up")
-            .groupBy("component", F.floor(F.col("cy") / ROW_BLOCK).alias("block"))
+    # The block's own column is not handed to the function's result.
+    rows = up.select("component", "cx", "cy", "up",
+                     F.floor(F.col("cy") / ROW_BLOCK).alias("block"))
+    return (rows.repartition(parts, "component", "block").groupBy("component", "block")
             .applyInArrow(block, "component long, cx long, cy long, depth double"))
 
 

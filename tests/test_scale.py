@@ -1,9 +1,19 @@
 """Plans and layouts that keep memory and disk in step with the input."""
 
+import glob
+
 import pytest
+from pyspark.sql import DataFrameWriter
 
+from edgeline import session
 from edgeline.operators import boundary as bd
+from edgeline.operators import cells as cl
+from edgeline.operators import samples as sm
+from edgeline.plans import files
+from edgeline.plans.registry import QUERIES
 from edgeline.session import materialise
+from edgeline.sources import tables as tb
+from edgeline.sources.adapter import Views
 
 
 def plan_of(df) -> str:
@@ -31,3 +41,82 @@ def test_unfolded_border_content_is_not_broadcast(spark, squares, own):
     assert joins and all("SortMergeJoin" in line for line in joins)
     found = {(r.fid, r.transect_id, r.pid, r.inside) for r in hits.collect()}
     assert found == {(f, k, f, k >= 0) for f in range(3) for k in range(-2, 5)}
+
+
+def test_stacked_csv_is_compressed_and_whole(spark, monkeypatch, tmp_path):
+    rows = [("S1", t, p, y, None if t == 3 else t + p / 10.0) for t in range(4)
+            for p in (-1, 0, 1) for y in (2001, 2020)]
+    class Small(Views):
+        def samples(self, **layout):
+            return spark.createDataFrame(
+                rows, "site_id string, transect_id long, pnt_pst int, year int, grad double")
+    monkeypatch.setattr(files, "scratch_path", lambda session, name: f"{tmp_path}/{name}")
+    got = {(r.year, r.n_rows, r.n_values) for r in QUERIES["a02_stack_folder"](
+        Small(spark, "")).collect()}
+    assert got == {(2001, 12, 9), (2020, 12, 9)}
+    parts = glob.glob(f"{tmp_path}/stacked/*/part-*")
+    assert parts and all(p.endswith(".csv.gz") for p in parts)
+
+
+def test_partitioned_write_does_not_sort(spark, monkeypatch, tmp_path):
+    name, seen, save = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.save
+    monkeypatch.setattr(DataFrameWriter, "save", lambda writer, path: (
+        seen.append(int(spark.conf.get(name))), save(writer, path)))
+    before = spark.conf.get(name)
+    df = spark.range(100).selectExpr("id", "cast(id % 20 as int) AS k")
+    tb.write_table(df, f"{tmp_path}/by_k", "parquet", ["k"])
+    assert seen[0] > 1 and spark.conf.get(name) == before
+    back = tb.read_table(spark, f"{tmp_path}/by_k", df.schema, "parquet")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("ranges", [False, True])
+def test_sample_partitions_follow_the_orders(spark, monkeypatch, ranges):
+    monkeypatch.setattr(session, "TASK_ROWS", 5000)
+    views = Views(spark, "/root/testdata/sf0.001")
+    n = views.table("orders").count()
+    assert views.samples(ranges=ranges).rdd.getNumPartitions() >= n * 100 // 5000 > 8
+
+
+def test_ranges_hold_a_number_of_rows(spark, monkeypatch):
+    raw = spark.range(1000).selectExpr("concat('S', id % 7) AS site_id", "id AS transect_id",
+                                       "0 AS pnt_pst", "2020 AS year", "1.0D AS grad")
+    slim = tb.slim_samples(raw, 40)
+    assert slim.rdd.getNumPartitions() == 40 and slim.count() == 1000
+
+
+def test_complete_transects_do_not_sort_the_samples(spark):
+    views = Views(spark, "/root/testdata/sf0.001")
+    plan = plan_of(sm.complete_transects(views.samples()))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_masks_are_dealt_over_as_many_tasks_as_they_need(spark, squares, monkeypatch):
+    cells = materialise(cl.rasterise(squares, 2000.0).select("cx", "cy"), "cells")
+    monkeypatch.setattr(session, "TASK_ROWS", 200)
+    assert cells.count() == 7500
+    assert cl.rasterise(squares, 2000.0).rdd.getNumPartitions() > 16
+    valued = cells.selectExpr("cx", "cy", "1L AS value")
+    for df in (cl.distinct_cells(cells, 7500), cl.focal_sum(valued), cl.outline(cells),
+               cl.shrink(cells, 3000.0, 2000.0)):
+        assert "hashpartitioning" in plan_of(df) and df.rdd.getNumPartitions() > 30
+
+
+def test_rings_double_over_runs_only(spark, squares, monkeypatch):
+    cells = materialise(cl.rasterise(squares, 2000.0).select("cx", "cy").selectExpr(
+        "cx", "cy", "floor(cx / 100) AS component"), "components")
+    counts, checkpoint = [], type(cells).checkpoint
+    def counted(df, *args):
+        out = checkpoint(df, *args)
+        counts.append(out.count())
+        return out
+    monkeypatch.setattr(type(cells), "checkpoint", counted)
+    sides = cl.ring_sides(cells).collect()
+    assert len(sides) == 3 * 200 and max(counts) == 3 * 4
+    by_ring = {}
+    for r in sides:
+        by_ring.setdefault(r.ring, {})[r.pos] = r
+    for ring in by_ring.values():
+        assert sorted(ring) == list(range(200)) and all(r.n == 200 for r in ring.values())
+        assert all((ring[i].x1, ring[i].y1) == (ring[(i + 1) % 200].x, ring[(i + 1) % 200].y)
+                   for i in ring)
