@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeline.operators.cells import CELL, ring_sides
+from edgeline.operators.cells import CELL, ring_runs
 from edgeline.operators.ranking import id_levels, number_rows
 from edgeline.session import materialise, parts_for
 
@@ -23,7 +23,7 @@ ROW_BLOCK = 64
 
 # ---- polygons --------------------------------------------------------------
 def rings(sides: DataFrame) -> DataFrame:
-    """One row per ring (component, name, area2, hole, ring).
+    """One row per ring (component, name, area2, hole, ring) of outline sides or straight runs.
 
     Sides run with the mask on their right, so the signed area (twice, in cells) is
     negative for a shell and positive for a hole. A component has one shell: diagonal
@@ -41,17 +41,16 @@ def rings(sides: DataFrame) -> DataFrame:
 def polygons(cells: DataFrame, size: float = CELL) -> DataFrame:
     """Vertex table (fid, ring, vtx, x, y) in metres of a mask with components.
 
-    Sides that go on in one direction merge: only the end of a side whose successor
-    turns is a vertex. Every ring starts at its lowest corner by x, then y, and is
+    Sides that go on in one direction merge: only the end of a straight run is a vertex. Every ring starts at its lowest corner by x, then y, and is
     closed by it; ``vtx`` counts through all rings of a footprint, shell first.
     """
-    sides = materialise(ring_sides(cells), "ring-sides")
-    corners = sides.filter("turns").select(
+    runs = materialise(ring_runs(cells), "ring-runs")
+    corners = runs.select(
         "component", F.col("ring").alias("name"), F.col("x1").alias("x"), F.col("y1").alias("y"),
-        F.pmod(F.col("pos") + 1, F.col("n")).alias("at"), "n")
+        F.pmod(F.col("pos") + F.col("len"), F.col("n")).alias("at"), "n")
     at = F.when(F.col("at") == 0, F.array("at", "n")).otherwise(F.array("at"))
     corners = corners.select("component", "name", "x", "y", F.explode(at).alias("at"))
-    placed = corners.join(rings(sides).select("component", "name", "ring"), ["component", "name"])
+    placed = corners.join(rings(runs).select("component", "name", "ring"), ["component", "name"])
     numbered = number_rows(placed, ["component"],
                            [[F.col("ring")], [F.floor(F.col("at") / VERTEX_BLOCK)]],
                            [F.col("at")], "row")

@@ -130,7 +130,7 @@ def _(v):
 SELECT component, CAST(number AS INTEGER) AS ring, area2, area2 > 0 AS hole FROM ring_list""",
        ints="area2", views=_VIEWS)
 def _(v):
-    return fp.rings(cl.ring_sides(components(v))).select("component", "ring", "area2", "hole")
+    return fp.rings(cl.ring_runs(components(v))).select("component", "ring", "area2", "hole")
 
 
 @query("c12_footprint_vertices", "SELECT fid, ring, vtx, x, y FROM fp_vertices", dbl="x y", views=_VIEWS)

@@ -1,6 +1,7 @@
 """Plans and layouts that keep memory and disk in step with the input."""
 
 import glob
+import random
 
 import pytest
 from pyspark.sql import DataFrameWriter
@@ -120,3 +121,54 @@ def test_rings_double_over_runs_only(spark, squares, monkeypatch):
         assert sorted(ring) == list(range(200)) and all(r.n == 200 for r in ring.values())
         assert all((ring[i].x1, ring[i].y1) == (ring[(i + 1) % 200].x, ring[(i + 1) % 200].y)
                    for i in ring)
+
+
+def test_neighbour_steps_deal_little_more_than_the_mask(spark, squares, monkeypatch):
+    cells = materialise(cl.rasterise(squares, 2000.0).select("cx", "cy").selectExpr(
+        "cx", "cy", "floor(cx / 100) AS component", "1L AS value"), "cells")
+    dealt, spread = [], cl._spread
+    monkeypatch.setattr(cl, "_spread", lambda df, *by: (
+        dealt.append(df.count()), spread(df, *by))[1])
+    sums = cl.focal_sum(cells.select("cx", "cy", "value"))
+    assert plan_of(sums).count("Exchange") == 1 and sums.count() == 48 * 152
+    assert cl.ring_sides(cells).count() == 3 * 200
+    assert len(dealt) == 2 and max(dealt) < 1.2 * 7500
+
+
+def test_sums_labels_and_rings_across_squares(spark):
+    draw = random.Random(5)
+    mask = {(x, y): draw.randint(-3, 9) for x in range(-80, 20) for y in range(-70, -50)
+            if draw.random() < 0.6}
+    cells = materialise(spark.createDataFrame(
+        [(*at, v) for at, v in mask.items()], "cx long, cy long, value long"), "cells")
+    near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    inner = [(x, y) for x in range(-79, 19) for y in range(-69, -51)]
+    want = {(x, y): sum(mask.get((x + dx, y + dy), 0) for dx, dy in near) for x, y in inner
+            if any((x + dx, y + dy) in mask for dx, dy in near)}
+    assert {(r.cx, r.cy): r.value for r in cl.focal_sum(cells).collect()} == want
+    labelled = materialise(cl.components(cells, 16), "components")
+    names = {(r.cx, r.cy): r.component for r in labelled.collect()}
+    first = {}
+    for x, y in sorted(mask, key=lambda c: (c[1], c[0])):
+        todo = [(x, y)]
+        while todo:
+            at = todo.pop()
+            if at in mask and at not in first:
+                first[at] = y * cl.KEY_SHIFT + x + cl.KEY_SHIFT // 2
+                todo += [(at[0] + dx, at[1] + dy) for dx, dy in cl.STEPS]
+    assert names == first
+    rings = {}
+    for r in cl.ring_sides(labelled).collect():
+        rings.setdefault(r.ring, {})[r.pos] = r
+    sides = sorted((r.component, r.x, r.y, r.x1, r.y1) for ring in rings.values()
+                   for r in ring.values())
+    assert sides == sorted(map(tuple, cl.outline(labelled, ["component"]).collect()))
+    for name, ring in rings.items():
+        assert sorted(ring) == list(range(len(ring))) and {r.n for r in ring.values()} == {len(ring)}
+        low = min((r.x, r.y, r.x1, r.y1) for r in ring.values())
+        assert low[:2] == (ring[0].x, ring[0].y)
+        assert name == low[1] * cl.KEY_SHIFT + low[0] + cl.KEY_SHIFT // 2
+        for i, r in ring.items():
+            after = ring[(i + 1) % len(ring)]
+            assert (r.x1, r.y1, r.component) == (after.x, after.y, after.component)
+            assert r.turns == ((r.x1 - r.x, r.y1 - r.y) != (after.x1 - after.x, after.y1 - after.y))
