@@ -50,7 +50,9 @@ def polygons(cells: DataFrame, size: float = CELL) -> DataFrame:
         F.pmod(F.col("pos") + F.col("len"), F.col("n")).alias("at"), "n")
     at = F.when(F.col("at") == 0, F.array("at", "n")).otherwise(F.array("at"))
     corners = corners.select("component", "name", "x", "y", F.explode(at).alias("at"))
-    placed = corners.join(rings(runs).select("component", "name", "ring"), ["component", "name"])
+    # As in ``ring_runs``: the size of the files would have all corners broadcast.
+    placed = corners.join(rings(runs).select("component", "name", "ring").hint("merge"),
+                          ["component", "name"])
     numbered = number_rows(placed, ["component"],
                            [[F.col("ring")], [F.floor(F.col("at") / VERTEX_BLOCK)]],
                            [F.col("at")], "row")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrameWriter
 from edgeline import session
 from edgeline.operators import boundary as bd
 from edgeline.operators import cells as cl
+from edgeline.operators import footprints as fp
 from edgeline.operators import samples as sm
 from edgeline.plans import files
 from edgeline.plans.registry import QUERIES
@@ -123,6 +124,22 @@ def test_rings_double_over_runs_only(spark, squares, monkeypatch):
                    for i in ring)
 
 
+def test_runs_and_corners_are_not_broadcast(spark, squares, monkeypatch):
+    cells = materialise(cl.rasterise(squares, 2000.0).select("cx", "cy").selectExpr(
+        "cx", "cy", "floor(cx / 100) AS component"), "components")
+    rounds, checkpoint = [], type(cells).checkpoint
+    monkeypatch.setattr(type(cells), "checkpoint", lambda df, *args: (
+        rounds.append(plan_of(df)), checkpoint(df, *args))[1])
+    sides, vertices = cl.ring_sides(cells), fp.polygons(cells, 2000.0)
+    for plan, key in [*((r, "nxt#") for r in rounds), (plan_of(sides), "[id#"),
+                      (plan_of(vertices), "name#")]:
+        joins = [line for line in plan.splitlines() if "Join" in line and key in line]
+        assert all("SortMergeJoin" in line for line in joins)
+        assert joins or "nxt#" in key
+    assert sum("SortMergeJoin" in r for r in rounds) > 2
+    assert sides.count() == 3 * 200 and vertices.count() == 3 * 5
+
+
 def test_neighbour_steps_deal_little_more_than_the_mask(spark, squares, monkeypatch):
     cells = materialise(cl.rasterise(squares, 2000.0).select("cx", "cy").selectExpr(
         "cx", "cy", "floor(cx / 100) AS component", "1L AS value"), "cells")
