@@ -189,3 +189,32 @@ def test_sums_labels_and_rings_across_squares(spark):
             after = ring[(i + 1) % len(ring)]
             assert (r.x1, r.y1, r.component) == (after.x, after.y, after.component)
             assert r.turns == ((r.x1 - r.x, r.y1 - r.y) != (after.x1 - after.x, after.y1 - after.y))
+
+
+def test_shrink_moves_little_more_than_the_mask(spark, monkeypatch):
+    """Rows of a mask lie side by side in the exchange, and nothing moves after it."""
+    cells = materialise(spark.range(3 * 60 * 60).selectExpr(
+        "id div 3600 AS fid", "id div 3600 * 7 + id % 60 AS cx", "id div 60 % 60 - 30 AS cy"), "cells")
+    dealt, spread = [], cl._spread
+    monkeypatch.setattr(cl, "_spread", lambda df, *by: (
+        dealt.append(df.count()), spread(df, *by))[1])
+    left = cl.shrink(cells, 5500.0, 500.0, ["fid"])
+    assert plan_of(left).count("Exchange") == 1
+    assert {tuple(r) for r in left.collect()} == {
+        (f, 7 * f + x, y - 30) for f in range(3) for x in range(11, 49) for y in range(11, 49)}
+    assert len(dealt) == 1 and dealt[0] < 4 * 3 * 60 * 60
+
+
+@pytest.mark.parametrize("radius", [300.0, 750.0, 5500.0])
+def test_shrink_across_squares(spark, radius):
+    """Cells that come twice count once; a NULL key is a key."""
+    draw, n = random.Random(9), int(radius // 500) + 1
+    mask = {(fid, x, y) for fid in (None, 1) for x in range(-150, -100) for y in range(-90, -40)
+            if (x, y) != (-128, -64) and (draw.random() < 0.9995 or radius < 5500)}
+    cells = spark.createDataFrame([*mask, *sorted(mask, key=str)[:700]], "fid long, cx long, cy long")
+    gap = lambda d: max(abs(d) - 0.5, 0) * 500
+    disc = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1)
+            if gap(i) ** 2 + gap(j) ** 2 < radius ** 2]
+    want = {c for c in mask if all((c[0], c[1] + i, c[2] + j) in mask for i, j in disc)}
+    got = [tuple(r) for r in cl.shrink(cells, radius, 500.0, ["fid"]).collect()]
+    assert want and len(got) == len(want) and set(got) == want
