@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from edgeline.session import parts_for
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv",
                glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -65,17 +67,37 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: Sequen
     return path
 
 
+#: Bits that count the rows of one packed block, which bound what a packed row holds.
+PACKED_BITS = 16
+
+
+def _packed(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row for the rows of a key that lie near each other, their values as arrays.
+
+    An array holds values of one kind side by side, without the width and the key of a row
+    for each, so a shuffle of packed rows writes far fewer bytes. Rows that are laid out by
+    the key already are packed where they are, others are moved for it once.
+    """
+    block = F.shiftright(F.monotonically_increasing_id(), PACKED_BITS)
+    packed = (rows.withColumn("__block", block).groupBy(*by, "__block")
+              .agg(F.collect_list(F.struct(*values)).alias("__rows")))
+    return packed.select(*by, *[F.col(f"__rows.{c}").alias(c) for c in values])
+
+
 def slim_samples(raw: DataFrame, parts: int | None = None) -> DataFrame:
     """The five analysis columns, globally sorted by site, transect, year, point.
 
     Ranges are cut on (site, transect), so a site with many transects spreads
     over several tasks, and rows of one transect stay in one file for the
     map-side combine of later steps. ``parts`` is the number of ranges, for tables whose
-    ranges would not fit a task's memory otherwise and be spilled.
+    ranges would not fit a task's memory otherwise and be spilled. Samples go to their range
+    packed by transect.
     """
-    by = ["site_id", "transect_id"]
-    slim = raw.select("site_id", "transect_id", "pnt_pst", "year", "grad")
-    return ((slim.repartitionByRange(parts, *by) if parts else slim.repartitionByRange(*by))
+    by, values = ["site_id", "transect_id"], ["pnt_pst", "year", "grad"]
+    # Packed rows unfold: a fixed number keeps the runtime from merging ranges by their bytes.
+    ranges = _packed(raw.select(*by, *values), by, values).repartitionByRange(
+        parts or parts_for(raw.sparkSession, 0), *by)
+    return (ranges.select(*by, F.inline(F.arrays_zip(*values)))
             .sortWithinPartitions("site_id", "transect_id", "year", "pnt_pst"))
 
 

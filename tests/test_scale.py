@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from edgeline import session
 from edgeline.operators import boundary as bd
@@ -218,3 +219,25 @@ def test_shrink_across_squares(spark, radius):
     want = {c for c in mask if all((c[0], c[1] + i, c[2] + j) in mask for i, j in disc)}
     got = [tuple(r) for r in cl.shrink(cells, radius, 500.0, ["fid"]).collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_slim_samples_move_packed_by_transect(spark, monkeypatch):
+    """Every sample goes to its range once, in one row for its transect; none is lost."""
+    rows = [(None if s == 2 else f"S{s}", None if t == 5 else t, p, y, None if p else t / 7.0)
+            for s in range(3) for t in range(8) for p in (1, 0, -1) for y in (2020, 2001, None)]
+    schema = "site_id string, transect_id long, pnt_pst int, year int, grad double"
+    raw = spark.createDataFrame(rows * 2, schema).withColumn("geom", F.lit("POINT"))
+    laid_out = raw.repartition(4, "site_id", "transect_id")
+    plan = plan_of(tb.slim_samples(laid_out, 3))
+    assert plan.count("Exchange") == 2      # the layout and the ranges
+    moved = plan[plan.index("rangepartitioning"):plan.index("hashpartitioning")]
+    assert "collect_list" in moved
+    monkeypatch.setattr(tb, "PACKED_BITS", 2)
+    for frame in (raw, laid_out):
+        slim = tb.slim_samples(frame, 3)
+        assert slim.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+        got = [tuple(r) for r in slim.collect()]
+        assert sorted(got, key=str) == sorted(rows * 2, key=str)
+        # Spark sorts NULL first.
+        order = [tuple((v is not None, v) for v in (r[0], r[1], r[3], r[2])) for r in got]
+        assert order == sorted(order)
